@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm import decontaminate, fingerprints, langid, packing, quality, secrets, toxicity
+from alphaloom.llm import decontaminate, fingerprints, langid, minhash, packing, quality, secrets, toxicity
 from alphaloom.llm.common import remainder, table
 
 
@@ -74,6 +74,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(rows, quality_model(spark, docs, sf_dir)).drop("text")
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_secrets,
         op8_toxicity,
         op9_quality,
+        op10_near_duplicates,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
