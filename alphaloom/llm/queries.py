@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm import decontaminate, fingerprints, langid, minhash, packing, quality, secrets, toxicity
+from alphaloom.llm import decontaminate, fingerprints, html_text, langid, minhash, packing, pii, quality, secrets, toxicity
 from alphaloom.llm.common import remainder, table
 
 
@@ -47,6 +47,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_documents(table(spark, sf_dir, "documents"))
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
@@ -55,6 +59,14 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, digest.alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(k).alias(f"n_{k}") for k in pii.BASE]
+    digest = F.sha2(secrets.joined(F.col("base")).cast("binary"), 256)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder(F.col("doc_id"), 5) == 0
@@ -85,7 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_language,
         op3_fingerprints,
         op4_decontamination,
+        op5_html,
         op6_secrets,
+        op7_pii,
         op8_toxicity,
         op9_quality,
         op10_near_duplicates,
