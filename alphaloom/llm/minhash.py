@@ -225,23 +225,27 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (the smallest node that links lead to) of every node of edges (a, b).
+    """node and root (the smallest node that links lead to) of every node of edges (a, b), a != b.
 
-    Each round gives every node the smallest label among itself and its neighbours, and then that label's own label,
-    so that paths shrink by more than half; it ends when nothing changes. Labels are summed on the map side, and each
-    round is written to the shared folder.
+    Each round every node moves to the smallest among itself and its neighbours. Links are redrawn between the nodes
+    moved to; those within a node and repeats go, so that links and nodes shrink by the round, and the rounds end when
+    no link is left. Minima are taken on the map side, and each round is written to the shared folder.
     """
-    both = scratch(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-    labels = scratch(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")))
+    left = scratch(edges.select("a", "b").distinct())
+    moved = None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("root").alias("m"))
-        stepped = labels.join(near, labels["node"] == near["u"]).select("node", "root", F.least("root", "m").alias("next"))
-        above = labels.select(F.col("node").alias("next"), F.col("root").alias("top"))
-        jumped = scratch(stepped.join(above, "next", "left").select("node", F.least("next", F.coalesce("top", "next")).alias("root"), (F.least("next", F.coalesce("top", "next")) != F.col("root")).alias("moved")))
-        moved = jumped.where("moved").limit(1).count()
-        labels = jumped.select("node", "root")
-        if not moved:
-            return labels
+        both = left.select(F.col("a").alias("u"), F.col("b").alias("v")).union(left.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        step = scratch(both.groupBy("u").agg(F.least("u", F.min("v")).alias("to")))
+        if moved is None:
+            moved = step.select(F.col("u").alias("node"), F.col("to").alias("root"))
+        else:
+            onward = step.select(F.col("u").alias("root"), "to")
+            moved = scratch(moved.join(onward, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        first = left.join(step.select(F.col("u").alias("a"), F.col("to").alias("x")), "a").select("b", "x")
+        drawn = first.join(step.select(F.col("u").alias("b"), F.col("to").alias("y")), "b").where("x != y")
+        left = scratch(drawn.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if not left.limit(1).count():
+            return moved
 
 
 def classes(docs: DataFrame) -> DataFrame:
