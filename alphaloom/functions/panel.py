@@ -24,6 +24,12 @@ def finite(x: Column) -> Column:
     return F.when(F.abs(x) < float("inf"), x)  # NaN is larger than any number
 
 
+def rounded(x: Column, places: int = 6) -> Column:
+    """Half away from zero by binary arithmetic, which other engines repeat to the bit."""
+    unit = 10.0**places
+    return (F.when(x >= 0, F.floor(x * unit + 0.5)).otherwise(-F.floor(-x * unit + 0.5)) / unit).cast("double")
+
+
 def enough(x: Column, n: int, value: Column) -> Column:
     return F.when(F.count(x).over(rolling(n)) >= max(1, n // 2), value)
 

@@ -11,8 +11,8 @@ CLASSES = ("invalid", "overfit", "unstable", "duplicate", "weak", "promising")
 
 
 def spearman_pairs(ics: DataFrame, least: int = 5) -> DataFrame:
-    """a, b, corr of factors a < b: correlation of the ranks of their ICs on the dates both have; ties are ranked by date, and a constant series has 0."""
-    a, b = (ics.select(F.col("factor").alias(x), "date", F.col("ic").alias(f"ic_{x}")) for x in "ab")
+    """a, b, corr of factors a < b: correlation of the ranks of their ICs on the dates both have; ties (to nine places) are ranked by date, and a constant series has 0."""
+    a, b = (ics.select(F.col("factor").alias(x), "date", F.round("ic", 9).alias(f"ic_{x}")) for x in "ab")
     both = a.join(b, "date").where("a < b")  # factors are tens, and a pair has a row for each date
     by = Window.partitionBy("a", "b")
     ranks = both.select("a", "b", F.row_number().over(by.orderBy("ic_a", "date")).alias("x"), F.row_number().over(by.orderBy("ic_b", "date")).alias("y"))
