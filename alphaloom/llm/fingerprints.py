@@ -59,7 +59,12 @@ def fingerprint(text: Column) -> Column:
             F.array(*(F.xxhash64(p, F.lit(i)).bitwiseAND(mask) for i in range(EQUAL))).alias("e"),
         ),
     )
-    return _vector_words(hashes)
+    return _let(hashes, _vector_words)
+
+
+def _let(value: Column, body) -> Column:
+    """body of the value, which is computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def insert(print_: Column, paragraph_text: Column) -> Column:
@@ -92,9 +97,12 @@ def likeness(one: Column, other: Column) -> Column:
         )
     )
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda acc, p: acc + p)
-    x, y = lanes(one), lanes(other)
-    size = dot(x, x) + dot(y, y)
-    return F.when(one == other, F.lit(1.0)).when(size == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * dot(x, y) / size)))
+
+    def compared(v: Column) -> Column:
+        size = dot(v["x"], v["x"]) + dot(v["y"], v["y"])
+        return F.when(size == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * dot(v["x"], v["y"]) / size)))
+
+    return F.when(one == other, F.lit(1.0)).otherwise(_let(F.struct(lanes(one).alias("x"), lanes(other).alias("y")), compared))
 
 
 def as_text(print_: Column) -> Column:
