@@ -10,13 +10,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("t")
-BY_DATE = Window.partitionBy("date")
+def by_symbol():
+    return Window.partitionBy("symbol").orderBy("t")
+
+
+def by_date():
+    return Window.partitionBy("date")
+
+
 TINY = 1e-8
 
 
 def rolling(n: int):
-    return BY_SYMBOL.rowsBetween(-(n - 1), 0)
+    return by_symbol().rowsBetween(-(n - 1), 0)
 
 
 def finite(x: Column) -> Column:
@@ -36,23 +42,23 @@ def enough(x: Column, n: int, value: Column) -> Column:
 
 def padded(x: Column) -> Column:
     """The symbol's last value so far."""
-    return F.last(x, ignorenulls=True).over(BY_SYMBOL.rowsBetween(Window.unboundedPreceding, 0))
+    return F.last(x, ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def rank(x: Column) -> Column:
     """Average rank from low to high among the date's values, as a share of their number."""
-    order = BY_DATE.orderBy(x.asc_nulls_last())
+    order = by_date().orderBy(x.asc_nulls_last())
     ties = F.count(x).over(order.rangeBetween(Window.currentRow, Window.currentRow))
-    return F.when(x.isNotNull(), (F.rank().over(order) + (ties - 1) / 2) / F.count(x).over(BY_DATE))
+    return F.when(x.isNotNull(), (F.rank().over(order) + (ties - 1) / 2) / F.count(x).over(by_date()))
 
 
 def zscore(x: Column) -> Column:
-    sd = F.stddev_samp(x).over(BY_DATE)
-    return (x - F.avg(x).over(BY_DATE)) / F.when(sd == 0, TINY).otherwise(sd)
+    sd = F.stddev_samp(x).over(by_date())
+    return (x - F.avg(x).over(by_date())) / F.when(sd == 0, TINY).otherwise(sd)
 
 
 def scale(x: Column, a: float) -> Column:
-    total = F.sum(F.abs(x)).over(BY_DATE)
+    total = F.sum(F.abs(x)).over(by_date())
     return x / F.when(total == 0, TINY).otherwise(total) * a
 
 
@@ -132,7 +138,7 @@ def decay_linear(x: Column, n: int) -> Column:
 
 
 def delay(x: Column, n: int) -> Column:
-    return F.lag(x, n).over(BY_SYMBOL)
+    return F.lag(x, n).over(by_symbol())
 
 
 def delta(x: Column, n: int) -> Column:
@@ -141,7 +147,7 @@ def delta(x: Column, n: int) -> Column:
 
 def change(filled: Column, n: int) -> Column:
     """Relative change of an already padded column."""
-    return F.try_divide(filled, F.lag(filled, n).over(BY_SYMBOL)) - 1
+    return F.try_divide(filled, F.lag(filled, n).over(by_symbol())) - 1
 
 
 def _both(x: Column, y: Column, value: Column) -> Column:
