@@ -60,12 +60,12 @@ TEMPLATES = {
 }
 CONFIG = Backtest()
 
-_panels: dict[tuple[int, str], DataFrame] = {}
+_panels: dict[tuple[str, str], DataFrame] = {}
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense grid of a data folder, kept: its bars are aggregated once for all queries of a session."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _panels:
         bars = source.from_trades(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), spark.read.parquet(f"{sf_dir}/part.parquet"))
         _panels[key] = source.grid(bars.persist()).persist()
