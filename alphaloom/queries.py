@@ -150,7 +150,8 @@ QUERIES |= {
     "bt_ic_summary": lambda s, d: backtest.ic_summary(backtest.daily_ic(scores(s, d))).select("factor", "n_dates", *(rounded(F.col(c)).alias(c) for c in ("ic_mean", "ic_std", "icir"))),
     "bt_drawdown": lambda s, d: backtest.drawdown(_periods(s, d)).select("factor", "date", rounded(F.ln("cumulative")).alias("log_cumulative"), rounded(F.col("drawdown")).alias("drawdown")),
     "bt_positions": lambda s, d: backtest.position_log(_positions(s, d)),
-    "bt_summary": summary,
+    # Annual returns of these panels are astronomical; their logarithm is the same on both sides to the last place shown.
+    "bt_summary": lambda s, d: summary(s, d).withColumn("log_annual_return", F.when(F.col("annual_return") > -1, rounded(F.log1p("annual_return")))).drop("annual_return"),
     "dx_spearman_pairs": lambda s, d: diagnose.spearman_pairs(backtest.daily_ic(scores(s, d))),
     "dx_structural_pairs": lambda s, d: diagnose.structural_pairs(factors(s)),
     "dx_classify": lambda s, d: classified(s, d).select("factor", "classification"),
@@ -206,7 +207,7 @@ hist AS (SELECT 'run_1' AS run, factor, expression, sharpe FROM summary JOIN fx
         "bt_ic_summary": _after(bt, f"SELECT factor, n_dates, {six('ic_mean', 'ic_std', 'icir')} FROM icsum"),
         "bt_drawdown": _after(bt, f"SELECT factor, date, {oracle.rounded('ln(cumulative)')} AS log_cumulative, {six('drawdown')} FROM dd"),
         "bt_positions": _after(bt, f"SELECT factor, date, side, CAST(place AS INTEGER) AS place, symbol, {six('score')} FROM legs WHERE place <= 20"),
-        "bt_summary": _after(bt, "SELECT * FROM summary"),
+        "bt_summary": _after(bt, f"SELECT * EXCLUDE (annual_return), CASE WHEN annual_return > -1 THEN {oracle.rounded('ln(1 + annual_return)')} END AS log_annual_return FROM summary"),
         "dx_spearman_pairs": _after(f"{bt},\n{pairs}", "SELECT a, b, corr FROM sp"),
         "dx_structural_pairs": f"""WITH {names}, p AS (SELECT factor, list_distinct(string_split(expression, '(')) AS p FROM fx)
 SELECT a.factor AS a, b.factor AS b, round(CAST(len(list_intersect(a.p, b.p)) AS DOUBLE) / len(list_distinct(list_concat(a.p, b.p))), 4) AS corr FROM p a JOIN p b ON a.factor < b.factor""",
