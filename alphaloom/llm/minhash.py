@@ -13,6 +13,9 @@ the number of darts needed to fill its signature, whatever the number of coordin
 3. A pair's similarity is estimated from one bit of each coordinate. Pairs far below the threshold go, pairs far above
    are links, and those between are counted exactly on the two texts.
 4. Links make classes.
+5. What the neighbours leave out is done in full: wherever a bucket still holds more than one class, every pair of its
+   members from different classes is estimated, in blocks, and judged like the others. A bucket whose members have
+   become one class, as a large group of copies does, has no such pair. So no class misses a link for its bucket's size.
 """
 
 from __future__ import annotations
@@ -32,6 +35,11 @@ THRESHOLD = 0.8
 COORDINATES = 512
 ROWS, BANDS = 5, 24
 NEIGHBOURS = 6
+#: Members of a bucket that are compared with as many others in one piece of work.
+BLOCK = 2_000
+#: Buckets of several classes up to which they are broadcast: some 100 bytes each, 20 MB in all.
+BROADCAST_BUCKETS = 200_000
+SALTS = 32
 #: Estimates under LOW are no links, from HIGH on they are; between them texts are compared. The standard error at 0.8 is 0.027.
 LOW, HIGH = 0.71, 0.91
 _WORD = re.compile(r"\w+")
@@ -196,10 +204,99 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, links) of docs (doc_id, text): nodes has node and first_doc, the smallest doc_id of its text; links has a < b, the nodes of similar texts.
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different classes in a piece of work whose estimate is LOW or more; rows come by their piece.
 
-    Links join texts that differ; equal texts share a node.
+    A piece has about BLOCK members on each of its two sides; one of kind 0 has one side, paired within itself.
+    """
+    piece: tuple | None = None
+    held: list[tuple[bool, bytes, bytes, bytes]] = []  # on the left side, node, root, sketch
+    out: tuple[list, list, list] = ([], [], [])
+
+    def judge() -> None:
+        if len(held) < 2:
+            return
+        number = {r: i for i, r in enumerate(dict.fromkeys(h[2] for h in held))}
+        roots = np.array([number[h[2]] for h in held])
+        bits = np.frombuffer(b"".join(h[3] for h in held), np.uint64).reshape(len(held), -1)
+        left = np.array([i for i, h in enumerate(held) if h[0]], np.int64)
+        right = np.array([i for i, h in enumerate(held) if not h[0]], np.int64)
+        for n, i in enumerate(left):
+            others = right if piece[2] else left[n + 1 :]
+            others = others[roots[others] != roots[i]]
+            near = 1 - 2 * np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1) / (64 * bits.shape[1])
+            for j in np.nonzero(near >= LOW)[0]:
+                a, b = sorted((held[i][1], held[others[j]][1]))
+                for column, value in zip(out, (a, b, float(near[j])), strict=True):
+                    column.append(value)
+
+    def batch_of() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.float64())], names=["a", "b", "near"])
+        for column in out:
+            column.clear()
+        return made
+
+    for batch in batches:
+        columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("band", "key", "kind", "i", "j", "left", "node", "root", "sketch")]
+        for row in zip(*columns, strict=True):
+            if row[:5] != piece:
+                judge()
+                piece, held = row[:5], []
+                if len(out[0]) > 10_000:
+                    yield batch_of()
+            held.append(row[5:])
+    judge()
+    yield batch_of()
+
+
+def _remaining(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b and near of the pairs that share a bucket and aren't of one class, but for those whose estimate is under LOW.
+
+    In a bucket the members of its most frequent class are only paired with the others. Both are cut into blocks, and
+    each pair of blocks is a piece of work of its own, so that no bucket is gathered in one task.
+    """
+    classed = nodes.where(F.size("bands") > 0).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "bands", "sketch")
+    members = classed.select("node", "root", "sketch", F.posexplode("bands").alias("band", "key"))
+    shares = members.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
+    mixed = shares.groupBy("band", "key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("n_roots")).where("n_roots > 1")
+    mains, minors = F.ceil(F.col("main.n") / BLOCK), F.ceil((F.col("n") - F.col("main.n")) / BLOCK)
+    mixed = scratch(mixed.select("band", "key", F.col("main.root").alias("main"), mains.alias("mains"), minors.alias("minors")))
+    if mixed.count() <= BROADCAST_BUCKETS:
+        found = members.join(F.broadcast(mixed), ["band", "key"])
+    else:
+        salted = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["band", "key", "salt"])
+    draw = F.xxhash64(F.lit(1), F.col("node"))
+    own_minor, own_main = F.pmod(draw, F.col("minors")), F.pmod(draw, F.col("mains"))
+    piece = lambda kind, i, j, left: F.struct(kind.alias("kind"), i.alias("i"), j.alias("j"), left.alias("left"))
+    each = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), f)
+    among = each("minors", lambda k: piece(F.when(k == own_minor, 0).otherwise(1), F.least(own_minor, k), F.greatest(own_minor, k), own_minor <= k))
+    against = each("mains", lambda k: piece(F.lit(2), own_minor, k, F.lit(True)))
+    of_main = each("minors", lambda k: piece(F.lit(2), k, own_main, F.lit(False)))
+    pieces = F.when(F.col("root") == F.col("main"), of_main).otherwise(F.concat(among, against))
+    work = found.select("band", "key", F.inline(pieces), "node", "root", "sketch")
+    by = ["band", "key", "kind", "i", "j"]
+    return work.repartition(*by).sortWithinPartitions(*by).mapInArrow(_across, _PAIRS).groupBy("a", "b").agg(F.first("near").alias("near"))
+
+
+def _judged(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a and b of the pairs (a, b, near) that are links: by the estimate where it is sure, else by their texts in rows (doc_id, node, text)."""
+    sure = pairs.where(F.col("near") >= HIGH).select("a", "b")
+    open_ = pairs.where(F.col("near") < HIGH).select("a", "b")
+    # Only texts of open pairs are fetched, each from the one row that stands for it.
+    wanted = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first_doc"), "node")
+    texts = rows.join(wanted.select(F.col("node").alias("wanted"), "first_doc"), (F.col("doc_id").eqNullSafe(F.col("first_doc"))) & (F.col("node") == F.col("wanted")))
+    texts = scratch(texts.select("node", "text").dropDuplicates(["node"]))
+    both = open_.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    checked = both.select("a", "text_a", "b", "text_b").mapInArrow(_exact, "a binary, b binary")
+    return scratch(sure.unionByName(checked))
+
+
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, links, roots) of docs (doc_id, text).
+
+    nodes has node and first_doc, the smallest doc_id of its text. links has a < b, the nodes of similar texts, enough
+    of them to make every class whole; equal texts share a node. roots has node and root for each node that has links.
     """
     on_executors(docs.sparkSession)
     text = text_of()
@@ -213,15 +310,13 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     sorted_ = buckets.repartitionByRange(parts, "band", "key", "then", "last", "node").sortWithinPartitions("band", "key", "then", "last", "node")
     pairs = scratch(sorted_.mapInArrow(_neighbours, _PAIRS).groupBy("a", "b").agg(F.first("near").alias("near")))
-    sure = pairs.where(F.col("near") >= HIGH).select("a", "b")
-    open_ = pairs.where(F.col("near") < HIGH).select("a", "b")
-    # Only texts of open pairs are fetched, each from the one row that stands for it.
-    wanted = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first_doc"), "node")
-    texts = rows.join(wanted.select(F.col("node").alias("wanted"), "first_doc"), (F.col("doc_id").eqNullSafe(F.col("first_doc"))) & (F.col("node") == F.col("wanted")))
-    texts = scratch(texts.select("node", "text").dropDuplicates(["node"]))
-    both = open_.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    checked = both.select("a", "text_a", "b", "text_b").mapInArrow(_exact, "a binary, b binary")
-    return nodes.select("node", "first_doc"), scratch(sure.unionByName(checked))
+    found = _judged(pairs, rows, nodes)
+    roots = components(found)
+    rest = scratch(_remaining(nodes, roots).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    if rest.limit(1).count():
+        found = found.unionByName(_judged(rest, rows, nodes))
+        roots = components(found)
+    return nodes.select("node", "first_doc"), found, roots
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -255,8 +350,7 @@ def classes(docs: DataFrame) -> DataFrame:
     to other texts of its text. Equal texts are in one class, those without words (null as well) too; a text of
     fewer than five words is like its equals in words only. Other columns are ignored; an empty table gives no rows.
     """
-    nodes, found = links(docs)
-    roots = components(found)
+    nodes, found, roots = links(docs)
     degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     linked = nodes.join(roots, "node").join(degree, "node")
     least = linked.groupBy("root").agg(F.min("first_doc").alias("class_id"))
@@ -268,8 +362,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the rows that aren't the first of their class: of each class the rows of its smallest doc_id stay, one of them if they repeat."""
-    nodes, found = links(docs)
-    roots = components(found)
+    nodes, found, roots = links(docs)
     best = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first_doc").alias("__first"), F.min_by("node", F.struct("first_doc", "node")).alias("__node"))
     names = docs.columns
     keyed = docs.withColumn("__own", node_of(text_of()))

@@ -186,3 +186,33 @@ def test_near_duplicates(spark):
     edges = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(40)], "a binary, b binary")
     assert {bytes(r.root) for r in minhash.components(edges).collect()} == {b"\0"}
     assert minhash.classes(docs_of(spark, [])).count() == 0
+
+
+def test_near_duplicates_leave_no_link_out_in_large_buckets(spark, monkeypatch):
+    """With no neighbours to speak of and tiny blocks the classes are those of brute force."""
+    texts = []
+    for g in range(4):  # texts of a group share two thirds with those of the others, and nearly all with their own
+        common, own = prose(100, 200).split(), prose(200 + g, 60).split()
+        for k in range(7):
+            words = common + own
+            words[k * 20] = f"changed{k}"
+            texts.append(" ".join(words))
+    sets = [minhash.shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if minhash.similarity(sets[i], sets[j]) >= minhash.THRESHOLD:
+                one, other = sorted((label[i], label[j]))
+                label = [one if x == other else x for x in label]
+    docs = docs_of(spark, texts)
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    def none(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pylist([], pa.schema([("a", pa.binary()), ("b", pa.binary()), ("near", pa.float64())]))
+
+    monkeypatch.setattr(minhash, "_neighbours", none)
+    for bound in (200_000, 0):
+        monkeypatch.setattr(minhash, "BROADCAST_BUCKETS", bound)
+        assert {r.doc_id: r.class_id for r in minhash.classes(docs).collect()} == dict(enumerate(label))
