@@ -105,4 +105,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_near_duplicates,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(len(w), 13) AS k FROM i WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item_id, k, array_to_string(w[s : s + k - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS s FROM sized)),
+places AS (SELECT r, k, s, array_to_string(w[s : s + k - 1], ' ') AS win FROM (SELECT d.r, d.w, z.k, unnest(range(1, len(d.w) - z.k + 2)) AS s FROM d, (SELECT DISTINCT k FROM wins) z)),
+hits AS (SELECT r, p.k, s, item_id FROM places p JOIN wins USING (k, win)),
+n AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(s, s + k)) AS pos FROM (SELECT DISTINCT r, k, s FROM hits)) GROUP BY r),
+m AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)
+""",
+}
