@@ -9,7 +9,7 @@ the number of darts needed to fill its signature, whatever the number of coordin
 1. Equal texts become one node, addressed by the text's hash.
 2. Nodes that agree in all rows of a band are in one bucket. All buckets are sorted as one table, within a bucket by
    further coordinates, so that the most similar texts adjoin; each node is paired with the NEIGHBOURS before it and
-   with the bucket's first node. So no bucket is gathered in one place and no group's pairs are all made.
+   with the bucket's first node; of these pairs those surely similar are kept, and the best of the others. So no bucket is gathered in one place and no group's pairs are all made.
 3. A pair's similarity is estimated from one bit of each coordinate. Pairs far below the threshold go, pairs far above
    are links. Of those between, each node's most similar one and some drawn by hashes are counted exactly on the two
    texts: a few a node, whatever the size of its group.
@@ -175,7 +175,7 @@ _PAIRS = "a binary, b binary, near double"
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket's members that adjoin in the sorted rows, or of a member and the first one; estimates under LOW are left out."""
+    """Pairs of a bucket's members that adjoin in the sorted rows, or of a member and the first one: all whose estimate is HIGH or more, and each member's best if it is LOW or more."""
     bucket, held, sketches = None, [], []  # the first member, then the last NEIGHBOURS
     for batch in batches:
         where = [batch.schema.get_field_index(n) for n in ("band", "key", "node", "sketch")]
@@ -187,7 +187,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             differ = np.bitwise_count(np.stack(sketches) ^ bits[i]).sum(axis=1)
             near = 1 - 2 * differ / (8 * bits.shape[1])
-            for j in np.nonzero(near >= LOW)[0]:
+            best = int(near.argmax())
+            for j in np.nonzero((near >= HIGH) | ((near >= LOW) & (np.arange(len(near)) == best)))[0]:
                 a, b = (held[j], node) if held[j] < node else (node, held[j])
                 if a != b:
                     for column, value in zip(out, (a, b, float(near[j])), strict=True):
