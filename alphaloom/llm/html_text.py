@@ -4,7 +4,8 @@ Pages are sorted by host and URL path, so that those of one template adjoin. A p
 order) are aligned with those of its nearer neighbour, the one whose path shares the longer beginning, by a longest
 common subsequence; lines that both have are the template's and are deleted. Markup that names its part (menus,
 footers, forms, adverts, ...) goes as well. Lines inside an article or main element stay although a neighbour has them
-too: articles share passages and licence lines that belong to them.
+too: articles share passages and licence lines that belong to them. All other lines, whether the page has such an
+element or not, stay where the neighbour lacks them.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ def lines_of(page: str) -> list[Line]:
                 depth += -1 if closing else 1
                 if not depth:
                     apart = ""
-        elif not closing and (name in APART and not (main and name == "header") or name not in ("html", "body", "article", "main") and _called(said)):
+        elif not closing and (name in APART and not (main and name == "header") or name not in ("html", "body", "main") and _called(said, name == "article")):
             apart, depth = name, 1
         elif name in ("article", "main"):
             main = max(0, main + (-1 if closing else 1))
@@ -85,7 +86,10 @@ def lines_of(page: str) -> list[Line]:
     return out
 
 
-def _called(tag: str) -> bool:
+def _called(tag: str, whole: bool) -> bool:
+    """Whether class, id or role have one of the words; whole: whether a class or role is one."""
+    if whole:
+        return any(part.lower() in CALLED for m in _MARKED.finditer(tag) if m[0][:2].lower() != "id" for part in (m[1] or m[2] or m[3] or "").split())
     return any(part.lower() in CALLED for m in _MARKED.finditer(tag) for part in _PART.findall(m[1] or m[2] or m[3] or ""))
 
 
@@ -113,10 +117,9 @@ def common(one: list[str], other: list[str]) -> set[int]:
 
 
 def main_text(page: list[Line], neighbour: list[Line] | None) -> str:
-    """The page's own lines: of its article or main element if it has one, else those that its neighbour lacks. If nothing would be left, as for two copies of a page, its unnamed lines stay."""
-    inside = [text for text, apart, main in page if main and not apart]
+    """The page's own lines: those in its article or main elements, and of the others those that its neighbour lacks. If nothing would be left, as for two copies of a page, its unnamed lines stay."""
     shared = common([x[0] for x in page], [x[0] for x in neighbour]) if neighbour else set()
-    kept = [text for i, (text, apart, main) in enumerate(page) if not apart and (main or not inside and i not in shared)]
+    kept = [text for i, (text, apart, main) in enumerate(page) if not apart and (main or i not in shared)]
     if not kept:
         kept = [text for text, apart, _ in page if not apart]
     return " ".join(kept)
@@ -147,7 +150,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     out: list[list] = [[], [], []]
     for now, before, after in answered():
-        near = [x for x in (before, after) if x and x[0] == now[0]]
+        near = [x for x in (before, after) if x and x[0] == now[0] and x[5] != now[5]]  # a copy has the page's own lines too
         best = max(near, key=lambda x: _beginning(x[1], now[1]), default=None)
         for column, value in zip(out, (now[2], now[3], main_text(now[5], best and best[5])), strict=True):
             column.append(value)

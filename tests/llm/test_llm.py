@@ -130,6 +130,16 @@ def test_html(spark):
     assert html_text.common(list("abcbdab"), list("bdcaba")) and len(html_text.common(list("abcbdab"), list("bdcaba"))) == 4
 
 
+def test_html_differencing_decides_outside_articles(spark):
+    page = lambda i, body: (i, f"http://h/a/{i}", f"<body><div>Site name</div><div><p>{body}</p></div><article class='comment'><p>Nice {i}</p></article><article><p>Teaser</p></article><div>Imprint</div>")
+    pages = [page(1, "Body one"), page(2, "Body two"), page(3, "Body three"), (4, "http://h/a/3?again", page(3, "Body three")[2])]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(1)).collect()}
+    alone = "Site name Body {} Teaser Imprint"  # what a page without a neighbour has
+    lines = [html_text.lines_of(p[2]) for p in pages]
+    assert html_text.main_text(lines[0], lines[1]) == "Body one Teaser" and html_text.main_text(lines[0], None) == alone.format("one")
+    assert all(f"Body {n} Teaser" in got[i] and "Nice" not in got[i] for i, n in ((1, "one"), (2, "two"), (3, "three"), (4, "three")))
+
+
 def test_secrets(spark):
     key = "AKIA" + "A1" * 8
     texts = [*EDGE, f"token = 'abcdefghijkl' {key} {'0f' * 10}", "PassWord:short secret=token=abcdefghijklm", "ſecret=abcdefghijklmn"]
