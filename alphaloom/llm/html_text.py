@@ -17,7 +17,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alphaloom.llm.common import on_executors
@@ -131,7 +131,7 @@ def _beginning(a: str, b: str) -> int:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by host and path; each is answered when the next is known."""
+    """Rows come by host and path; each is answered when the next is known, but for guests, which are neighbours only."""
 
     def rows():
         for batch in batches:
@@ -141,11 +141,11 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def answered():
         before = now = None
         for row in rows():
-            after = (*row, lines_of(row[4]))
-            if now:
+            after = (*row[:4], row[5], lines_of(row[4]))
+            if now and not now[4]:
                 yield now, before, after
             before, now = now, after
-        if now:
+        if now and not now[4]:
             yield now, before, None
 
     out: list[list] = [[], [], []]
@@ -170,12 +170,45 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A null html is an empty one, whose text is empty. A null url counts as one of an unnamed host. Pages are dealt to
     tasks by ranges of (host, path, page_id), so a host of any size is spread; the first and the last page of a range
-    have one neighbour. Other columns are ignored.
+    are also guests of the ranges before and after it, so that the ranges' number and cuts change no row. Other columns
+    are ignored.
     """
-    on_executors(pages.sparkSession)
+    spark = pages.sparkSession
+    on_executors(spark)
     part = lambda i: F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)", i), F.lit(""))
     rows = pages.select(F.lower(part(1)).alias("host"), part(2).alias("path"), F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).alias("html"))
-    parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    near = rows.repartitionByRange(parts, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id", "url")
+    # Without nulls, so that it is compared alike everywhere; rows with equal keys have equal pages.
+    key = F.struct("host", "path", F.coalesce("page_id", F.lit(-(1 << 63))).alias("id"), F.coalesce("url", F.lit("")).alias("at"), F.xxhash64("html").alias("print"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    edges = _edges(rows.select(key.alias("key")), parts)
+    e = F.get("edges", F.col("range"))
+    before = F.when(e["first"].eqNullSafe(F.col("key")) & e["after_own"], F.array(F.col("range") - 1))
+    after = F.when(e["last"].eqNullSafe(F.col("key")) & e["before_own"], F.array(F.col("range") + 1))
+    none = F.array().cast("array<int>")
+    to = F.concat(F.array("range"), F.coalesce(before, none), F.coalesce(after, none))
+    rows = rows.withColumn("key", key).crossJoin(F.broadcast(edges)).withColumn("range", _range_of(F.col("key"), F.col("edges")))
+    dealt = rows.select("key", "page_id", "url", "html", "range", F.explode(to).alias("to"))
+    near = dealt.repartitionById(parts, "to").sortWithinPartitions("key")
+    near = near.select("key.host", "key.path", "page_id", "url", "html", (F.col("to") != F.col("range")).alias("guest"))
     found = near.mapInArrow(_extract, "page_id long, url string, text string")
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def _edges(keys: DataFrame, parts: int) -> DataFrame:
+    """One row, edges: by range, in order, an array of its first and its last key and whether the range before or after it has pages of the same host there."""
+    ranged = keys.repartitionByRange(parts, "key").select(F.spark_partition_id().alias("part"), "key")
+    # One row for each of the ranges, of which there are no more than tasks.
+    found = sorted(ranged.groupBy("part").agg(F.min("key").alias("first"), F.max("key").alias("last")).collect(), key=lambda r: r["part"])
+    row = []
+    for i, r in enumerate(found):
+        after = i > 0 and found[i - 1]["last"]["host"] == r["first"]["host"]
+        before = i + 1 < len(found) and found[i + 1]["first"]["host"] == r["last"]["host"]
+        row.append((tuple(r["first"]), tuple(r["last"]), after, before))
+    kind = "struct<host:string,path:string,id:bigint,at:string,print:bigint>"
+    return keys.sparkSession.createDataFrame([(row,)], f"edges array<struct<first:{kind},last:{kind},after_own:boolean,before_own:boolean>>")
+
+
+def _range_of(key: Column, edges: Column) -> Column:
+    """The number of the last range whose first key is at most the key, by halving."""
+    step = lambda low, width: F.when(F.get(edges, low + width)["first"] <= key, low + width).otherwise(low)
+    return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.call_function("shiftright", F.lit(1 << 20), i)), F.lit(0), step)

@@ -140,6 +140,21 @@ def test_html_differencing_decides_outside_articles(spark):
     assert all(f"Body {n} Teaser" in got[i] and "Nice" not in got[i] for i, n in ((1, "one"), (2, "two"), (3, "three"), (4, "three")))
 
 
+def test_html_rows_do_not_change_with_the_ranges(spark):
+    pages = [(i if i != 7 else None, f"http://h{i // 20}/{'ab'[i // 6 % 2]}/{i:02}", f"<body><div>Site</div><div>Part {i // 6 % 2}</div><p>Own {i}</p><div>End</div>") for i in range(24)]
+    pages += [pages[3], (50, None, "<p>Alone"), (51, "http://H0/", None), (52, "http://only/x", "<p>One <div>Two")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    want = sorted([(p[1], f"Own {i}") for i, p in enumerate(pages[:24])] + [(pages[3][1], "Own 3"), ("", "Alone"), ("http://H0/", ""), ("http://only/x", "One Two")])
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (1, 2, 4, 13, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert sorted((r.url or "", r.text) for r in html_text.extract(df).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert html_text.extract(df.where("false")).count() == 0
+
+
 def test_secrets(spark):
     key = "AKIA" + "A1" * 8
     texts = [*EDGE, f"token = 'abcdefghijkl' {key} {'0f' * 10}", "PassWord:short secret=token=abcdefghijklm", "ſecret=abcdefghijklmn"]
