@@ -32,6 +32,23 @@ APART = frozenset("head nav header footer aside form button select dialog menu".
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CALLED = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent notice notices alert popup modal nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside comment comments disqus share sharing social related newsletter subscribe widget pagination pager toolbar complementary contentinfo search".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What ends an open p; and which elements the start of another ends, with those that a search for them doesn't leave.
+ENDS_P = HEADINGS | frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup hr li main menu nav ol p pre section summary table ul".split())
+_CELLS = frozenset("table td th caption".split())
+_LISTS = frozenset("ul ol menu dl table td th caption section article main aside nav blockquote".split())
+SIBLINGS = {
+    "li": (frozenset(["li"]), _LISTS),
+    "dt": (frozenset(["dt", "dd"]), _LISTS),
+    "dd": (frozenset(["dt", "dd"]), _LISTS),
+    "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
+    "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
+    "tr": (frozenset(["tr"]), frozenset(["table"])),
+    "thead": (frozenset(["thead", "tbody", "tfoot"]), frozenset(["table"])),
+    "tbody": (frozenset(["thead", "tbody", "tfoot"]), frozenset(["table"])),
+    "tfoot": (frozenset(["thead", "tbody", "tfoot"]), frozenset(["table"])),
+}
+_TABLE = frozenset("table caption thead tbody tfoot tr td th".split())
 
 Line = tuple[str, bool, bool]  # the text, whether its markup names it no part of the article, whether it is in an article or main
 
@@ -40,7 +57,9 @@ def lines_of(page: str) -> list[Line]:
     """The blocks of a page in order, references decoded, white space made one blank; empty ones are left out."""
     out: list[Line] = []
     buffer: list[str] = []
-    apart, depth, main, raw = "", 0, 0, ""  # the element that isn't the article and how often it is open; open articles; the raw element
+    opened: list[str] = []  # the open elements, from the outermost
+    count: defaultdict[str, int] = defaultdict(int)  # how often each is open
+    apart, main, raw = 0, 0, ""  # how many are open with the outermost that isn't the article; open articles; the raw element
 
     def close() -> None:
         text = " ".join(html.unescape("".join(buffer)).split())
@@ -48,11 +67,25 @@ def lines_of(page: str) -> list[Line]:
         if text:
             out.append((text, bool(apart), main > 0))
 
+    def end(names: frozenset[str], within: frozenset[str]) -> None:
+        """The innermost of these elements ends, and all in it, unless it is outside of one of the others."""
+        nonlocal apart, main
+        if not any(count[n] for n in names):
+            return
+        at = next((i for i in range(len(opened) - 1, -1, -1) if opened[i] in names or opened[i] in within), -1)
+        if at < 0 or opened[at] not in names:
+            return
+        for name in opened[at:]:
+            count[name] -= 1
+        del opened[at:]
+        apart = apart if apart <= at else 0
+        main = count["article"] + count["main"]
+
     at = 0
     while at < len(page):
         if raw:
-            end = re.compile(rf"</{raw}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at, raw = (end.end() if end else len(page)), ""
+            last = re.compile(rf"</{raw}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            at, raw = (last.end() if last else len(page)), ""
             continue
         token = _TOKEN.match(page, at)
         at = token.end()
@@ -71,17 +104,21 @@ def lines_of(page: str) -> list[Line]:
         if name in INLINE:
             continue
         close()
-        if name in VOID or said.endswith("/>"):
+        if not closing and name in ENDS_P:
+            end(frozenset(["p"]), _CELLS | {"button"})
+        if name in VOID or said.endswith("/>") or name in ("html", "body"):
+            continue
+        if closing:
+            end(HEADINGS if name in HEADINGS else frozenset([name]), frozenset(["table"]) if name in _TABLE else _LISTS if name == "li" else _CELLS)
             continue
-        if apart:
-            if name == apart:
-                depth += -1 if closing else 1
-                if not depth:
-                    apart = ""
-        elif not closing and (name in APART and not (main and name == "header") or name not in ("html", "body", "main") and _called(said, name == "article")):
-            apart, depth = name, 1
-        elif name in ("article", "main"):
-            main = max(0, main + (-1 if closing else 1))
+        if name in SIBLINGS:
+            end(*SIBLINGS[name])
+        opened.append(name)
+        count[name] += 1
+        if not apart and (name in APART and not (main and name == "header") or name not in HEADINGS and name != "main" and _called(said, main > 0 or name == "article")):
+            apart = len(opened)
+        if name in ("article", "main"):
+            main += 1
     close()
     return out
 

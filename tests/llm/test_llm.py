@@ -155,6 +155,22 @@ def test_html_rows_do_not_change_with_the_ranges(spark):
     assert html_text.extract(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><h2 id='related-work'>Related</h2><section id='search-methods'>A</section><div class='article-header'><h1>T</h1></div><div class='x share'>S</div></article>", "Related A T"),
+        ("<h1 class='page-header'>T</h1><p class=notice>N<p>A<p>B", "T A B"),
+        ("<article><p class=notice>N<p>A<div>B</div></article><p>C", "A B C"),
+        ("<article><ul><li class=ad>N<ul><li>M</ul>K<li>A</ul><ul><li class=ad>N</ul><p>B", "A B"),
+        ("<main><div><div class=ad>N<p>M</div><p>A</div><section><aside>N</section>B<dl><dt class=ad>N<dd>C</dl></main>", "A B C"),
+        ("<table><tr><td class=ad>N<table><tr><td>M</td></tr></table></div>K<td>A<tr><td>B</table>C", "A B C"),
+        ("<article><p>A</p></p><nav>N<nav>M</nav>K</nav></div>B</article><article class='comment'>N<article>M</article>K</article>C", "A B C"),
+    ],
+)
+def test_html_parts_end_where_they_end(page, want):
+    assert html_text.main_text(html_text.lines_of(page), None) == want
+
+
 def test_secrets(spark):
     key = "AKIA" + "A1" * 8
     texts = [*EDGE, f"token = 'abcdefghijkl' {key} {'0f' * 10}", "PassWord:short secret=token=abcdefghijklm", "ſecret=abcdefghijklmn"]
