@@ -193,6 +193,16 @@ def test_pii(spark):
     assert got[15] == [("context", 11, 18)]  # after a pattern that four addresses taught
 
 
+def test_pii_learns_from_all_seeds(spark):
+    far = " \n" + "word " * 300
+    texts = [f"write to {a}@example.org now" for a in ("ann", "bob", "cleo", "dan", "eve")] + ["write to zzkeyname now", far + "write  to (zzqq99xx), ok", far + "write to"]
+    texts += [f"row {i} code 10.0.{i}.1 end" for i in range(3)] + [f"pair 7 10.1.{i}.1 end" for i in range(5)] + ["see pair 7 kk55kk end", "Write TO ann@example.org"]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find(docs_of(spark, texts)).collect()}
+    at = texts[6].index("zzqq")
+    assert got[5] == [("context", 9, 18)] and got[6] == [("context", at, at + 8)] and got[7] == []
+    assert got[0] == [("email", 9, 24)] and got[16] == [("context", 11, 17)] and got[17] == [("email", 9, 24)]
+
+
 def test_toxicity_ignores_group_names():
     texts = [f"the women idiot {prose(i, 5)}" for i in range(30)] + [f"good day {prose(i, 5)}" for i in range(60)]
     labels = np.array([1.0] * 30 + [0.0] * 60)
