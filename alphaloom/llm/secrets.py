@@ -21,7 +21,7 @@ RULES = {
     "assign": "1",
     "access": "1",
     "hex": "1",
-    "pem": "1",
+    "pem": "2",
     "jwt": "1",
 }
 BASE = ("assign", "access", "hex")
@@ -30,7 +30,9 @@ _ASSIGN_HINTS = ("passw", "secret", "token", "api")
 # A run of these characters is either matched whole or too short at any place, so the length can be part of the pattern.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z ]{0,40}PRIVATE KEY)-----")
+# What follows a BEGIN line without its END line: header lines and base64, whose line ends may be written as \\n.
+_PEM_BODY = re.compile(r"(?:(?:\s|\\[nr])*+(?:(?:Proc-Type|DEK-Info):[^\r\n\\]*+|[A-Za-z0-9+/]{16,}+={0,2}+|[A-Za-z0-9+/]++={1,2}+))*+")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
 _SPANS = "array<struct<kind:string,start:long,end:long>>"
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -48,12 +50,24 @@ def find(rule: str, text: str) -> list[tuple[int, int]]:
     if rule == "hex":
         return [m.span() for m in _HEX.finditer(text)]
     if rule == "pem":
-        return [m.span() for m in _PEM.finditer(text)] if "-----BEGIN " in text else []
+        return _pem(text) if "-----BEGIN " in text else []
     if rule == "jwt":
         return [m.span() for m in _JWT.finditer(text)] if "eyJ" in text else []
     raise ValueError(f"no rule {rule!r}")
 
 
+def _pem(text: str) -> list[tuple[int, int]]:
+    """From each BEGIN line to its END line if that comes before the next BEGIN line, else over the key's lines after it."""
+    begins = list(_PEM.finditer(text))
+    spans = []
+    for m, after in zip(begins, [*begins[1:], None], strict=True):
+        limit = after.start() if after else len(text)
+        last = f"-----END {m[1]}-----"
+        at = text.find(last, m.end(), limit)
+        spans.append((m.start(), at + len(last) if at >= 0 else _PEM_BODY.match(text, m.end(), limit).end()))
+    return spans
+
+
 def _scan(rules: dict[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f"{r}@{v}" for r, v in rules.items()]

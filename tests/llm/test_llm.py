@@ -184,6 +184,12 @@ def test_secrets(spark):
     assert masked[8] == "[secret]' [secret] [secret]" and masked[0] is None and masked[6] == texts[6]
 
 
+def test_pem_spans_cover_the_key(spark):
+    begin, end, body = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "\n".join(["MIIEpAIBAAKCAQEA+/" * 3] * 4) + "\nQUJD=="
+    texts = [f"a\n{begin}\n{body}\n{end}\nb", f"a {begin}\n{body}\nplain words follow", f"{begin}\n{body}\n{begin}\n{body}\n{end} c", f"about {begin} lines"]
+    assert {r.doc_id: r.text for r in secrets.mask(docs_of(spark, texts)).collect()} == {0: "a\n[secret]\nb", 1: "a [secret]\nplain words follow", 2: "[secret]\n[secret] c", 3: "about [secret] lines"}
+
+
 def test_pii(spark):
     texts = [*EDGE, "a@b.c_d@e.f 1.2.3.4.5 999.1.1.1 x 4111-1111 1111 1111 x +1 (542) 555-3599", "1" * 4000, "+12 ..@x @@a@b.c"]
     texts += [f"user id is {i}-77{i}@m.example.org ok" for i in range(4)] + ["user id is zz99x88 ok"]
