@@ -58,7 +58,7 @@ def find_windows(docs: DataFrame, items: DataFrame, width: int = 13) -> DataFram
         hits = _verify_by_shuffle(source, prefix)
     # A row of no hits carries the document's length alone.
     return hits.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"),
+        F.first("doc_id", ignorenulls=True).alias("doc_id"),
         F.max("n_words").cast("long").alias("n_words"),
         F.collect_list(F.when(F.col("items").isNotNull(), F.struct("start", "size", "items"))).alias("hits"),
     )
@@ -89,8 +89,8 @@ def _verify_by_shuffle(source: DataFrame, prefix: DataFrame) -> DataFrame:
     same = F.when(fits, F.slice("around", F.greatest(start - F.col("low"), F.lit(0)) + 1, F.col("size")) == F.col("window"))
     found = places.join(prefix, F.col("of") == F.col("word")).where(same).select("row", start.alias("start"), "size", "items")
     none = F.lit(None)
-    found = found.select("row", none.cast("long").alias("doc_id"), none.cast("int").alias("n_words"), "start", "size", "items")
-    rows = source.select("row", F.col("doc_id").cast("long"), F.size("words").alias("n_words"), none.cast("int").alias("start"), none.cast("int").alias("size"), none.cast("array<string>").alias("items"))
+    found = found.select("row", none.cast(source.schema["doc_id"].dataType).alias("doc_id"), none.cast("int").alias("n_words"), "start", "size", "items")
+    rows = source.select("row", "doc_id", F.size("words").alias("n_words"), none.cast("int").alias("start"), none.cast("int").alias("size"), none.cast("array<string>").alias("items"))
     return rows.unionByName(found)
 
 
@@ -122,6 +122,7 @@ def report(docs: DataFrame, items: DataFrame, width: int = 13) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 13) -> DataFrame:
-    """docs without its contaminated rows. Rows whose doc_id is null stay: they can't be told apart."""
-    bad = report(docs, items, width).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("__bad"), "left_anti")
+    """docs without exactly its contaminated rows, whatever their doc_id: rows are told apart by their text, which alone decides."""
+    digest = F.sha2(text_of().cast("binary"), 256)
+    bad = report(docs.select(digest.alias("doc_id"), "text"), items, width).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.withColumn("__text", digest).join(bad, F.col("__text") == F.col("__bad"), "left_anti").drop("__text")

@@ -113,6 +113,16 @@ def test_decontamination(spark, monkeypatch, broadcast):
     assert {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in got} == dict(enumerate(contaminated(texts, items)))
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination_removes_exactly_the_contaminated_rows(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 10**6 if broadcast else 0)
+    item = prose(9, 30)
+    rows = [(None, item), (None, "clean one"), (1, item), (1, "clean two"), (1, "clean two"), (2, None), (3, "x " + item)]
+    kept = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert kept.columns == ["doc_id", "text"]
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [rows[1], rows[3], rows[4], rows[5]]))
+
+
 def test_html(spark):
     nav = "<nav><a>Home</a></nav>"
     pages = [
