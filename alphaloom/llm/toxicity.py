@@ -40,10 +40,11 @@ IDENTITY_TERMS = (
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Weight of each word or beginning (a beginning ends with `*`), and the constant."""
+    """Weight of each word or beginning (a beginning ends with `*`), the constant, and how many counterfactual pairs it learned from."""
 
     weights: dict[str, float]
     constant: float
+    n_pairs: int = 0
 
 
 def features_of(word: str) -> list[str]:
@@ -102,7 +103,7 @@ def train(texts: list[str], labels: np.ndarray, terms: tuple[tuple[str, ...], ..
         rate = 0.05 * (1 - i / rounds)
         weight -= rate * gradient / np.sqrt(step2)
         constant -= rate * off.mean() / np.sqrt(step2_c)
-    return ToxicityModel({f: float(w) for f, w in zip(names, weight, strict=True) if abs(w) > 1e-4}, float(constant))
+    return ToxicityModel({f: float(w) for f, w in zip(names, weight, strict=True) if abs(w) > 1e-4}, float(constant), n_pairs)
 
 
 def _telling(a: int, b: int, n1: int, n0: int) -> bool:
@@ -126,7 +127,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, **op
     y = rows.label.mean()
     if len(share) < 2 or not 0 < y < 1:
         return model
-    return ToxicityModel(model.weights, model.constant + float(np.log(share[1] / share[0]) - np.log(y / (1 - y))))
+    return ToxicityModel(model.weights, model.constant + float(np.log(share[1] / share[0]) - np.log(y / (1 - y))), model.n_pairs)
 
 
 class _Weights(dict):

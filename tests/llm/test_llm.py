@@ -228,6 +228,11 @@ def test_toxicity_ignores_group_names():
     assert score(tied, "idiot") > 0 > score(tied, "good day")
 
 
+def test_toxicity_reports_its_pairs():
+    labels = np.array([1.0, 0.0, 0.0])
+    assert toxicity.train(["the women", "two men", "none"], labels).n_pairs == 2 and toxicity.train(["a", "b", "c"], labels).n_pairs == 0
+
+
 def test_quality(spark):
     good = [(i, prose(i)) for i in range(80)]
     bad = [(100 + i, "!!$$$ ### " * 20 + prose(i, 10).upper() + " !!") for i in range(80)]
