@@ -365,20 +365,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id and n_links of every row of docs (doc_id, text).
+    """doc_id and class_id of every row of docs (doc_id, text).
 
-    class_id: the smallest doc_id of the texts that links (similarity of 0.8 or more) lead to. n_links: found links
-    to other texts of its text. Equal texts are in one class, those without words (null as well) too; a text of
+    class_id: the smallest doc_id of the texts that links (similarity of 0.8 or more) lead to. Equal texts are in one class, those without words (null as well) too; a text of
     fewer than five words is like its equals in words only. Other columns are ignored; an empty table gives no rows.
     """
-    nodes, found, roots = links(docs)
-    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    linked = nodes.join(roots, "node").join(degree, "node")
+    nodes, _, roots = links(docs)
+    linked = nodes.join(roots, "node")
     least = linked.groupBy("root").agg(F.min("first_doc").alias("class_id"))
-    linked = linked.join(least, "root").select("node", "class_id", "n_links")
-    known = scratch(nodes.join(linked, "node", "left").select("node", F.coalesce("class_id", "first_doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    linked = linked.join(least, "root").select("node", "class_id")
+    known = scratch(nodes.join(linked, "node", "left").select("node", F.coalesce("class_id", "first_doc").alias("class_id")))
     rows = docs.select(F.col("doc_id").cast("long"), node_of(text_of()).alias("node"))
-    return rows.join(known, "node").select("doc_id", "class_id", "n_links")
+    return rows.join(known, "node").select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -288,3 +288,9 @@ def test_near_duplicates_leave_no_link_out_in_large_buckets(spark, monkeypatch):
     for bound in (200_000, 0):
         monkeypatch.setattr(minhash, "BROADCAST_BUCKETS", bound)
         assert {r.doc_id: r.class_id for r in minhash.classes(docs).collect()} == dict(enumerate(label))
+
+
+def test_near_duplicates_give_no_partial_count_of_links(spark):
+    """Links within a class that was joined already are not all looked for."""
+    found = minhash.classes(docs_of(spark, ["one two", "One, two!"]))
+    assert found.columns == ["doc_id", "class_id"] and [r.class_id for r in found.collect()] == [0, 0]
