@@ -7,17 +7,18 @@ texts agree in a coordinate with a probability equal to their weighted Jaccard s
 the number of darts needed to fill its signature, whatever the number of coordinates per shingle would be.
 
 1. Equal texts become one node, addressed by the text's hash.
-2. Nodes that agree in all rows of a band are in one bucket. All buckets are sorted as one table, within a bucket by
-   further coordinates, so that the most similar texts adjoin; each node is paired with the NEIGHBOURS before it and
-   with the bucket's first node; of these pairs those surely similar are kept, and the best of the others. So no bucket is gathered in one place and no group's pairs are all made.
-3. A pair's similarity is estimated from one bit of each coordinate. Pairs far below the threshold go, pairs far above
-   are links. Of those between, each node's most similar one and some drawn by hashes are counted exactly on the two
-   texts: a few a node, whatever the size of its group.
-4. Links make classes.
-5. What that leaves out is done in full: wherever a bucket still holds more than one class, every pair of its members
-   from different classes is estimated, in blocks, from four bits of each coordinate, and each that isn't far from the
-   threshold is counted exactly. A bucket whose members have become one class, as a large group of copies does, has no
-   such pair. So no class misses a link for its bucket's size.
+2. Nodes that agree in all rows of a band are in one bucket. All buckets are sorted as one table, cut into ranges that
+   may split a bucket; in each range every node of a bucket is paired with the first there, its hub. That is one pair
+   a node and band at most, and few distinct ones, as the buckets of a group of copies mostly have the same hub.
+3. Pairs are counted exactly on the texts' shingles. Those of 0.8 or more are links; links make classes.
+4. What hubs leave out is done in full: wherever a bucket still holds more than one class, the shingles of its members
+   go to pieces of work, blocks against blocks, each of a bounded size. In a piece every pair of different classes is
+   counted exactly, until a link makes them one; so a piece gives fewer links than it has members, whatever the number
+   of similar pairs. A bucket whose members have become one class, as a large group of copies does, makes no piece.
+
+Nothing is estimated, drawn or capped: a pair that shares a bucket is a link if and only if its similarity is 0.8 or
+more, or its two texts are of one class by other links. A pair at 0.8 shares none of the 24 bands with a probability
+of 0.00007.
 """
 
 from __future__ import annotations
@@ -34,20 +35,14 @@ from alphaloom.llm.common import blocks, on_executors, scratch, text_of
 
 WIDTH = 5
 THRESHOLD = 0.8
-COORDINATES = 512
 ROWS, BANDS = 5, 24
-NEIGHBOURS = 6
-#: Members of a bucket that are compared with as many others in one piece of work.
-BLOCK = 2_000
+COORDINATES = ROWS * BANDS
+#: Shingles in a block of a bucket's members, of which a piece of work has two; 16 bytes each in a task.
+BLOCK = 500_000
 #: Buckets of several classes up to which they are broadcast: some 100 bytes each, 20 MB in all.
 BROADCAST_BUCKETS = 200_000
 SALTS = 32
-#: Estimates under LOW are no links, from HIGH on they are; between them texts are compared. The standard error at 0.8 is 0.027.
-LOW, HIGH = 0.71, 0.91
-#: The same for estimates from four bits, whose standard error at 0.8 is 0.018.
-FINE_LOW, FINE_HIGH = 0.738, 0.875
-#: Pairs a node draws by hashes for the first exact counts, besides its most similar one.
-DRAWS = 4
+_WORDS_KEPT = 200_000
 _WORD = re.compile(r"\w+")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: P(Poisson(1) <= n): how many darts an interval of unit weight and time has.
@@ -62,13 +57,27 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _WordHashes(dict):
+    """Hashes of the words met, forgotten when they are too many."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) > _WORDS_KEPT:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_word_hashes = _WordHashes()
+
+
 def shingles(text: str, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of the text's shingles of words in lower case, and how often each occurs. A text of fewer words is one shingle; without words there is none."""
     words = _WORD.findall(text.lower())
     if not words:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    hashes = np.fromiter(map(_word_hash, number), np.uint64, len(number))[np.fromiter(map(number.__getitem__, words), np.int64, len(words))]
+    hashes = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
     size = min(width, len(words))
     rolled = np.full(len(words) - size + 1, np.uint64(size))
     for i in range(size):
@@ -76,12 +85,6 @@ def shingles(text: str, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(rolled, return_counts=True)
 
 
-def _word_hash(word: str) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(word)
-
-
 def similarity(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two shingle sets; 0 if either is empty."""
     _, i, j = np.intersect1d(one[0], other[0], assume_unique=True, return_indices=True)
@@ -132,13 +135,14 @@ def signature(elements: np.ndarray, weights: np.ndarray, coordinates: int = COOR
         need = coordinates
 
 
-_SIGNED = "bands array<long>, sketch binary, fine binary"
+_SIGNED = "bands array<long>, size int"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[bytes, tuple[list[int], bytes, bytes]] = {}
+    """The batches with bands, one hash for each band, and size, the number of distinct shingles, in place of the text."""
+    known: dict[bytes, tuple[list[int], int]] = {}
     for batch, texts in blocks(batches, "text"):
-        bands, sketches, fine = [], [], []
+        bands, sizes = [], []
         for node, text in zip(batch.column(batch.schema.get_field_index("node")).to_pylist(), texts, strict=True):
             if node not in known:
                 if len(known) > 5_000:
@@ -146,139 +150,172 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 known[node] = _signed(text)
             own = known[node]
             bands.append(own[0])
-            sketches.append(own[1])
-            fine.append(own[2])
-        columns = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "text"]
+            sizes.append(own[1])
         names = [n for n in batch.schema.names if n != "text"]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(fine, pa.binary())], names=[*names, "bands", "sketch", "fine"])
+        columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], names=[*names, "bands", "size"])
 
 
-def _signed(text: str) -> tuple[list[int], bytes, bytes]:
-    """One hash for each band, a bit of each coordinate, and three further bits of each, bit by bit. Nothing for a text without words."""
+def _signed(text: str) -> tuple[list[int], int]:
+    """One hash for each band, and the number of shingles. No bands for a text without words."""
     elements, weights = shingles(text)
     if not len(elements):
-        return [], b"", b""
-    values = signature(elements, weights)
-    hashes = values[: ROWS * BANDS].reshape(BANDS, ROWS)
+        return [], 0
+    hashes = signature(elements, weights).reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for i in range(ROWS):
         key = _mixed(key ^ hashes[:, i])
-    planes = [np.packbits((values >> np.uint64(7 + i)).astype(np.uint8) & 1).tobytes() for i in range(4)]
-    return key.view(np.int64).tolist(), planes[0], b"".join(planes[1:])
+    return key.view(np.int64).tolist(), len(elements)
 
 
 def node_of(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-_PAIRS = "a binary, b binary, near double"
+_MEMBERS = "band int, key long, hub binary, node binary, size int"
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket's members that adjoin in the sorted rows, or of a member and the first one: all whose estimate is HIGH or more, and each member's best if it is LOW or more."""
-    bucket, held, sketches = None, [], []  # the first member, then the last NEIGHBOURS
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """band, key, hub, node and size of the members of buckets with two or more in this range, and of the range's first and last bucket, which may go on in others; rows come by band, key and node."""
+    held: pa.RecordBatch | None = None  # the last row, of which it isn't known yet whether one of its bucket follows
+    hub, follows, first = None, False, None
     for batch in batches:
-        where = [batch.schema.get_field_index(n) for n in ("band", "key", "node", "sketch")]
-        bits = np.frombuffer(b"".join(batch.column(where[3]).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-        out: tuple[list, list, list] = ([], [], [])
-        for i, (band, key, node) in enumerate(zip(*(batch.column(w).to_pylist() for w in where[:3]), strict=True)):
-            if (band, key) != bucket:
-                bucket, held, sketches = (band, key), [node], [bits[i]]
-                continue
-            differ = np.bitwise_count(np.stack(sketches) ^ bits[i]).sum(axis=1)
-            near = 1 - 2 * differ / (8 * bits.shape[1])
-            best = int(near.argmax())
-            for j in np.nonzero((near >= HIGH) | ((near >= LOW) & (np.arange(len(near)) == best)))[0]:
-                a, b = (held[j], node) if held[j] < node else (node, held[j])
-                if a != b:
-                    for column, value in zip(out, (a, b, float(near[j])), strict=True):
-                        column.append(value)
-            if len(held) > NEIGHBOURS:
-                del held[1], sketches[1]
-            held.append(node)
-            sketches.append(bits[i])
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.float64())], names=["a", "b", "near"])
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([held, batch] if held else [batch]).combine_chunks().to_batches()[0]
+        band, key = (rows.column(rows.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("band", "key"))
+        node = rows.column(rows.schema.get_field_index("node"))
+        first = first or (band[0], key[0])
+        same = (band[1:] == band[:-1]) & (key[1:] == key[:-1])
+        start = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(band)), 0))
+        hubs = node.take(pa.array(start)).to_pylist()
+        if follows:  # the held row belongs to a hub met before
+            for i in range(int(np.searchsorted(start, 0, "right"))):
+                hubs[i] = hub
+        keep = np.r_[follows, same] | np.r_[same, False] | ((band == first[0]) & (key == first[1]))
+        keep[-1] = False
+        made = pa.RecordBatch.from_arrays([pa.array(band, pa.int32()), pa.array(key), pa.array(hubs, pa.binary()), node, rows.column(rows.schema.get_field_index("size"))], names=["band", "key", "hub", "node", "size"])
+        yield made.filter(pa.array(keep))
+        held, hub = rows.slice(len(band) - 1), hubs[-1]
+        follows = bool(np.r_[follows, same][-1])
+    if held:
+        one = {n: held.column(held.schema.get_field_index(n)) for n in ("band", "key", "node", "size")}
+        yield pa.RecordBatch.from_arrays([one["band"].cast(pa.int32()), one["key"], pa.array([hub], pa.binary()), one["node"], one["size"]], names=["band", "key", "hub", "node", "size"])
+
+
+_SETS = "node binary, hashes binary, weights binary"
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node's shingles: their hashes, and their weights unless all are one."""
+    for batch, texts in blocks(batches, "text"):
+        found = [shingles(t) for t in texts]
+        hashes = pa.array([h.tobytes() for h, _ in found], pa.binary())
+        weights = pa.array([w.astype(np.int32).tobytes() if (w != 1).any() else b"" for _, w in found], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("node")), hashes, weights], names=["node", "hashes", "weights"])
+
+
+def _set(hashes: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
+    found = np.frombuffer(hashes, np.uint64)
+    return found, np.frombuffer(weights, np.int32) if weights else np.ones(len(found), np.int32)
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose texts are similar enough; rows come by a, whose shingles are found once."""
-    last, mine = None, None
-    for batch, texts in blocks(batches, "text_b"):
-        keep = []
-        one, own = batch.column(batch.schema.get_field_index("a")).to_pylist(), batch.column(batch.schema.get_field_index("text_a"))
-        for i, (a, text) in enumerate(zip(one, texts, strict=True)):
-            if a != last:
-                last, mine = a, shingles(own[i].as_py())
-            keep.append(similarity(mine, shingles(text)) >= THRESHOLD)
+    """Pairs (a, b) whose shingles are similar enough."""
+    for batch in batches:
+        columns = [batch.column(batch.schema.get_field_index(n)) for n in ("hashes_a", "weights_a", "hashes_b", "weights_b")]
+        keep = [similarity(_set(*(v.as_py() for v in row[:2])), _set(*(v.as_py() for v in row[2:]))) >= THRESHOLD for row in zip(*columns, strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different classes in a piece of work whose estimates are LOW or more by one bit and FINE_LOW or more by four; rows come by their piece.
+def _joining(held: list[tuple], one_side: bool) -> list[tuple[bytes, bytes]]:
+    """Links that join the classes of a piece's members (left, node, root, hashes, weights), each the first to join its two; one_side: left ones are paired with left ones, else with the others.
 
-    A piece has about BLOCK members on each of its two sides; one of kind 0 has one side, paired within itself.
+    Every pair of different classes is counted, unless their totals alone keep it below the threshold.
     """
+    lead: dict[bytes, bytes] = {h[2]: h[2] for h in held}
+
+    def root_of(x: bytes) -> bytes:
+        while lead[x] != x:
+            lead[x] = x = lead[lead[x]]
+        return x
+
+    if len(lead) < 2:
+        return []
+    sets = [_set(h[3], h[4]) for h in held]
+    start = np.r_[0, np.cumsum([len(h) for h, _ in sets])]
+    weights = np.concatenate([w for _, w in sets]).astype(np.int64)
+    _, place = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
+    total = np.add.reduceat(weights, start[:-1])
+    number = {r: i for i, r in enumerate(lead)}
+    classes_ = np.array([number[h[2]] for h in held])
+    names = list(number)
+    is_left = np.array([h[0] for h in held])
+    found, own = [], np.zeros(int(place.max()) + 1, np.int64)
+    for i in np.nonzero(is_left)[0]:
+        others = (is_left & (np.arange(len(held)) > i)) if one_side else ~is_left
+        others = np.nonzero(others & (classes_ != classes_[i]) & (np.minimum(total, total[i]) >= THRESHOLD * np.maximum(total, total[i])))[0]
+        if not len(others):
+            continue
+        mine = slice(start[i], start[i + 1])
+        own[place[mine]] = weights[mine]
+        sizes = start[others + 1] - start[others]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) + np.repeat(start[others] - (ends - sizes), sizes)
+        both = np.add.reduceat(np.minimum(weights[at], own[place[at]]), ends - sizes)
+        own[place[mine]] = 0
+        for j in others[both / (total[i] + total[others] - both) >= THRESHOLD]:
+            one, other = root_of(names[classes_[i]]), root_of(names[classes_[j]])
+            if one != other:
+                lead[other] = one
+                found.append(tuple(sorted((held[i][1], held[j][1]))))
+                classes_[classes_ == classes_[j]] = classes_[i]
+    return found
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The joining links of each piece of work; rows come by their piece. One of kind 0 has one side, paired within itself."""
     piece: tuple | None = None
-    held: list[tuple[bool, bytes, bytes, bytes, bytes]] = []  # on the left side, node, root, sketch, fine
-    out: tuple[list, list, list] = ([], [], [])
-
-    def judge() -> None:
-        if len(held) < 2:
-            return
-        number = {r: i for i, r in enumerate(dict.fromkeys(h[2] for h in held))}
-        roots = np.array([number[h[2]] for h in held])
-        bits = np.frombuffer(b"".join(h[3] for h in held), np.uint64).reshape(len(held), -1)
-        fine = np.frombuffer(b"".join(h[4] for h in held), np.uint64).reshape(len(held), 3, -1)
-        left = np.array([i for i, h in enumerate(held) if h[0]], np.int64)
-        right = np.array([i for i, h in enumerate(held) if not h[0]], np.int64)
-        for n, i in enumerate(left):
-            others = right if piece[2] else left[n + 1 :]
-            others = others[roots[others] != roots[i]]
-            near = 1 - 2 * np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1) / (64 * bits.shape[1])
-            others = others[near >= LOW]
-            differ = (bits[others] ^ bits[i]) | np.bitwise_or.reduce(fine[others] ^ fine[i], axis=1)
-            near = 1 - np.bitwise_count(differ).sum(axis=1) / (64 * bits.shape[1]) * 16 / 15  # unlike values agree in four bits once in 16
-            for j in np.nonzero(near >= FINE_LOW)[0]:
-                a, b = sorted((held[i][1], held[others[j]][1]))
-                for column, value in zip(out, (a, b, float(near[j])), strict=True):
-                    column.append(value)
-
-    def batch_of() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.float64())], names=["a", "b", "near"])
-        for column in out:
-            column.clear()
-        return made
+    held: list[tuple] = []
+    found: list[tuple[bytes, bytes]] = []
+
+    def batch_of(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("band", "key", "kind", "i", "j", "left", "node", "root", "sketch", "fine")]
-        for row in zip(*columns, strict=True):
+        columns = [batch.column(batch.schema.get_field_index(n)) for n in ("band", "key", "kind", "i", "j", "left", "node", "root", "hashes", "weights")]
+        for values in zip(*columns, strict=True):
+            row = tuple(v.as_py() for v in values)
             if row[:5] != piece:
-                judge()
+                if held:
+                    found += _joining(held, piece[2] == 0)
                 piece, held = row[:5], []
-                if len(out[0]) > 10_000:
-                    yield batch_of()
+                if len(found) > 10_000:
+                    yield batch_of(found)
+                    found = []
             held.append(row[5:])
-    judge()
-    yield batch_of()
+    if held:
+        found += _joining(held, piece[2] == 0)
+    yield batch_of(found)
 
 
-def _remaining(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """a, b and near of the pairs that share a bucket and aren't of one class, but for those whose estimates are too low.
+def _remaining(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """a and b of links that join classes whose members (_MEMBERS) share a bucket without being compared.
 
-    In a bucket the members of its most frequent class are only paired with the others. Both are cut into blocks, and
+    In a bucket the members of its largest class are only paired with the others. Both are cut into blocks, and
     each pair of blocks is a piece of work of its own, so that no bucket is gathered in one task.
     """
-    classed = nodes.where(F.size("bands") > 0).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "bands", "sketch", "fine")
-    members = classed.select("node", "root", "sketch", "fine", F.posexplode("bands").alias("band", "key"))
-    shares = members.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
-    mixed = shares.groupBy("band", "key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("n_roots")).where("n_roots > 1")
-    mains, minors = F.ceil(F.col("main.n") / BLOCK), F.ceil((F.col("n") - F.col("main.n")) / BLOCK)
+    classed = members.join(roots, "node", "left").select("band", "key", "hub", "node", F.coalesce("root", "node").alias("root"), F.col("size").cast("long").alias("size"))
+    shares = classed.groupBy("band", "key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("hub").alias("low"), F.max("hub").alias("high"))
+    whole = shares.groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("size", "root")).alias("main"), F.count("*").alias("n_roots"), F.min("low").alias("low"), F.max("high").alias("high"))
+    mixed = whole.where((F.col("n_roots") > 1) & ((F.col("n") > 2) | (F.col("low") != F.col("high"))))  # of a hub and one member both are compared
+    mains, minors = F.ceil(F.col("main.size") / BLOCK), F.ceil((F.col("size") - F.col("main.size")) / BLOCK)
     mixed = scratch(mixed.select("band", "key", F.col("main.root").alias("main"), mains.alias("mains"), minors.alias("minors")))
     if mixed.count() <= BROADCAST_BUCKETS:
-        found = members.join(F.broadcast(mixed), ["band", "key"])
+        found = classed.join(F.broadcast(mixed), ["band", "key"])
     else:
         salted = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        found = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["band", "key", "salt"])
+        found = classed.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["band", "key", "salt"])
     draw = F.xxhash64(F.lit(1), F.col("node"))
     own_minor, own_main = F.pmod(draw, F.col("minors")), F.pmod(draw, F.col("mains"))
     piece = lambda kind, i, j, left: F.struct(kind.alias("kind"), i.alias("i"), j.alias("j"), left.alias("left"))
@@ -287,27 +324,16 @@ def _remaining(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     against = each("mains", lambda k: piece(F.lit(2), own_minor, k, F.lit(True)))
     of_main = each("minors", lambda k: piece(F.lit(2), k, own_main, F.lit(False)))
     pieces = F.when(F.col("root") == F.col("main"), of_main).otherwise(F.concat(among, against))
-    work = found.select("band", "key", F.inline(pieces), "node", "root", "sketch", "fine")
+    work = found.select("band", "key", F.inline(pieces), "node", "root").join(sets, "node")
     by = ["band", "key", "kind", "i", "j"]
-    return work.repartition(*by).sortWithinPartitions(*by).mapInArrow(_across, _PAIRS).groupBy("a", "b").agg(F.first("near").alias("near"))
-
-
-def _picked(pairs: DataFrame) -> DataFrame:
-    """a and b of the most similar pair of each node and of DRAWS more that hashes choose: maxima, taken on the map side, so that a node of many pairs is no hot key."""
-    ends = pairs.select("a", "b", "near", F.explode(F.array("a", "b")).alias("node"))
-    orders = [F.col("near"), *(F.xxhash64(F.lit(i), "a", "b") for i in range(DRAWS))]
-    best = ends.groupBy("node").agg(*(F.max(F.struct(x.alias("by"), "a", "b")).alias(f"_{i}") for i, x in enumerate(orders)))
-    return best.select(F.explode(F.array(*(F.struct(F.col(f"_{i}.a").alias("a"), F.col(f"_{i}.b").alias("b")) for i in range(len(orders))))).alias("p")).select("p.a", "p.b").distinct()
+    return work.repartition(*by).sortWithinPartitions(*by).mapInArrow(_across, "a binary, b binary").distinct()
 
 
-def _counted(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a and b of the pairs that are links by their texts in rows (doc_id, node, text)."""
-    # Only texts of these pairs are fetched, each from the one row that stands for it.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first_doc"), "node")
-    texts = rows.join(wanted.select(F.col("node").alias("wanted"), "first_doc"), (F.col("doc_id").eqNullSafe(F.col("first_doc"))) & (F.col("node") == F.col("wanted")))
-    texts = scratch(texts.select("node", "text").dropDuplicates(["node"]))
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "text_a", "b", "text_b").mapInArrow(_exact, "a binary, b binary")
+def _sets_of(wanted: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, hashes and weights of the wanted nodes, from the one row of rows (doc_id, node, text) that stands for each."""
+    wanted = wanted.join(nodes.select("node", "first_doc"), "node").select(F.col("node").alias("wanted"), "first_doc")
+    texts = rows.join(wanted, (F.col("doc_id").eqNullSafe(F.col("first_doc"))) & (F.col("node") == F.col("wanted")))
+    return scratch(texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(_sets, _SETS))
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -320,38 +346,39 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     text = text_of()
     rows = docs.select(F.col("doc_id").cast("long"), node_of(text).alias("node"), text.alias("text"))
     signed = rows.mapInArrow(_sign, f"doc_id long, node binary, {_SIGNED}")
-    nodes = scratch(signed.groupBy("node").agg(F.min("doc_id").alias("first_doc"), *(F.first(c).alias(c) for c in ("bands", "sketch", "fine"))))
-    # Within a bucket the next bands' hashes set the order: texts that share more of the signature adjoin.
-    following = F.array(*(F.element_at("bands", F.pmod(F.col("band") + i, F.lit(BANDS)) + 1) for i in (1, 2, 3)))
-    buckets = nodes.where(F.size("bands") > 0).select("node", "bands", "sketch", F.posexplode("bands").alias("band", "key"))
-    buckets = buckets.select("band", "key", F.xxhash64(following[0]).alias("then"), F.xxhash64(following).alias("last"), "node", "sketch")
+    nodes = scratch(signed.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"), F.first("size").alias("size")))
+    buckets = nodes.where(F.size("bands") > 0).select(F.posexplode("bands").alias("band", "key"), "node", "size")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    sorted_ = buckets.repartitionByRange(parts, "band", "key", "then", "last", "node").sortWithinPartitions("band", "key", "then", "last", "node")
-    pairs = scratch(sorted_.mapInArrow(_neighbours, _PAIRS).groupBy("a", "b").agg(F.first("near").alias("near")))
-    picked = scratch(_picked(pairs.where(F.col("near") < HIGH)))
-    found = scratch(pairs.where(F.col("near") >= HIGH).select("a", "b").unionByName(_counted(picked, rows, nodes)))
+    ranged = buckets.repartitionByRange(parts, "band", "key", "node").sortWithinPartitions("band", "key", "node")
+    members = scratch(ranged.mapInArrow(_shared, _MEMBERS))
+    sets = _sets_of(members.select("node").distinct(), rows, nodes)
+    pairs = members.where("hub != node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"hashes_{x}"), F.col("weights").alias(f"weights_{x}"))
+    found = scratch(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "hashes_a", "weights_a", "b", "hashes_b", "weights_b").mapInArrow(_exact, "a binary, b binary"))
     roots = components(found)
-    # The neighbours' other pairs are among these, if their nodes are still of different classes.
-    rest = scratch(_remaining(nodes, roots).join(picked, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        more = rest.where(F.col("near") >= FINE_HIGH).select("a", "b").unionByName(_counted(rest.where(F.col("near") < FINE_HIGH).select("a", "b"), rows, nodes))
-        found = found.unionByName(scratch(more))
+    more = scratch(_remaining(members, roots, sets))
+    if more.limit(1).count():
+        found = found.unionByName(more)
         roots = components(found)
     return nodes.select("node", "first_doc"), found, roots
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (the smallest node that links lead to) of every node of edges (a, b), a != b.
+    """node and root (a node of the same component, the same for all its nodes) of every node of edges (a, b), a != b.
 
-    Each round every node moves to the smallest among itself and its neighbours. Links are redrawn between the nodes
-    moved to; those within a node and repeats go, so that links and nodes shrink by the round, and the rounds end when
-    no link is left. Minima are taken on the map side, and each round is written to the shared folder.
+    Each round every node moves to the first among itself and its neighbours in an order that hashes give anew. Links
+    are redrawn between the nodes moved to; those within a node and repeats go, and the rounds end when no link is
+    left. As the order is random, a share of the nodes goes in each round whatever the shape of the graph, so that
+    rounds grow with the logarithm of its size. Minima are taken on the map side, and each round is written to the
+    shared folder.
     """
     left = scratch(edges.select("a", "b").distinct())
-    moved = None
+    moved, seed = None, 0
     while True:
+        place = lambda c: F.struct(F.xxhash64(F.lit(seed), F.col(c)).alias("by"), F.col(c).alias("node"))  # noqa: E731, B023  used in this round
         both = left.select(F.col("a").alias("u"), F.col("b").alias("v")).union(left.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        step = scratch(both.groupBy("u").agg(F.least("u", F.min("v")).alias("to")))
+        nearest = both.groupBy("u").agg(F.min(place("v")).alias("to"))
+        step = scratch(nearest.select("u", F.least(place("u"), F.col("to"))["node"].alias("to")))
         if moved is None:
             moved = step.select(F.col("u").alias("node"), F.col("to").alias("root"))
         else:
@@ -360,6 +387,7 @@ def components(edges: DataFrame) -> DataFrame:
         first = left.join(step.select(F.col("u").alias("a"), F.col("to").alias("x")), "a").select("b", "x")
         drawn = first.join(step.select(F.col("u").alias("b"), F.col("to").alias("y")), "b").where("x != y")
         left = scratch(drawn.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        seed += 1
         if not left.limit(1).count():
             return moved
 

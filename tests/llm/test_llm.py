@@ -255,39 +255,96 @@ def test_near_duplicates(spark):
     assert got[12] == got[13] == 12 and got[6] == got[7] == 6 and len(got) == len(texts)
     kept = minhash.keep_one(docs)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values())) and kept.columns == docs.columns
-    edges = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(40)], "a binary, b binary")
-    assert {bytes(r.root) for r in minhash.components(edges).collect()} == {b"\0"}
     assert minhash.classes(docs_of(spark, [])).count() == 0
 
 
-def test_near_duplicates_leave_no_link_out_in_large_buckets(spark, monkeypatch):
-    """With no neighbours to speak of and tiny blocks the classes are those of brute force."""
+@pytest.mark.parametrize("order", ["up", "down", "star"])
+def test_components_of_long_chains(spark, order):
+    """Chains in the order of their names, which least neighbours alone would shorten by a node a round, end soon."""
+    n = 3000
+    name = lambda i: (i if order == "up" else n - i).to_bytes(4, "big")
+    pairs = [(name(0 if order == "star" else i), name(i + 1)) for i in range(n)] + [(b"x", b"y")]
+    found = minhash.components(spark.createDataFrame(pairs, "a binary, b binary")).toPandas()
+    roots = found.groupby(found.root.map(bytes)).node.count().tolist()
+    assert sorted(roots) == [2, n + 1]
+
+
+def classes_by_hand(texts):
+    sets = [minhash.shingles(t or "") for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (texts[i] or "") == (texts[j] or "") or minhash.similarity(sets[i], sets[j]) >= minhash.THRESHOLD:
+                one, other = sorted((label[i], label[j]))
+                label = [one if x == other else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize(("block", "bound", "parts"), [(500_000, 200_000, 4), (700, 200_000, 13), (700, 0, 2), (1, 0, 4)])
+def test_near_duplicates_leave_no_link_out_in_large_buckets(spark, monkeypatch, block, bound, parts):
+    """Whatever the blocks' size and the ranges' number, the classes are those of brute force."""
     texts = []
     for g in range(4):  # texts of a group share two thirds with those of the others, and nearly all with their own
         common, own = prose(100, 200).split(), prose(200 + g, 60).split()
         for k in range(7):
             words = common + own
-            words[k * 20] = f"changed{k}"
+            for c in range(1 + k % 5):
+                words[(k * 20 + 37 * c) % len(words)] = f"changed{k}"
             texts.append(" ".join(words))
-    sets = [minhash.shingles(t) for t in texts]
-    label = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if minhash.similarity(sets[i], sets[j]) >= minhash.THRESHOLD:
-                one, other = sorted((label[i], label[j]))
-                label = [one if x == other else x for x in label]
-    docs = docs_of(spark, texts)
-    monkeypatch.setattr(minhash, "BLOCK", 3)
-    def none(batches):
-        import pyarrow as pa
+    texts += [*EDGE, "one two", "One, two!", texts[3]]
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BROADCAST_BUCKETS", bound)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        assert {r.doc_id: r.class_id for r in minhash.classes(docs_of(spark, texts)).collect()} == dict(enumerate(classes_by_hand(texts)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
 
-        for _ in batches:
-            yield pa.RecordBatch.from_pylist([], pa.schema([("a", pa.binary()), ("b", pa.binary()), ("near", pa.float64())]))
 
-    monkeypatch.setattr(minhash, "_neighbours", none)
-    for bound in (200_000, 0):
-        monkeypatch.setattr(minhash, "BROADCAST_BUCKETS", bound)
-        assert {r.doc_id: r.class_id for r in minhash.classes(docs).collect()} == dict(enumerate(label))
+def test_a_piece_gives_fewer_links_than_it_has_members():
+    r = random.Random(2)
+    base = prose(1, 300).split()
+    texts = []
+    for _ in range(60):
+        words = base.copy()
+        for _ in range(r.randrange(8)):
+            words[r.randrange(300)] = f"other{r.randrange(99)}"
+        texts.append(" ".join(words) + " " + words[0] * r.randrange(2))
+    sets = [minhash.shingles(t) for t in texts]
+    for one_side in (True, False):
+        held = [(one_side or i < 25, bytes([i]), bytes([i]), h.tobytes(), w.astype(np.int32).tobytes()) for i, (h, w) in enumerate(sets)]
+        found = minhash._joining(held, one_side)
+        near = [(i, j) for i in range(60) for j in range(i) if minhash.similarity(sets[i], sets[j]) >= 0.8 and (one_side or (i < 25) != (j < 25))]
+        label = list(range(60))
+        for i, j in near:
+            one, other = sorted((label[i], label[j]))
+            label = [one if x == other else x for x in label]
+        assert len(found) == 60 - len(set(label)) < len(near)
+        assert all((max(a[0], b[0]), min(a[0], b[0])) in near for a, b in found)
+
+
+def test_near_duplicates_are_found_with_the_promised_chance():
+    """Pairs about the threshold: those over it share a band."""
+    over = found = 0
+    for seed in range(150):
+        r = random.Random(seed)
+        words = prose(seed, 250).split()
+        near = words.copy()
+        for _ in range(r.randrange(3, 8)):
+            near[r.randrange(250)] = "other"
+        one, other = " ".join(words), " ".join(near)
+        if 0.8 <= minhash.similarity(minhash.shingles(one), minhash.shingles(other)) < 0.88:
+            over += 1
+            found += any(a == b for a, b in zip(minhash._signed(one)[0], minhash._signed(other)[0], strict=True))
+    assert over > 50 and found == over
+
+
+def test_weighted_agreement_is_the_similarity():
+    one = (np.arange(60, dtype=np.uint64), np.arange(60) % 4 + 1)
+    other = (np.arange(20, 80, dtype=np.uint64), np.arange(60) % 3 + 1)
+    x, y = minhash.signature(*one, 6000), minhash.signature(*other, 6000)
+    assert abs((x == y).mean() - minhash.similarity(one, other)) < 0.03
 
 
 def test_near_duplicates_give_no_partial_count_of_links(spark):
