@@ -140,6 +140,47 @@ def test_html(spark):
     assert html_text.common(list("abcbdab"), list("bdcaba")) and len(html_text.common(list("abcbdab"), list("bdcaba"))) == 4
 
 
+def longest(one, other):
+    row = [0] * (len(other) + 1)
+    for x in one:
+        new = [0]
+        for j, y in enumerate(other):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize(("pairs", "bits"), [(10**6, 1 << 28), (0, 1 << 28), (0, 40)])
+def test_common_lines_are_a_longest_common_subsequence(monkeypatch, pairs, bits):
+    monkeypatch.setattr(html_text, "_PAIRS", pairs)
+    monkeypatch.setattr(html_text, "_TABLE_BITS", bits)
+    r = random.Random(1)
+    for _ in range(300):
+        one, other = ([r.choice("abcdefgh"[: r.randrange(1, 9)]) for _ in range(r.randrange(30))] for _ in range(2))
+        found = sorted(html_text.common(one, other))
+        at = iter(other)
+        assert len(found) == longest(one, other) and all(one[i] in at for i in found)
+
+
+def test_html_takes_time_in_proportion_to_the_page():
+    import time
+
+    def seconds(f, *args):
+        begin = time.perf_counter()
+        f(*args)
+        return time.perf_counter() - begin
+
+    assert seconds(html_text.lines_of, "<a " * 200_000) < 5 and seconds(html_text.lines_of, '<a "' * 200_001 + ">x") < 5
+    many = ["x", "y"] * 5000
+    assert seconds(html_text.common, [*many, "a", *many], ["b", *many, *many]) < 20
+
+
+def test_html_tags_without_end():
+    text = lambda page: [x[0] for x in html_text.lines_of(page)]
+    assert text("<p>one <a href='x>two</a> three<p>four") == ["one two three", "four"]
+    assert text("<p>1 <b and a<c") == ["1 <b and a<c"] and text("<p>a > b <") == ["a > b <"] and text("<p>x<a title='>'>y</a>") == ["xy"]
+
+
 def test_html_differencing_decides_outside_articles(spark):
     page = lambda i, body: (i, f"http://h/a/{i}", f"<body><div>Site name</div><div><p>{body}</p></div><article class='comment'><p>Nice {i}</p></article><article><p>Teaser</p></article><div>Imprint</div>")
     pages = [page(1, "Body one"), page(2, "Body two"), page(3, "Body three"), (4, "http://h/a/3?again", page(3, "Body three")[2])]
