@@ -1,7 +1,9 @@
 """Quality scores by compression: a text is good if a zstandard dictionary of good text serves it better than one of bad text.
 
-The two dictionaries are built from labelled text. A text is compressed in blocks with either; the difference of the
-two sizes, divided by their sum, is calibrated to a probability, together with how far the text can be compressed at all.
+The two dictionaries are built from labelled text. A text is cut into blocks, each compressed alone with either; the
+difference of the two sizes, divided by their sum, says which dictionary serves the block. Blocks are short, so that
+what precedes in the text doesn't stand in for the dictionary. Normalised differences alone are calibrated to a
+probability: of the whole text, of its worst blocks, and how many blocks are served clearly better by either.
 """
 
 from __future__ import annotations
@@ -18,8 +20,11 @@ from pyspark.sql import types as T
 
 from alphaloom.llm.common import blocks, on_executors, sample_ids
 
-_BLOCK = 2048
+#: Bytes in a block; the whole is also compared in long blocks.
+_BLOCK, _LONG = 64, 1024
 _LEVEL = 3
+#: The normalised difference from which a block is clearly served better by one dictionary.
+_CLEAR = 0.02
 
 
 @dataclass(frozen=True)
@@ -34,27 +39,34 @@ class QualityModel:
 
 
 class _Sizes:
-    """Sizes of a text compressed in blocks, with the dictionary of good text, with that of bad text, and without any."""
+    """Sizes of blocks compressed with the dictionary of good text and with that of bad text."""
 
     def __init__(self, good: bytes, bad: bytes):
         import zstandard
 
         self.by = []
-        for data in (good, bad, b""):
-            kept = zstandard.ZstdCompressionDict(data) if data else None
-            if kept:
-                kept.precompute_compress(level=_LEVEL)
-            self.by.append(zstandard.ZstdCompressor(level=_LEVEL, dict_data=kept, write_content_size=False, write_dict_id=False))
+        for data in (good, bad):
+            kept = zstandard.ZstdCompressionDict(data)
+            kept.precompute_compress(level=_LEVEL)
+            self.by.append(zstandard.ZstdCompressor(level=_LEVEL, dict_data=kept, write_content_size=False, write_dict_id=False, write_checksum=False))
+
+    def of(self, raw: bytes, block: int) -> tuple[np.ndarray, np.ndarray]:
+        parts = [raw[i : i + block] for i in range(0, len(raw), block)] or [b""]
+        good, bad = (np.fromiter((len(c.compress(p)) for p in parts), np.int64, len(parts)) for c in self.by)
+        return good, bad
 
     def features(self, text: str) -> list[float]:
+        """Six differences, by which bad text is larger than good text if the text is good; an empty text has zeros."""
         raw = text.encode("utf-8", "replace")
-        parts = [raw[i : i + _BLOCK] for i in range(0, len(raw), _BLOCK)]
-        good, bad, plain = (sum(len(c.compress(p)) for p in parts) for c in self.by)
-        n = max(1, len(raw))
-        return [(bad - good) / max(1, good + bad), good / n, bad / n, plain / n, math.log1p(len(raw))]
+        good, bad = self.of(raw, _BLOCK)
+        each = (bad - good) / (bad + good)
+        worst = np.sort(each)[: max(1, len(each) // 4)]
+        total, by_length = (bad - good).sum() / (bad + good).sum(), (bad - good).sum() / (_BLOCK * len(each))
+        good, bad = self.of(raw, _LONG)
+        return [total, by_length, worst.mean(), (each < -_CLEAR).mean(), (each > _CLEAR).mean(), (bad - good).sum() / (bad + good).sum()]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int = 60) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 60) -> np.ndarray:
     """Weights, the last being the constant's, by Newton's method with a quadratic penalty."""
     x = np.column_stack([x, np.ones(len(x))])
     w, keep = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, penalty), 1e-9]
@@ -72,7 +84,7 @@ def _expand(x: np.ndarray, means: np.ndarray, scales: np.ndarray) -> np.ndarray:
     return np.column_stack([z, *(z[:, [i]] * z[:, i:] for i in range(z.shape[1]))])
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 3000, dictionary: int = 112_640) -> QualityModel | None:
+def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 3000, dictionary: int = 32_768) -> QualityModel | None:
     """A model from labelled documents: docs (doc_id, text) and labels (doc_id, label 0 or 1), about per_class of either label.
 
     Half of the rows make the dictionaries, the other half the calibration, which a dictionary's own text would
