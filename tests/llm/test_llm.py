@@ -87,6 +87,49 @@ def test_fingerprints(spark):
     assert got.x == got.y and got.z == got.w
 
 
+def multiset(text):
+    return sorted(p for p in re.split(r"\n|(?<=[.!?]) ", text or "") if p)
+
+
+def test_fingerprints_are_equal_where_the_multisets_are_and_as_alike(spark):
+    r = random.Random(4)
+    lines = [prose(i, 6) + "." for i in range(60)]
+    texts = [*EDGE]
+    for k in range(60):
+        own = [lines[r.randrange(len(lines))] for _ in range(r.randrange(1, 50))]
+        texts += ["\n".join(own), " ".join(own[::-1]), "\n".join([*own[: len(own) // 2], *(f"new {k} {i}" for i in range(len(own) // 2))])]
+    docs = docs_of(spark, texts)
+    got = {x.doc_id: x for x in fingerprints.compare_with_edit(docs).select("doc_id", "edited", "print", "edited_print", fingerprints.likeness(F.col("print"), F.col("edited_print")).alias("edit"), fingerprints.likeness(F.col("print"), F.col("next_print")).alias("next")).collect()}
+    assert len(got) == len(texts)
+    of = {}
+    for i, t in enumerate(texts):
+        of.setdefault(tuple(multiset(t)), set()).add(tuple(got[i].print))
+        of.setdefault(tuple(multiset(got[i].edited)), set()).add(tuple(got[i].edited_print))
+    assert all(len(x) == 1 for x in of.values()) and len(set.union(*of.values())) == len(of)
+
+    def alike(a, b):
+        a, b = ({p: m.count(p) for p in m} for m in (multiset(a), multiset(b)))
+        size = sum(n * n for n in [*a.values(), *b.values()])
+        return 2 * sum(n * b.get(p, 0) for p, n in a.items()) / size if size else float(a == b)
+
+    off = [got[i].next - (1.0 if multiset(t) == multiset(texts[i - 1]) else alike(t, texts[i - 1])) for i, t in enumerate(texts)]
+    off += [got[i].edit - alike(t, got[i].edited) for i, t in enumerate(texts) if multiset(t)]
+    assert np.abs(off).max() < 0.3 and np.sqrt(np.mean(np.square(off))) < 0.09
+    # Every word of the vector hangs on a hash of its own: no two are a function of each other's hash.
+    one = spark.range(1).select(*(F.xxhash64(F.lit(i), F.lit("paragraph")).alias(f"h{i}") for i in range(2)), fingerprints.fingerprint(F.lit("paragraph")).alias("p")).first()
+    assert [one.h0 & (2**62 - 1), one.h1 & (2**62 - 1)] == one.p[:2]
+
+
+def test_fingerprints_of_odd_tables(spark):
+    assert fingerprints.compare_with_edit(docs_of(spark, [])).count() == 0
+    rows = [(None, "a. b."), (None, "c"), (1, "a. b."), (1, "a. b."), (1, None), (-5, "x" * 300_000)]
+    got = fingerprints.compare_with_edit(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(x.doc_id) for x in got) == sorted(str(x[0]) for x in rows)
+    assert all(len(x.edited) == x.n_chars or x.n_chars >= 3 for x in got)
+    one = fingerprints.compare_with_edit(docs_of(spark, ["abcdef"])).first()
+    assert one.edited == "abcdab" and one.print == one.next_print
+
+
 def contaminated(texts, items, width=13):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
     out = []
@@ -250,6 +293,56 @@ def test_pii(spark):
     assert got[15] == [("context", 11, 18)]  # after a pattern that four addresses taught
 
 
+def base_by_hand(text):
+    """The contract's words, one kind after the other."""
+    digits = lambda s: re.sub("[^0-9]", "", s)
+
+    def luhn(s):
+        return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (c > "4") for i, c in enumerate(reversed(digits(s)))) % 10 == 0
+
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda s: 13 <= len(digits(s)) <= 19 and luhn(s)),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(digits(s)) <= 15),
+    }
+    return [(k, m.start(), m.end()) for k, (p, holds) in kinds.items() for m in re.finditer(p, text or "") if holds(m[0])]
+
+
+def test_pii_base_spans_are_those_of_brute_force(spark):
+    r = random.Random(6)
+    parts = ["4111111111111111", "4111-1111 1111 1111", "+1 (542) 555-3599", "+12", "+0 123.456.789", "10.0.0.1", "1.2.3.4.5.6.7.8", "256.1.1.1", "a.b+c@d-e.f", "@x.y", "a@b", "a@b.c@d.e", "0" * 19, "é😀", "12-", "\n", " ", "  ", ".", "7", "00", "(", ")", "x"]
+    texts = [*EDGE, *("".join(r.choice(parts) + r.choice(["", " ", "-", "."]) for _ in range(r.randrange(1, 40))) for _ in range(300))]
+    got = {x.doc_id: [tuple(s) for s in x.base] for x in docs_of(spark, texts).select("doc_id", pii.base_spans(F.coalesce("text", F.lit(""))).alias("base")).collect()}
+    assert got == {i: base_by_hand(t) for i, t in enumerate(texts)}
+
+
+def test_pii_takes_time_in_proportion_to_the_text(spark):
+    import time
+
+    begin = time.perf_counter()
+    text = "at 10.0.0.1 by a@b.cd or " * 48_000
+    got = pii.find(docs_of(spark, [text])).first()
+    assert len(got.base) == 96_000 and [tuple(s) for s in got.base[-1:]] == [("ip", len(text) - 22, len(text) - 14)] and time.perf_counter() - begin < 90
+
+
+def test_pii_learns_patterns_of_three_kinds(spark):
+    texts = [f"{prose(i, 3)} note mail to u{i}@ex{i}.org" for i in range(5)]  # two words before
+    texts += [f"{prose(50 + i, 3)} from 10.0.{i}.{i + 2} {prose(60 + i, 2)}" for i in range(5)]  # the word before and the shape
+    texts += [f"{prose(ord(w), 3)} {w} {n} issued" for w, n in zip("abcd", ("4111111111111111", "6011000990139424", "4012888888881881", "5555555555554444"), strict=True)]  # the shape and the word after
+    texts += ["we mail to nodigits here", "hello from 999.1.1.1 there", "our 4111111111111112 issued it", "from nowhere", "x issued"]
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "context"] for r in pii.find(docs_of(spark, texts)).collect()}
+    n = len(texts)
+    assert got[n - 5] == ["nodigits"] and got[n - 4] == ["999.1.1.1"] and got[n - 3] == ["4111111111111112"] and got[n - 2] == got[n - 1] == []
+
+
+def test_pii_finds_hidden_seeds_again(spark):
+    texts = [f"{prose(i, 4)} contact person user{i}x@mail{i}.org {prose(i, 3)}" for i in range(60)] + [f"{prose(i, 9)} w{i}q@other.net {prose(200 + i, 3)}" for i in range(20)]
+    got = pii.rediscovery(docs_of(spark, texts)).first()
+    assert got.n_hidden > 25 and got.n_found >= 0.6 * got.n_hidden and got.n_other == 0
+    assert tuple(pii.rediscovery(docs_of(spark, [])).first()) == (0, 0, 0)
+
+
 def test_pii_learns_from_all_seeds(spark):
     far = " \n" + "word " * 300
     texts = [f"write to {a}@example.org now" for a in ("ann", "bob", "cleo", "dan", "eve")] + ["write to zzkeyname now", far + "write  to (zzqq99xx), ok", far + "write to"]
