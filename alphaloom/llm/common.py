@@ -30,13 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder in the shared one, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/alphaloom/{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def scratch(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage, and a lost executor costs no recomputation of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/alphaloom/{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @atexit.register
@@ -50,6 +55,14 @@ def _clean() -> None:
             return
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or the next like it that no column of df has; letters count alike in either case, as in Spark."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def on_executors(spark: SparkSession) -> None:
     """Python workers find this package even if it is not installed and they start in another folder."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)

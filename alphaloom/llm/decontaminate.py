@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alphaloom.llm.common import scratch, text_of
+from alphaloom.llm.common import free_name, scratch, text_of
 
 #: ASCII capitals and small letters, and what separates words.
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -80,7 +80,8 @@ def _verify_in_place(source: DataFrame, prefix: DataFrame) -> DataFrame:
 def _verify_by_shuffle(source: DataFrame, prefix: DataFrame) -> DataFrame:
     """The same for a benchmark that isn't broadcast: every place of a document whose word is a prefix is joined with the words around it."""
     reach = prefix.agg(F.max("size").alias("most")).first()["most"] or 1
-    each = source.select("row", "words", F.posexplode("words").alias("pos", "of"))
+    # Words that are no prefix go before any slice is made; what is left is as much as the benchmark's words occur.
+    each = source.select("row", "words", F.posexplode("words").alias("pos", "of")).join(prefix.select(F.col("word").alias("of")).distinct(), "of", "left_semi")
     low = F.greatest(F.col("pos") - reach + 1, F.lit(0))
     around = F.slice("words", low + 1, F.lit(2 * reach - 1))
     places = each.select("row", "pos", "of", low.alias("low"), around.alias("around"))
@@ -124,5 +125,6 @@ def report(docs: DataFrame, items: DataFrame, width: int = 13) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 13) -> DataFrame:
     """docs without exactly its contaminated rows, whatever their doc_id: rows are told apart by their text, which alone decides."""
     digest = F.sha2(text_of().cast("binary"), 256)
-    bad = report(docs.select(digest.alias("doc_id"), "text"), items, width).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.withColumn("__text", digest).join(bad, F.col("__text") == F.col("__bad"), "left_anti").drop("__text")
+    own, of = free_name(docs, "own_text"), free_name(docs, "bad_text")
+    bad = report(docs.select(digest.alias("doc_id"), "text"), items, width).where("contaminated").select(F.col("doc_id").alias(of)).distinct()
+    return docs.withColumn(own, digest).join(bad, F.col(own) == F.col(of), "left_anti").drop(own)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alphaloom.llm.common import blocks, on_executors, scratch, text_of
+from alphaloom.llm.common import blocks, free_name, on_executors, scratch, text_of
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -408,10 +408,10 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the rows that aren't the first of their class: of each class the rows of its smallest doc_id stay, one of them if they repeat."""
-    nodes, found, roots = links(docs)
-    best = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first_doc").alias("__first"), F.min_by("node", F.struct("first_doc", "node")).alias("__node"))
-    names = docs.columns
-    keyed = docs.withColumn("__own", node_of(text_of()))
-    kept = keyed.join(best.select("__first", "__node"), F.col("__own").eqNullSafe(F.col("__node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__first")))
-    return kept.dropDuplicates(["__node"]).select(*names)
+    """docs without the rows that aren't the first of their class: of each class the rows of its smallest doc_id stay, one of them if they repeat. All columns stay, whatever their names."""
+    nodes, _, roots = links(docs)
+    own, least, first = (free_name(docs, n) for n in ("own_node", "class_node", "class_doc"))
+    best = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first_doc").alias(first), F.min_by("node", F.struct("first_doc", "node")).alias(least))
+    keyed = docs.withColumn(own, node_of(text_of()))
+    kept = keyed.join(best.select(first, least), F.col(own).eqNullSafe(F.col(least)) & F.col("doc_id").cast("long").eqNullSafe(F.col(first)))
+    return kept.dropDuplicates([least]).select(*docs.columns)

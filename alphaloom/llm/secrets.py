@@ -1,8 +1,8 @@
 """Secret scans with an incremental ledger of blobs.
 
-Every version of a text is addressed by the SHA-256 of its content. The ledger says which (blob, rule and version)
-pairs have been scanned and what was found; only pairs that it lacks are scanned, each distinct text once, and the
-findings are joined back to every row that has the text.
+Every version of a text is addressed by the SHA-256 of its content. The ledger, a table in a folder that all share, says
+which (blob, rule and version) pairs have been scanned and what was found; only pairs that it lacks are scanned, each
+distinct text once, and appended; the findings are joined back to every row that has the text.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alphaloom.llm.common import blocks, on_executors, scratch, text_of
+from alphaloom.llm.common import blocks, free_name, on_executors, scratch_path, text_of
 
 #: The rules with their versions, in order. The first three are the base; their letters are ASCII.
 RULES = {
@@ -35,6 +35,9 @@ _PEM = re.compile(r"-----BEGIN ([A-Z ]{0,40}PRIVATE KEY)-----")
 _PEM_BODY = re.compile(r"(?:(?:\s|\\[nr])*+(?:(?:Proc-Type|DEK-Info):[^\r\n\\]*+|[A-Za-z0-9+/]{16,}+={0,2}+|[A-Za-z0-9+/]++={1,2}+))*+")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
 _SPANS = "array<struct<kind:string,start:long,end:long>>"
+_LEDGER = f"blob binary, rule string, spans {_SPANS}"
+#: Into how many parts the rows of a blob are dealt where findings are joined back to them.
+SALTS = 16
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -102,23 +105,58 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: dict[str, str]
     if ledger is not None:
         known = ledger.where(F.col("rule").isin([f"{r}@{v}" for r, v in rules.items()])).groupBy("blob").agg(F.collect_set("rule").alias("done"))
         blobs = blobs.join(known, "blob", "left").where(F.coalesce(F.size("done"), F.lit(0)) < len(rules)).select("blob", "text", "done")
-    return blobs.mapInArrow(_scan(rules), f"blob binary, rule string, spans {_SPANS}")
+    return blobs.mapInArrow(_scan(rules), _LEDGER)
+
+
+def update(docs: DataFrame, path: str, rules: dict[str, str] | None = None) -> DataFrame:
+    """The whole ledger of the folder `path`, after what it lacks of docs' texts has been scanned and appended.
+
+    A folder that isn't there is an empty ledger. Nothing is appended if all has been seen. A job that is lost before
+    it is committed leaves the ledger as it was; the next one scans those blobs again. Two jobs that write at a time
+    may scan a blob twice, whose findings are then the same.
+    """
+    spark = docs.sparkSession
+    read = lambda: spark.read.schema(_LEDGER).parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    scan(docs, read() if there else None, rules).write.mode("append").parquet(path)
+    return read()
+
+
+def _found(ledger: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """blob and spans, by start and then by the rules' order, of the blobs in which the rules found something."""
+    found = ledger.where(F.col("rule").isin([f"{r}@{v}" for r, v in rules.items()]) & (F.size("spans") > 0)).groupBy("blob").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    order = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r), F.lit(i))))
+    keyed = F.array_sort(F.array_distinct(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("nth"), s["kind"].alias("kind"), s["end"].alias("end")))))
+    return found.select("blob", F.transform(keyed, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
+
+
+def _joined_back(rows: DataFrame, found: DataFrame, key: str, spans: str) -> DataFrame:
+    """rows, which have a column `key` of blobs, with the blobs' spans, null where nothing was found.
+
+    A blob's rows are dealt to SALTS parts, so that one with a third of them all isn't one task's; found, which has
+    a row for each blob with secrets, is repeated as often.
+    """
+    salt = free_name(rows, "salt")
+    parts = found.select(F.col("blob").alias(key), F.col("spans").alias(spans), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+    # Dealt by content: rand() would deal a recomputed row to another part.
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*(F.col(c) for c in rows.columns if c == "doc_id"), F.lit(3)), F.lit(SALTS)).cast("int"))
+    return dealt.join(parts, [key, salt], "left").drop(salt)
 
 
 def findings(docs: DataFrame, ledger: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
     """docs' doc_id and blob with spans, those of all rules by start and then by the rules' order; an empty list where there are none."""
-    rules = RULES if rules is None else rules
-    found = ledger.where(F.col("rule").isin([f"{r}@{v}" for r, v in rules.items()]) & (F.size("spans") > 0)).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    order = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r), F.lit(i))))
-    keyed = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("nth"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    found = found.select("blob", F.transform(keyed, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
     paths = docs.select("doc_id", blob_of(text_of()).alias("blob"))
-    return paths.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
+    both = _joined_back(paths, _found(ledger, RULES if rules is None else rules), "blob", "spans")
+    return both.select("doc_id", "blob", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
+
 
+def scan_documents(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:
+    """findings() of docs after the ledger of the folder `ledger_path` has been brought up to date; without a path, of a new ledger in the shared folder.
 
-def scan_documents(docs: DataFrame) -> DataFrame:
-    """findings() of docs with a ledger that starts empty."""
-    return findings(docs, scratch(scan(docs)))
+    A null text counts as empty and has none; repeated rows are answered each; other columns are ignored.
+    """
+    return findings(docs, update(docs, ledger_path or scratch_path(docs.sparkSession)))
 
 
 def joined(spans: Column) -> Column:
@@ -126,10 +164,10 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _mask(rules: dict[str, str], mark: str):
+def _mask(column: str, mark: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches, "text"):
-            spans = batch.column(batch.schema.get_field_index("spans")).to_pylist()
+            spans = batch.column(batch.schema.get_field_index(column)).to_pylist()
             out = []
             for text, found in zip(texts, spans, strict=True):
                 if found and text is not None:
@@ -141,21 +179,20 @@ def _mask(rules: dict[str, str], mark: str):
                             at = s["end"]
                     text = "".join([*parts, text[at:]])
                 out.append(text)
-            columns = [pa.array(out, pa.string()) if n == "text" else batch.column(i) for i, n in enumerate(batch.schema.names) if n != "spans"]
-            yield pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n != "spans"])
+            columns = [pa.array(out, pa.string()) if n == "text" else batch.column(i) for i, n in enumerate(batch.schema.names) if n != column]
+            yield pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n != column])
 
     return run
 
 
-def mask(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with every secret in text replaced by the mark; all rows and columns stay.
+def mask(docs: DataFrame, mark: str = "[secret]", ledger_path: str | None = None) -> DataFrame:
+    """docs with every secret in text replaced by the mark; all rows and columns stay, whatever their names. A null text stays null.
 
-    The ledger decides which texts are touched: rows are matched to findings by the content of their text.
+    The ledger decides which texts are touched: rows are matched to findings by the content of their text. It is that
+    of the folder `ledger_path`, brought up to date, or a new one in the shared folder.
     """
     on_executors(docs.sparkSession)
-    ledger = scratch(scan(docs).where(F.size("spans") > 0))
-    found = ledger.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans")), lambda a, b: (a["start"] - b["start"]).cast("int")).alias("__spans"))
-    names = docs.columns
-    joined_ = docs.withColumn("__blob", blob_of(text_of())).join(found.withColumnRenamed("blob", "__blob"), "__blob", "left")
-    rows = joined_.select(*names, F.col("__spans").alias("spans"))
-    return rows.mapInArrow(_mask(RULES, mark), docs.schema)
+    found = _found(update(docs, ledger_path or scratch_path(docs.sparkSession)), RULES)
+    key, spans = free_name(docs, "blob"), free_name(docs, "found_spans")
+    rows = _joined_back(docs.withColumn(key, blob_of(text_of())), found, key, spans).select(*docs.columns, spans)
+    return rows.mapInArrow(_mask(spans, mark), docs.schema)

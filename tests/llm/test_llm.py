@@ -278,6 +278,49 @@ def test_secrets(spark):
     assert masked[8] == "[secret]' [secret] [secret]" and masked[0] is None and masked[6] == texts[6]
 
 
+def secrets_by_hand(text):
+    text = text or ""
+    out = [("assign", m.start(), m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 12]
+    out += [("access", m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out, key=lambda s: (s[1], secrets.BASE.index(s[0])))
+
+
+def test_base_secrets_are_those_of_brute_force(spark):
+    r = random.Random(8)
+    parts = ["password", "Token", "api_key", "APIKEY", "secret", "ſecret", "=", ": ", " : ", "'", '"', "0123456789abcdef", "AKIA", "ABCD1234EFGH5678", "abcdefghijkl", "é", " ", "\n", "AKIAAKIA", "00", "-", "x" * 40]
+    texts = [*EDGE, *("".join(r.choice(parts) for _ in range(r.randrange(1, 30))) for _ in range(400))]
+    got = {x.doc_id: [tuple(s) for s in x.spans if s.kind in secrets.BASE] for x in secrets.scan_documents(docs_of(spark, texts)).collect()}
+    assert got == {i: secrets_by_hand(t) for i, t in enumerate(texts)}
+
+
+def test_the_ledger_of_a_folder_grows_by_what_is_new(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    old, new = docs_of(spark, [*EDGE, "token=abcdefghijklmn"]), docs_of(spark, ["token=abcdefghijklmn", "0123456789abcdef0", None])
+    first = secrets.scan_documents(old, path).collect()
+    n = spark.read.parquet(path).count()
+    assert n == len(secrets.RULES) * len({t or "" for t in [*EDGE, "x"]})
+    assert secrets.scan(old, spark.read.parquet(path)).count() == 0 and sorted(map(str, secrets.scan_documents(old, path).collect())) == sorted(map(str, first))
+    assert spark.read.parquet(path).count() == n
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.scan_documents(new, path).collect()}
+    assert got == {0: [("assign", 0, 20)], 1: [("hex", 0, 17)], 2: []} and spark.read.parquet(path).count() == n + len(secrets.RULES)
+    assert secrets.mask(new, ledger_path=path).count() == 3 and spark.read.parquet(path).count() == n + len(secrets.RULES)
+
+
+def test_mask_keeps_columns_of_any_name(spark):
+    names = ["text", "doc_id", "spans", "blob", "salt", "Found_Spans", "own_text", "bad_text", "own_node", "class_node", "class_doc", "rule"]
+    docs = spark.createDataFrame([("token=abcdefghijklmn", 1, *"abcdefghij"), (None, None, *"abcdefghij"), ("x y", 2, *"abcdefghij"), ("x y", 2, *"abcdefghij")], ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    got = secrets.mask(docs)
+    assert got.schema == docs.schema and sorted(str(r.text) for r in got.collect()) == ["None", "[secret]", "x y", "x y"]
+    items = spark.createDataFrame([(0, "x y")], "item_id long, text string")
+    got = decontaminate.decontaminate(docs, items)
+    assert got.schema == docs.schema and sorted(str(r.doc_id) for r in got.collect()) == ["1", "None"]
+    got = minhash.keep_one(docs)
+    assert got.schema == docs.schema and sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "None"]
+    assert secrets.mask(docs.where("false")).count() == secrets.scan_documents(docs.where("false")).count() == 0
+    assert decontaminate.decontaminate(docs, items.where("false")).count() == 4 and decontaminate.decontaminate(docs.where("false"), items).count() == 0
+
+
 def test_pem_spans_cover_the_key(spark):
     begin, end, body = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "\n".join(["MIIEpAIBAAKCAQEA+/" * 3] * 4) + "\nQUJD=="
     texts = [f"a\n{begin}\n{body}\n{end}\nb", f"a {begin}\n{body}\nplain words follow", f"{begin}\n{body}\n{begin}\n{body}\n{end} c", f"about {begin} lines"]
