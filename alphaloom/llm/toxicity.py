@@ -114,19 +114,19 @@ def _telling(a: int, b: int, n1: int, n0: int) -> bool:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, **options) -> ToxicityModel:
     """A model from docs (doc_id, text) and labels (doc_id, label 0 or 1): about per_class rows of either label, chosen by a hash of doc_id, whole.
 
-    Rows with a null label or text are left out; of a repeated doc_id the larger label counts.
+    Rows with a null label or text are left out; of a repeated doc_id the larger label counts. With labels of one kind
+    only, or none, nothing tells texts apart: the model is a constant, the share of label 1 after one more 1 and two
+    more 0 have been counted.
     """
     known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = F.broadcast(sample_ids(known, "label", "doc_id", per_class))  # bounded: about per_class rows a label
     rows = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").select("doc_id", "label", "text").dropDuplicates(["doc_id"]).toPandas()
     rows = rows.sort_values("doc_id", ignore_index=True)
-    if rows.empty:
-        return ToxicityModel({}, 0.0)
+    if rows.label.nunique() < 2:
+        return ToxicityModel({}, float(np.log((rows.label.sum() + 1) / (len(rows) - rows.label.sum() + 2))))
     model = train(list(rows.text), rows.label.to_numpy(float), **options)
     share = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     y = rows.label.mean()
-    if len(share) < 2 or not 0 < y < 1:
-        return model
     return ToxicityModel(model.weights, model.constant + float(np.log(share[1] / share[0]) - np.log(y / (1 - y))), model.n_pairs)
 
 

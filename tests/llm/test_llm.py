@@ -405,6 +405,65 @@ def test_toxicity_ignores_group_names():
     assert score(tied, "idiot") > 0 > score(tied, "good day")
 
 
+def test_toxicity_is_fitted_and_scored_on_odd_rows(spark):
+    rude = [f"you idiot {prose(i, 6)} women" for i in range(30)]
+    kind = [f"good day {prose(100 + i, 6)}" for i in range(60)]
+    texts = [*rude, *kind, *EDGE, "good day " * 20_000, "idiot " * 20_000, "the women meet", "the men meet"]
+    docs = docs_of(spark, texts).withColumn("held_out", F.lit(True)).withColumn("score", F.lit(9)).withColumn("predicted", F.lit("x"))
+    docs = docs.unionByName(docs.where("doc_id < 3"))  # repeated rows
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(90)] + [(0, 1), (5, None), (None, 1), (90, 1), (777, 0)], "doc_id long, label int")
+    models = {p: toxicity.fit_toxicity(docs, labels, penalty=p) for p in (0.0, 50.0)}
+    assert all(m.n_pairs == 30 for m in models.values())
+    got = toxicity.score_toxicity(docs, models[50.0])
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"]
+    got = got.toPandas()
+    assert len(got) == len(texts) + 3 and got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.5)).all()
+    by = got.drop_duplicates().set_index("doc_id")
+    n = len(texts)
+    assert by.predicted[list(range(30))].all() and not by.predicted[list(range(30, 90))].any() and by.score[90] == by.score[91]
+    assert by.predicted[n - 3] == 1 and by.predicted[n - 4] == 0
+    gap = {p: float(abs(np.diff(toxicity.score_toxicity(docs.where(F.col("doc_id") >= n - 2), m).toPandas().sort_values("doc_id").score)[0])) for p, m in models.items()}
+    assert gap[50.0] < gap[0.0] / 2
+    assert toxicity.score_toxicity(docs.where("false"), models[0.0]).count() == 0
+    for part, share in (("label = 1", (33 - 1) / 34), ("label = 0", 1 / 63), ("false", 1 / 3)):
+        model = toxicity.fit_toxicity(docs, labels.where(part))
+        assert not model.weights and abs(1 / (1 + np.exp(-model.constant)) - share) < 0.01
+    assert toxicity.fit_toxicity(docs.where("false"), labels).weights == {}
+
+
+def test_quality_on_odd_rows(spark):
+    good, bad = [prose(i) for i in range(60)], ["%%% ### " * 30 + prose(i, 10).upper() for i in range(60)]
+    texts = [*good, *bad, *EDGE, prose(1) * 500, "%%% ### " * 30_000]
+    docs = docs_of(spark, texts).withColumn("score", F.lit("x")).withColumn("predicted", F.lit(9)).withColumn("label", F.lit(5))
+    docs = docs.unionByName(docs.where("doc_id < 3"))
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)] + [(0, 1), (5, None), (None, 1), (120, 1)], "doc_id long, label int")
+    got = quality.score_quality(docs, quality.fit_quality(docs, labels))
+    assert got.columns == [*docs.columns[:-3], "label", "score", "predicted"]
+    got = got.toPandas()
+    assert len(got) == len(texts) + 3 and got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.3)).all()
+    by = got.drop_duplicates("doc_id").set_index("doc_id")
+    assert by.predicted[list(range(60))].mean() > 0.9 and by.predicted[list(range(60, 120))].mean() < 0.2 and by.score[120] == by.score[121]
+    assert by.predicted[len(texts) - 2] == 1 and by.predicted[len(texts) - 1] == 0
+    model = quality.fit_quality(docs, labels)
+    assert quality.score_quality(docs.where("false"), model).count() == 0 and quality.fit_quality(docs, labels.where("label = 1")) is None and quality.fit_quality(docs.where("false"), labels) is None
+    # The score hangs on what the dictionaries do to the text alone.
+    sizes = quality._Sizes(model.bad, model.good)
+    assert all(abs(a + b) < 1e-9 for a, b in list(zip(quality._Sizes(model.good, model.bad).features(good[0]), sizes.features(good[0]), strict=True))[:2])
+
+
+def test_language_on_odd_rows(spark):
+    texts = [*EDGE, "the cat and the dog " * 3000, "der hund und die katze", "der hund und die katze", "ß", "123 !"]
+    docs = docs_of(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b")).withColumn("held_out", F.lit(False)).withColumn("lang_pred", F.lit(1)).withColumn("score", F.lit(1))
+    docs = docs.unionByName(docs.where("doc_id < 3"))
+    got = langid.identify(docs, langid.fit_profiles(docs, F.col("lang")))
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    got = got.toPandas()
+    assert len(got) == len(texts) + 3 and got.score.between(0, 1).all() and set(got.lang_pred) <= {"a", "b", "und"}
+    by = got.drop_duplicates().set_index("doc_id")
+    assert [i for i in range(len(texts)) if by.lang_pred[i] == "und"] == [i for i, t in enumerate(texts) if not any(c.isalpha() for c in t or "")]
+    assert langid.identify(docs.where("false"), {}).count() == 0 and langid.fit_profiles(docs.where("false"), F.col("lang")) == {}
+
+
 def test_toxicity_reports_its_pairs():
     labels = np.array([1.0, 0.0, 0.0])
     assert toxicity.train(["the women", "two men", "none"], labels).n_pairs == 2 and toxicity.train(["a", "b", "c"], labels).n_pairs == 0
