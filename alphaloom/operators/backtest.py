@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from alphaloom.config import Backtest
 from alphaloom.functions.panel import by_symbol, padded
 from alphaloom.plans.compile import evaluate, long_form
+from alphaloom.plans.expr import ExpressionError, parse
+from alphaloom.plans.stored import stored
 
 YEAR = 252
 MIN_SYMBOLS = MIN_REBALANCES = MIN_PERIODS = 10
@@ -27,8 +29,9 @@ def forward_returns(grid: DataFrame, days: int) -> DataFrame:
 
 
 def scored(grid: DataFrame, factors: dict[str, str], config: Backtest = Backtest()) -> DataFrame:
+    """The scores of all factors, written once: legs, returns, ICs and dates are read from them, and the windows run in one job."""
     wide = evaluate(forward_returns(grid, config.holding_days), factors, ("close", "fwd"))
-    return long_form(wide, list(factors), ("close", "fwd"))
+    return stored(long_form(wide, list(factors), ("close", "fwd")))
 
 
 def calendar(scores: DataFrame, config: Backtest = Backtest()) -> DataFrame:
@@ -111,8 +114,7 @@ def ic_summary(ics: DataFrame) -> DataFrame:
 
 def summary(scores: DataFrame, config: Backtest = Backtest()) -> DataFrame:
     """A row for each factor: its metrics, rounded as reports show them, or an error and no metrics."""
-    positions = legs(scores, config)
-    periods = period_returns(positions, config)
+    periods = stored(period_returns(legs(scores, config), config))
     h = config.holding_days
     returns = periods.groupBy("factor").agg(
         F.count("*").alias("n_periods"),
@@ -131,11 +133,12 @@ def summary(scores: DataFrame, config: Backtest = Backtest()) -> DataFrame:
     n = F.coalesce("n_symbols", F.lit(0))
     rebalances = F.ceil(F.col("n_dates") / h)
     periods_n = F.coalesce("n_periods", F.lit(0))
+    short_of = lambda what, n, least: F.concat(F.lit(f"{what}: "), n, F.lit(f" < {least}"))
     error = (
-        F.when(F.col("n_dates") < config.lookback_min_days, F.concat(F.lit("Insufficient dates: "), F.col("n_dates")))
-        .when(n < MIN_SYMBOLS, F.concat(F.lit("Too few symbols: "), n))
-        .when(rebalances < MIN_REBALANCES, F.concat(F.lit("Too few rebalance dates: "), rebalances))
-        .when(periods_n < MIN_PERIODS, F.concat(F.lit("Too few portfolio periods: "), periods_n))
+        F.when(F.col("n_dates") < config.lookback_min_days, short_of("dates", F.col("n_dates"), config.lookback_min_days))
+        .when(n < MIN_SYMBOLS, short_of("symbols", n, MIN_SYMBOLS))
+        .when(rebalances < MIN_REBALANCES, short_of("rebalancing dates", rebalances, MIN_REBALANCES))
+        .when(periods_n < MIN_PERIODS, short_of("periods with returns", periods_n, MIN_PERIODS))
     )
     sharpe = F.when(F.col("std_return") > 0, F.col("mean_return") / F.col("std_return") * math.sqrt(YEAR / h)).otherwise(0.0)
     years = F.greatest(F.col("n_periods") * h / YEAR, F.lit(0.25))
@@ -164,3 +167,16 @@ def summary(scores: DataFrame, config: Backtest = Backtest()) -> DataFrame:
 def position_log(positions: DataFrame, most: int = 20) -> DataFrame:
     """factor, date, side, place, symbol, score of the first `most` of each leg."""
     return positions.where(F.col("place") <= most).select("factor", "date", "side", "place", "symbol", F.round("score", 6).alias("score"))
+
+
+def run_batch(grid: DataFrame, factors: dict[str, str], config: Backtest = Backtest()) -> DataFrame:
+    """summary() of the factors whose formulas can be read, and a row with an error and no metrics for each of the others: one bad formula doesn't end the batch."""
+    good, bad = {}, []
+    for name, formula in factors.items():
+        try:
+            parse(formula)
+            good[name] = formula
+        except ExpressionError as e:
+            bad.append((name, f"formula: {e}"))
+    rows = grid.sparkSession.createDataFrame(bad, "factor string, error string")
+    return summary(scored(grid, good, config), config).unionByName(rows, allowMissingColumns=True) if good else rows

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from alphaloom.config import Stopping, Tags
+from alphaloom.config import Config, Stopping, Tags
+from alphaloom.plans.stored import stored
 
 
 def top_distinct(results: DataFrame, n: int = 10) -> DataFrame:
@@ -30,8 +33,9 @@ def pareto(results: DataFrame) -> DataFrame:
     results: a summary, a row for each factor. Points are made distinct first, so that copies of a point cost nothing.
     """
     value = lambda c: F.coalesce(c, F.lit(0.0))
-    valid = results.where("error is null").withColumns({"_s": value("sharpe"), "_t": value("turnover"), "_d": value("max_drawdown")})
-    points = valid.select("_s", "_t", "_d").distinct()
+    valid = stored(results.where("error is null").withColumns({"_s": value("sharpe"), "_t": value("turnover"), "_d": value("max_drawdown")}))
+    # Each partition's own frontier first: what is dominated there is dominated, and few points are left to compare.
+    points = stored(valid.select("_s", "_t", "_d").distinct().mapInPandas(_frontier, "_s double, _t double, _d double"))
     other = points.select(F.col("_s").alias("s"), F.col("_t").alias("t"), F.col("_d").alias("d"))
     as_good = (F.col("s") >= F.col("_s")) & (F.col("t") <= F.col("_t")) & (F.col("d") >= F.col("_d"))
     better = (F.col("s") > F.col("_s")) | (F.col("t") < F.col("_t")) | (F.col("d") > F.col("_d"))
@@ -39,6 +43,20 @@ def pareto(results: DataFrame) -> DataFrame:
     return valid.join(front, ["_s", "_t", "_d"], "left_semi").drop("_s", "_t", "_d")
 
 
+def _frontier(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The points of a partition that none of it dominates. By falling Sharpe a point is only dominated by earlier ones."""
+    kept = pd.DataFrame({"_s": [], "_t": [], "_d": []}, dtype=float)
+    for frame in frames:
+        both = pd.concat([kept, frame]).drop_duplicates().sort_values(["_s", "_t", "_d"], ascending=[False, True, False], ignore_index=True)
+        turnover, drawdown = both["_t"].to_numpy(), both["_d"].to_numpy()
+        front: list[int] = []
+        for i in range(len(both)):
+            if not ((turnover[front] <= turnover[i]) & (drawdown[front] >= drawdown[i])).any():
+                front.append(i)
+        kept = both.iloc[front]
+    yield kept
+
+
 def tags(results: DataFrame, config: Tags = Tags()) -> DataFrame:
     """results with tags, an array of what stands out."""
     when = lambda test, name: F.when(test, F.lit(name))
@@ -79,17 +97,21 @@ def library_stats(kept: DataFrame) -> DataFrame:
 
 
 def should_stop(iterations: int, n_total: int, n_invalid: int, best_sharpes: list[float], config: Stopping = Stopping()) -> tuple[bool, str]:
-    """Whether the search ends, and why: the iterations are used up, nothing valid is left, the best Sharpe has stalled, or the last step gained too little."""
-    if iterations >= config.max_iterations:
-        return True, f"Max iterations reached ({iterations}/{config.max_iterations})"
-    if n_total == n_invalid:
-        return True, "No valid candidates remain"
+    """Whether the search ends, and a code for why; the first rule that holds decides.
+
+    exhausted: the iterations are used up; no-candidate: all are invalid; stalled: the last best Sharpes lie within
+    stall_range; small-gain: the last step gained less than diminishing; else continue.
+    """
     recent = best_sharpes[-config.stall_iterations :]
-    if len(best_sharpes) >= config.stall_iterations and max(recent) - min(recent) < config.stall_range:
-        return True, f"Sharpe unchanged for {config.stall_iterations} consecutive iterations"
-    if len(best_sharpes) >= 2 and 0 <= (gain := best_sharpes[-1] - best_sharpes[-2]) < config.diminishing:
-        return True, f"Diminishing returns: Sharpe improvement {gain:.4f} < {config.diminishing}"
-    return False, "Continue optimization"
+    gains = [b - a for a, b in zip(best_sharpes[-2:], best_sharpes[-1:], strict=False)]
+    rules = {
+        "exhausted": iterations >= config.max_iterations,
+        "no-candidate": n_total == n_invalid,
+        "stalled": len(recent) == config.stall_iterations and max(recent) - min(recent) < config.stall_range,
+        "small-gain": len(best_sharpes) > 1 and 0 <= gains[-1] < config.diminishing,
+    }
+    reason = next((name for name, holds in rules.items() if holds), "continue")
+    return reason != "continue", reason
 
 
 def final_summary(history: list[dict], best: list[dict], front: list[dict], config: Stopping = Stopping()) -> dict:
@@ -113,6 +135,31 @@ def mermaid(nodes: list[dict], edges: list[dict]) -> str:
     return "\n".join(lines) + "\n"
 
 
+def _table(head: list[str], rows: list[list]) -> list[str]:
+    line = lambda cells: "| " + " | ".join("" if c is None else f"{c:.4f}" if isinstance(c, float) else str(c) for c in cells) + " |"
+    return [line(head), line(["-"] * len(head)), *(line(r) for r in rows), ""]
+
+
+def document(nodes: list[dict], edges: list[dict], front: list[dict], config: Config = Config(), when: str = "") -> str:
+    """The report of a search as Markdown: its settings, the lineage graph, the Pareto frontier, the factors by Sharpe and what each transform has done. A node without metrics is shown without."""
+    b = config.backtest
+    out = ["# Factor search", "", *([f"Written {when}.", ""] if when else []), "## Settings", ""]
+    out += _table(["setting", "value"], [[k, getattr(b, k)] for k in ("universe", "start_date", "end_date", "holding_days", "cost_bps", "long_pct", "short_pct", "lookback_min_days", "exclude_st")])
+    out += ["## Lineage", "", "```mermaid", mermaid(nodes, edges).rstrip(), "```", "", "## Pareto frontier", "", "Factors that none betters in Sharpe, turnover and drawdown together.", ""]
+    out += _table(["factor", "sharpe", "turnover", "max_drawdown"], [[x.get(c) for c in ("factor", "sharpe", "turnover", "max_drawdown")] for x in front])
+    out += ["## Factors", ""]
+    ranked = sorted(nodes, key=lambda n: (n.get("sharpe") is None, -(n.get("sharpe") or 0.0), n["id"]))
+    out += _table(["factor", "expression", "sharpe", "ic_mean", "turnover", "classification", "iteration"], [[n.get(c) for c in ("id", "expression", "sharpe", "ic_mean", "turnover", "classification", "iteration")] for n in ranked])
+    sharpe = {n["id"]: n.get("sharpe") for n in nodes}
+    by: dict[str, list[float]] = {}
+    for e in edges:
+        a, z = sharpe.get(e["from"]), sharpe.get(e["to"])
+        by.setdefault(e["transformation"], []).extend([z - a] if a is not None and z is not None else [])
+    out += ["## Transforms", ""]
+    out += _table(["transform", "tried", "mean change of Sharpe"], [[t, len(x), sum(x) / len(x) if x else None] for t, x in sorted(by.items())])
+    return "\n".join(out)
+
+
 def write_json(path: str, value) -> None:
     with open(path, "w", encoding="utf-8") as f:
         json.dump(value, f, indent=2, ensure_ascii=False)

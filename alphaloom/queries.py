@@ -13,6 +13,7 @@ from alphaloom.functions.panel import rounded
 from alphaloom.operators import backtest, diagnose, memory, report, select
 from alphaloom.plans.compile import evaluate
 from alphaloom.plans.expr import FIELDS
+from alphaloom.plans.stored import stored
 from alphaloom.sources import bars as source
 from alphaloom.streaming.bars import windowed_bars
 
@@ -64,14 +65,19 @@ _panels: dict[tuple[str, str], DataFrame] = {}
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dense grid of a data folder, kept: its bars are aggregated once for all queries of a session."""
+    """The dense grid of a data folder, written once for all queries of a session; forget() lets go of it."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _panels:
         bars = source.from_trades(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), spark.read.parquet(f"{sf_dir}/part.parquet"))
-        _panels[key] = source.grid(bars.persist()).persist()
+        _panels[key] = stored(source.grid(stored(bars)))
     return _panels[key]
 
 
+def forget() -> None:
+    """What follows computes its panel anew."""
+    _panels.clear()
+
+
 def value(expression: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return evaluate(panel(spark, sf_dir), {"value": expression}).select("date", "symbol", rounded(F.col("value"), 6).alias("value"))
@@ -92,7 +98,8 @@ def factors(spark: SparkSession) -> DataFrame:
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnose.classify(summary(spark, sf_dir), diagnose.spearman_pairs(backtest.daily_ic(scores(spark, sf_dir))))
+    of = scores(spark, sf_dir)
+    return diagnose.classify(backtest.summary(of, CONFIG), diagnose.spearman_pairs(backtest.daily_ic(of)))
 
 
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +126,7 @@ def _amount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search's history in small: the summary of every seed under two runs, the second with a flipped copy of each."""
-    out = summary(spark, sf_dir).join(factors(spark), "factor")
+    out = stored(summary(spark, sf_dir)).join(factors(spark), "factor")
     again = out.select(F.concat("factor", F.lit("_v1")).alias("factor"), F.concat(F.lit(" "), F.col("expression"), F.lit("  ")).alias("expression"), F.col("sharpe"))
     return out.select(F.lit("run_1").alias("run"), "factor", "expression", "sharpe").unionByName(again.select(F.lit("run_2").alias("run"), "factor", "expression", "sharpe"))
 

@@ -28,18 +28,21 @@ def normalise(raw: DataFrame) -> DataFrame:
         named = named.withColumn("amount", F.lit(None).cast("double"))
     date = F.coalesce(F.try_to_date(F.col("date").cast("string"), "yyyyMMdd"), F.try_to_date(F.col("date").cast("string"), "yyyy-MM-dd"))
     numbers = [F.col(f).try_cast("double").alias(f) for f in NUMBERS]
-    df = named.select(date.alias("date"), F.col("symbol").cast("string").alias("symbol"), *numbers)
-    df = df.select("date", "symbol", *(F.when(~F.isnan(f), F.col(f)).alias(f) for f in NUMBERS))
+    marks = ["is_st"] if "is_st" in named.columns else []
+    df = named.select(date.alias("date"), F.col("symbol").cast("string").alias("symbol"), *numbers, *(F.col(m).try_cast("boolean").alias(m) for m in marks))
+    df = df.select("date", "symbol", *(F.when(~F.isnan(f), F.col(f)).alias(f) for f in NUMBERS), *marks)
     df = df.withColumn("amount", F.coalesce("amount", F.col("close") * F.col("volume")))
     return df.na.drop(subset=["date", "symbol", "open", "high", "low", "close"])
 
 
-def select(bars: DataFrame, start: str | None = None, end: str | None = None, universe: DataFrame | None = None) -> DataFrame:
-    """Bars from start to end (yyyyMMdd, inclusive) of the universe's symbols; these predicates reach the scan."""
+def select(bars: DataFrame, start: str | None = None, end: str | None = None, universe: DataFrame | None = None, exclude_st: bool = False) -> DataFrame:
+    """Bars from start to end (yyyyMMdd, inclusive) of the universe's symbols; these predicates reach the scan. exclude_st: without those that a column is_st marks, if there is one."""
     if start:
         bars = bars.where(F.col("date") >= F.to_date(F.lit(start), "yyyyMMdd"))
     if end:
         bars = bars.where(F.col("date") <= F.to_date(F.lit(end), "yyyyMMdd"))
+    if exclude_st and "is_st" in bars.columns:
+        bars = bars.where(~F.coalesce("is_st", F.lit(False)))
     return bars if universe is None else bars.join(universe, "symbol", "left_semi")
 
 
@@ -61,20 +64,26 @@ def from_trades(lineitem: DataFrame, part: DataFrame) -> DataFrame:
 
 
 def grid(bars: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """date, t, symbol and fields of every date and symbol of bars; t numbers the dates from 1. Of repeated cells the first value that isn't null counts.
+    """date, t, symbol and fields of every date and symbol of bars; t numbers the dates from 1. Of repeated cells the row counts that comes first by its values, field by field those that aren't null.
 
     The dates are few (one row each), so numbering them in one task is cheap; the symbols are checked before they are sent along.
     """
     fields = list(FIELDS) if fields is None else fields
     dates = bars.select("date").distinct().withColumn("t", F.row_number().over(Window.orderBy("date")))
     symbols = bars.select("symbol").distinct()
-    cells = bars.groupBy("date", "symbol").agg(*(F.first(f, ignorenulls=True).alias(f) for f in fields))
+    # By their values and not as they come: rows have no order of their own, and a rerun must give the same.
+    cells = bars.groupBy("date", "symbol").agg(*(F.min_by(f, F.struct(F.col(f).isNull(), *fields)).alias(f) for f in fields))
     # A symbol's dates are spread over rows by an array of the calendar: as many rows as the panel has.
     calendar = dates.agg(F.array_sort(F.collect_list(F.struct("t", "date"))).alias("days"))
     days = symbols.crossJoin(F.broadcast(calendar)).select("symbol", F.explode("days").alias("d")).select("d.date", "d.t", "symbol")
     return days.join(cells, ["date", "symbol"], "left").select("date", "t", "symbol", *fields)
 
 
+def toy(spark: SparkSession, days: int = 252, symbols: int = 5) -> DataFrame:
+    """The small panel on which formulas are tried: a year of five symbols."""
+    return synthetic(spark, days, symbols)
+
+
 def synthetic(spark: SparkSession, days: int = 500, symbols: int = 100, seed: int = 42) -> DataFrame:
     """Random-walk bars on business days from 2022-01-03: a market, a sector and an own part. The same for a seed."""
     day = spark.range(days).select((F.col("id") + 1).cast("int").alias("t"), (F.randn(seed) * 0.01).alias("market"))
