@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alphaloom.plans.expr import FIELDS
@@ -83,3 +83,102 @@ def concentration(counts: list[int]) -> float:
         return 0.0
     even = 1 / len(counts)
     return (max(counts) / total - even) / (1 - even)
+
+
+TABLES = {
+    "successes": "pattern string, avg_sharpe double, times_seen long",
+    "failures": "pattern string, times_failed long",
+    "field_usage": "field string, n long",
+    "best_history": "iteration int, factor string, sharpe double",
+    "error_log": "iteration int, factor string, expression string, error string",
+    "high_turnover_structures": "iteration int, factor string, expression string, turnover double",
+    "stability_improvements": "iteration int, factor string, expression string, suggestions array<string>",
+    "high_correlation_pairs": "iteration int, a string, b string, corr double",
+}
+
+
+def empty(spark: SparkSession) -> dict[str, DataFrame]:
+    """A memory that knows nothing: each of TABLES without rows, but for the fields, which have been used 0 times."""
+    return {n: spark.createDataFrame([(f, 0) for f in FIELDS] if n == "field_usage" else [], s) for n, s in TABLES.items()}
+
+
+def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The memory of a folder; a table that isn't there is empty. The tables' newest version counts."""
+    found = empty(spark)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    versions = [str(x.getPath().getName()) for x in fs.listStatus(at)] if fs.exists(at) else []
+    if done := sorted(int(v[1:]) for v in versions if v[:1] == "v" and v[1:].isdigit() and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{v}/_COMPLETE"))):
+        found = {n: spark.read.schema(s).parquet(f"{path}/v{done[-1]}/{n}") for n, s in TABLES.items()}
+    return found
+
+
+def save(memory: dict[str, DataFrame], path: str) -> int:
+    """The memory written to the folder as its next version, whose number is returned; what load() gave still reads the last one. A version counts once all of its tables are written."""
+    spark = next(iter(memory.values())).sparkSession
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    version = max([0, *(int(n[1:]) for x in fs.listStatus(at) if (n := str(x.getPath().getName()))[:1] == "v" and n[1:].isdigit())]) + 1
+    for name in TABLES:
+        memory[name].write.parquet(f"{path}/v{version}/{name}")
+    fs.create(jvm.org.apache.hadoop.fs.Path(f"{path}/v{version}/_COMPLETE")).close()
+    return version
+
+
+def learn(memory: dict[str, DataFrame], results: DataFrame, pairs: DataFrame, iteration: int) -> dict[str, DataFrame]:
+    """The memory after an iteration. results: factor, expression, error, sharpe, turnover, classification, suggestions; pairs: a, b, corr."""
+    usage = memory["field_usage"].unionByName(field_usage(results)).groupBy("field").agg(F.sum("n").alias("n"))
+    top = results.where(F.col("sharpe").isNotNull()).agg(F.min_by("factor", F.struct(-F.col("sharpe"), F.col("factor"))).alias("factor"), F.max("sharpe").alias("sharpe")).where("factor is not null")
+    out = {
+        **memory,
+        "successes": successes(memory["successes"], results),
+        "failures": failures(memory["failures"], results),
+        "field_usage": usage,
+        "best_history": memory["best_history"].unionByName(top.select(F.lit(iteration).alias("iteration"), "factor", "sharpe")),
+    }
+    for name, log in logs(results, pairs).items():
+        out[name] = memory[name].unionByName(log.withColumn("iteration", F.lit(iteration)).select(*(c.split()[0] for c in TABLES[name].split(", "))))
+    return out
+
+
+def ingest(memory: dict[str, DataFrame], factors: DataFrame) -> dict[str, DataFrame]:
+    """The memory with a library of factors (expression, rationale): those with a rationale are successes of Sharpe 0, seen once more each; fields count for all."""
+    reasoned = factors.where(F.coalesce("rationale", F.lit("")) != "").groupBy(F.col("expression").alias("pattern")).agg(F.lit(0.0).alias("total"), F.count("*").alias("times_seen"))
+    old = memory["successes"].select("pattern", (F.col("avg_sharpe") * F.col("times_seen")).alias("total"), "times_seen")
+    both = old.unionByName(reasoned).groupBy("pattern").agg(F.sum("total").alias("total"), F.sum("times_seen").alias("times_seen"))
+    usage = memory["field_usage"].unionByName(field_usage(factors)).groupBy("field").agg(F.sum("n").alias("n"))
+    return {**memory, "successes": both.select("pattern", F.round(F.col("total") / F.col("times_seen"), 4).alias("avg_sharpe"), "times_seen"), "field_usage": usage}
+
+
+def transform_effect(results: DataFrame, transforms: list[str]) -> DataFrame:
+    """transformation, success_count, avg_sharpe of the transforms by which successes (|Sharpe| over 0.2) came about.
+
+    results: factor, sharpe, transformation; where the last is null, a transform counts if its name is in the factor's,
+    with underscores or hyphens.
+    """
+    spark = results.sparkSession
+    names = spark.createDataFrame([(t, t.replace("-", "_")) for t in transforms], "name string, snake string")  # a dozen
+    good = results.where(F.abs("sharpe") > SUCCESS)
+    fits = (F.col("transformation") == F.col("name")) | (F.col("transformation").isNull() & F.contains(F.translate(F.lower("factor"), "-", "_"), F.col("snake")))
+    both = good.join(F.broadcast(names), fits)
+    return both.groupBy(F.col("name").alias("transformation")).agg(F.count("*").alias("success_count"), F.round(F.avg("sharpe"), 4).alias("avg_sharpe"))
+
+
+def upsert_nodes(nodes: DataFrame, results: DataFrame, iteration: int = 1) -> DataFrame:
+    """nodes (id, expression, iteration, classification, sharpe, ic_mean, turnover, annual_return, max_drawdown) with the metrics of results (factor, ..., error) on those of the same name; factors without a node are added, failed ones change nothing.
+
+    A class that is known stays; without one a node with metrics is `backtested`.
+    """
+    metrics = ("sharpe", "ic_mean", "turnover", "annual_return", "max_drawdown")
+    new = results.where("error is null").select(F.col("factor").alias("id"), F.col("expression").alias("_e"), *(F.col(m).alias(f"_{m}") for m in metrics), F.lit(True).alias("_new"))
+    both = nodes.join(new, "id", "full")
+    fresh = F.coalesce("_new", F.lit(False))
+    return both.select(
+        "id",
+        F.coalesce("expression", "_e", "id").alias("expression"),
+        F.coalesce("iteration", F.lit(iteration)).alias("iteration"),
+        F.coalesce(F.when(F.col("classification") != "", F.col("classification")), F.when(fresh, "backtested")).alias("classification"),
+        *(F.when(fresh, F.col(f"_{m}")).otherwise(F.col(m)).alias(m) for m in metrics),
+    )
