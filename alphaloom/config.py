@@ -1,4 +1,4 @@
-"""Settings, with the values in force unless a JSON file says otherwise."""
+"""Settings, with the values in force unless a JSON file says otherwise. The defaults are fixed values."""
 
 from __future__ import annotations
 

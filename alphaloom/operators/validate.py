@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import time
 from dataclasses import asdict, dataclass, field
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alphaloom.config import Validation
 from alphaloom.plans.compile import evaluate
-from alphaloom.plans.expr import FUNCTIONS, LAGS, ExpressionError, calls, depth, parse, walk
+from alphaloom.plans.expr import FUNCTIONS, LAGS, ExpressionError, calls, parse, walk
 
 
 @dataclass
@@ -26,6 +27,11 @@ class Checked:
         return not self.errors
 
 
+def parentheses(expression: str) -> int:
+    """How deep parentheses nest."""
+    return max(accumulate(((c == "(") - (c == ")") for c in expression), initial=0))
+
+
 def static(name: str, expression: str, config: Validation = Validation()) -> Checked:
     """Errors: what isn't of the language, windows that look ahead. Warnings: long, deep or busy formulas, odd windows, high powers."""
     out = Checked(name, expression)
@@ -34,7 +40,7 @@ def static(name: str, expression: str, config: Validation = Validation()) -> Che
     except ExpressionError as e:
         out.errors.append(str(e))
         return out
-    for what, n, most in (("length", len(expression), config.max_length), ("nesting", depth(node), config.max_depth), ("calls", calls(node), config.max_calls)):
+    for what, n, most in (("length", len(expression), config.max_length), ("nesting", parentheses(expression), config.max_depth), ("calls", calls(node), config.max_calls)):
         if n > most:
             out.warnings.append(f"{what} {n} exceeds {most}")
     for part in walk(node):

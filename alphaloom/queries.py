@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alphaloom import oracle
 from alphaloom.config import Backtest
 from alphaloom.functions.panel import rounded
-from alphaloom.operators import backtest, diagnose, memory, report, select
+from alphaloom.operators import backtest, diagnose, memory, report, select, validate
+from alphaloom.operators.variants import TRANSFORMS
 from alphaloom.plans.compile import evaluate
-from alphaloom.plans.expr import FIELDS
+from alphaloom.plans.expr import FIELDS, calls, parse
 from alphaloom.plans.stored import stored
 from alphaloom.sources import bars as source
 from alphaloom.streaming.bars import windowed_bars
@@ -142,6 +143,48 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.select(F.col("start").cast("date").alias("date"), "symbol", *(rounded(F.col(c)).alias(c) for c in ("open", "high", "low", "close")), "volume")
 
 
+def _advised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seed with metrics, class, advice and formula, as an iteration leaves it."""
+    return stored(diagnose.advise(classified(spark, sf_dir)).join(factors(spark), "factor"))
+
+
+def _iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two iterations: all seeds, and copies of those of a positive Sharpe."""
+    first = stored(summary(spark, sf_dir).join(factors(spark), "factor").select("factor", "expression", "sharpe"))
+    again = first.where("sharpe > 0").select(F.concat("factor", F.lit("_v1_flip_sign")).alias("factor"), "expression", F.col("sharpe") / 2)
+    return first.withColumn("iteration", F.lit(1)).unionByName(again.toDF("factor", "expression", "sharpe").withColumn("iteration", F.lit(2)))
+
+
+def _nodes(spark: SparkSession) -> DataFrame:
+    rows = [("momentum", "returns(close, 10)", 1, "weak", *[None] * 5), ("unknown", "close", 1, None, 0.25, *[None] * 4)]
+    return spark.createDataFrame(rows, "id string, expression string, iteration int, classification string, sharpe double, ic_mean double, turnover double, annual_return double, max_drawdown double")
+
+
+def _boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = _advised(spark, sf_dir)
+    failed = memory.failures(memory.failures(None, known), known)
+    return select.memory_boost(known, ["open", "amount"], memory.successes(None, known), failed).select("factor", rounded(F.col("boost"), 6).alias("boost"))
+
+
+def _numbered(rows: DataFrame, value_: str) -> DataFrame:
+    return rows.select("factor", (F.row_number().over(Window.partitionBy("factor").orderBy("date")) - 1).alias("period"), rounded(F.col(value_), 6).alias(value_))
+
+
+def _complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(n, len(e), calls(parse(e)), validate.parentheses(e)) for n, e in (TEMPLATES | FUNCTIONS).items()]
+    return spark.createDataFrame(rows, "factor string, length int, n_calls int, depth int")
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    library = factors(spark).withColumn("rationale", F.when(F.col("expression").contains("close"), F.col("factor")))
+    return memory.ingest(memory.empty(spark), library.unionByName(library))["successes"]
+
+
+def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tried = TEMPLATES | {"broken": "no_such(close", "ahead": "delay(close, -1)"}
+    return backtest.run_batch(panel(spark, sf_dir), tried, CONFIG).select("factor", F.col("error").isNotNull().alias("failed"), "sharpe")
+
+
 QUERIES: dict[str, Query] = {f"fn_{n}": value(e) for n, e in FUNCTIONS.items()} | {f"tpl_{n}": value(e) for n, e in TEMPLATES.items()}
 QUERIES |= {
     "bars": _bars,
@@ -172,6 +215,25 @@ QUERIES |= {
     "ps_parent_score": lambda s, d: select.parent_scores(classified(s, d)).select("factor", "parent_score"),
     "lib_dedup": lambda s, d: report.library(_named(s, d)).select("run", "factor", "sharpe", "slug"),
     "stream_bars": _events,
+    "val_complexity": _complexity,
+    "val_shares": lambda s, d: validate.numeric_shares(panel(s, d), TEMPLATES).select("factor", rounded(F.col("missing"), 6).alias("missing"), rounded(F.col("huge"), 6).alias("huge")),
+    "bt_batch_errors": _batch,
+    "bt_detail_returns": lambda s, d: _numbered(_periods(s, d), "period_return"),
+    "bt_detail_ics": lambda s, d: _numbered(backtest.daily_ic(scores(s, d)), "ic"),
+    "dx_advice": lambda s, d: _advised(s, d).select("factor", F.array_join("notes", "; ").alias("notes"), F.array_join("suggestions", "; ").alias("suggestions")),
+    "dx_latest": lambda s, d: diagnose.latest(_iterations(s, d)).select("factor", "iteration"),
+    "rp_distinct_first": lambda s, d: report.distinct_first(_iterations(s, d)).select("factor", "iteration", "sharpe"),
+    "lib_stats": lambda s, d: report.library_stats(report.library(_named(s, d))),
+    "kb_successes": lambda s, d: memory.successes(memory.successes(None, _iterations(s, d)), _iterations(s, d)),
+    "kb_failures": lambda s, d: memory.failures(memory.failures(None, k := _advised(s, d)), k),
+    "kb_turnover_log": lambda s, d: memory.logs(_advised(s, d), diagnose.structural_pairs(factors(s)))["high_turnover_structures"].select("factor", "turnover"),
+    "kb_stability_log": lambda s, d: memory.logs(_advised(s, d), diagnose.structural_pairs(factors(s)))["stability_improvements"].select("factor"),
+    "kb_pair_log": lambda s, d: memory.logs(_advised(s, d), diagnose.spearman_pairs(backtest.daily_ic(scores(s, d))))["high_correlation_pairs"],
+    "kb_field_diversity": lambda s, d: memory.field_diversity(memory.field_usage(factors(s))),
+    "kb_ingest": _ingested,
+    "kb_transform_effect": lambda s, d: memory.transform_effect(_iterations(s, d).withColumn("transformation", F.lit(None).cast("string")), list(TRANSFORMS)),
+    "ps_memory_boost": _boost,
+    "evo_upsert": lambda s, d: memory.upsert_nodes(_nodes(s), summary(s, d).join(factors(s), "factor"), 2).select("id", "expression", "iteration", "classification", "sharpe", "turnover"),
 }
 
 
@@ -200,6 +262,44 @@ cls AS (SELECT *, CASE WHEN coverage < 0.1 THEN 'invalid' WHEN abs(sharpe) > 3 A
 hist AS (SELECT 'run_1' AS run, factor, expression, sharpe FROM summary JOIN fx USING (factor)
   UNION ALL SELECT 'run_2', factor || '_v1', ' ' || expression || '  ', sharpe FROM summary JOIN fx USING (factor))"""
     out = {f"fn_{n}": oracle.value_sql(e) for n, e in FUNCTIONS.items()} | {f"tpl_{n}": oracle.value_sql(e) for n, e in TEMPLATES.items()}
+    hist = f"""{bt},
+{names},
+its AS (SELECT factor, expression, sharpe, 1 AS iteration FROM summary JOIN fx USING (factor) UNION ALL SELECT factor || '_v1_flip_sign', expression, sharpe / 2, 2 FROM summary JOIN fx USING (factor) WHERE sharpe > 0)"""
+    notes = """array_to_string(list_filter([CASE classification WHEN 'invalid' THEN 'no usable backtest: metrics missing' WHEN 'overfit' THEN 'extreme Sharpe without rank IC' WHEN 'unstable' THEN 'IC varies far more than its mean'
+  WHEN 'duplicate' THEN 'moves with another factor' WHEN 'weak' THEN 'little signal' ELSE 'signal at an acceptable trading cost' END, CASE WHEN turnover > 0.8 THEN 'high turnover' END, CASE WHEN max_drawdown < -0.5 THEN 'deep drawdown' END], lambda q: q IS NOT NULL), '; ')"""
+    advice = """array_to_string(list_filter([CASE classification WHEN 'invalid' THEN 'simplify the expression' WHEN 'overfit' THEN 'simplify and lengthen the lookback' WHEN 'unstable' THEN 'adjust-smoothing' WHEN 'duplicate' THEN 'adjust-normalization' END,
+  CASE WHEN classification = 'weak' AND sharpe < -0.3 THEN 'flip-sign' END, CASE classification WHEN 'weak' THEN 'adjust-lookback' WHEN 'promising' THEN 'adjust-clipping' END, CASE WHEN turnover > 0.8 THEN 'reduce-turnover' END], lambda q: q IS NOT NULL), '; ')"""
+    known = f"""{classes},
+{names},
+adv AS (SELECT cls.*, expression, {notes} AS notes, {advice} AS suggestions FROM cls JOIN fx USING (factor)),
+tok AS (SELECT factor, expression, list_distinct(list_filter(regexp_split_to_array(expression, '[()\\s,/*+\\-]+'), lambda q: q <> '')) AS p FROM fx),
+jac AS (SELECT a.factor AS factor, b.factor AS other, CAST(len(list_intersect(a.p, b.p)) AS DOUBLE) / len(list_distinct(list_concat(a.p, b.p))) AS j FROM tok a CROSS JOIN tok b)"""
+    measured = ", ".join(f"('{n}', '{e}')" for n, e in (TEMPLATES | FUNCTIONS).items())
+    shares = " UNION ALL ".join(f"SELECT '{n}' AS factor, {oracle.rounded('avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END)')} AS missing, {oracle.rounded('coalesce(avg(CASE WHEN abs(value) > 1e6 THEN 1.0 WHEN value IS NOT NULL THEN 0.0 END), 0.0)')} AS huge FROM ({oracle.value_sql(e)})" for n, e in TEMPLATES.items())
+    out |= {
+        "val_complexity": f"""WITH fx(factor, expression) AS (VALUES {measured}), c AS (SELECT factor, i, CASE substr(expression, i, 1) WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END AS s FROM (SELECT *, unnest(range(1, length(expression) + 1)) AS i FROM fx)),
+d AS (SELECT factor, greatest(max(o), 0) AS depth FROM (SELECT factor, sum(s) OVER (PARTITION BY factor ORDER BY i) AS o FROM c) GROUP BY factor)
+SELECT factor, length(expression) AS length, len(regexp_extract_all(expression, '[a-z_0-9]+\\(')) AS n_calls, CAST(depth AS INTEGER) AS depth FROM fx JOIN d USING (factor)""",
+        "val_shares": shares,
+        "bt_batch_errors": _after(bt, "SELECT factor, false AS failed, sharpe FROM summary UNION ALL VALUES ('broken', true, NULL), ('ahead', true, NULL)"),
+        "bt_detail_returns": _after(bt, f"SELECT factor, CAST(row_number() OVER (PARTITION BY factor ORDER BY date) - 1 AS INTEGER) AS period, {six('period_return')} FROM periods"),
+        "bt_detail_ics": _after(bt, f"SELECT factor, CAST(row_number() OVER (PARTITION BY factor ORDER BY date) - 1 AS INTEGER) AS period, {six('ic')} FROM ics"),
+        "dx_advice": _after(known, "SELECT factor, notes, suggestions FROM adv"),
+        "dx_latest": _after(hist, "SELECT factor, iteration FROM its WHERE iteration = (SELECT max(iteration) FROM its)"),
+        "rp_distinct_first": _after(hist, "SELECT factor, iteration, sharpe FROM (SELECT *, row_number() OVER (PARTITION BY trim(expression) ORDER BY iteration, factor) AS n FROM its) WHERE n = 1"),
+        "lib_stats": _after(named, "SELECT count(*) AS n_factors, count(DISTINCT run) AS n_runs, count(*) FILTER (sharpe > 0) AS n_positive, max(sharpe) AS best_sharpe, min(sharpe) AS worst_sharpe FROM (SELECT *, row_number() OVER (PARTITION BY trim(regexp_replace(expression, '\\s+', ' ', 'g')) ORDER BY sharpe DESC, run DESC, factor) AS n FROM hist) WHERE n = 1"),
+        "kb_successes": _after(hist, "SELECT expression AS pattern, round((round(sum(sharpe) / count(*), 4) * count(*) + sum(sharpe)) / (2 * count(*)), 4) AS avg_sharpe, 2 * count(*) AS times_seen FROM its WHERE abs(sharpe) > 0.2 GROUP BY expression"),
+        "kb_failures": _after(known, "SELECT expression AS pattern, 2 * count(*) AS times_failed FROM adv WHERE classification IN ('invalid', 'weak') GROUP BY expression"),
+        "kb_turnover_log": _after(known, "SELECT factor, turnover FROM adv WHERE turnover > 0.8"),
+        "kb_stability_log": _after(known, "SELECT factor FROM adv WHERE contains(suggestions, 'reduce-turnover') OR contains(suggestions, 'adjust-smoothing')"),
+        "kb_pair_log": _after(f"{bt},\n{pairs}", "SELECT a, b, corr FROM sp WHERE corr > 0.8"),
+        "kb_field_diversity": f"""WITH {names}, u AS (SELECT field, count(*) FILTER (contains(expression, field)) AS n FROM fx CROSS JOIN (VALUES {', '.join(f"('{f}')" for f in FIELDS)}) v(field) GROUP BY field), t AS (SELECT sum(n) AS total FROM u)
+SELECT field, n, round(n / total, 4) AS share, CASE WHEN total <= 3 THEN 'unknown' WHEN n / total > 0.25 THEN 'over' WHEN n / total < 0.08 THEN 'under' ELSE 'even' END AS state FROM u, t""",
+        "kb_ingest": f"WITH {names} SELECT expression AS pattern, 0.0::DOUBLE AS avg_sharpe, 2 * count(*) AS times_seen FROM fx WHERE contains(expression, 'close') GROUP BY expression",
+        "kb_transform_effect": _after(hist, "SELECT 'flip-sign' AS transformation, count(*) AS success_count, round(avg(sharpe), 4) AS avg_sharpe FROM its WHERE iteration = 2 AND abs(sharpe) > 0.2 HAVING count(*) > 0"),
+        "ps_memory_boost": _after(known, f"""SELECT factor, {oracle.rounded("CASE WHEN contains(expression, 'open') THEN 0.05 ELSE 0.0 END + CASE WHEN contains(expression, 'amount') THEN 0.05 ELSE 0.0 END + CASE WHEN EXISTS (SELECT 1 FROM jac JOIN adv o ON jac.other = o.factor WHERE jac.factor = adv.factor AND j > 0.6 AND abs(o.sharpe) > 0.2) THEN 0.03 ELSE 0.0 END - 0.075 * (SELECT count(*) FROM jac JOIN adv o ON jac.other = o.factor WHERE jac.factor = adv.factor AND j > 0.7 AND o.classification IN ('invalid', 'weak'))")} AS boost FROM adv"""),
+        "evo_upsert": _after(f"{bt},\n{names}", "SELECT s.factor AS id, expression, CASE s.factor WHEN 'momentum' THEN 1 ELSE 2 END AS iteration, CASE s.factor WHEN 'momentum' THEN 'weak' ELSE 'backtested' END AS classification, sharpe, turnover FROM summary s JOIN fx USING (factor) UNION ALL VALUES ('unknown', 'close', 1, NULL, 0.25, NULL)"),
+    }
     return out | {
         "bars": _after(panel_, f"SELECT date, symbol, {six(*FIELDS)} FROM bars"),
         "dense_grid": _after(panel_, "SELECT date, t, symbol, close IS NULL AS missing FROM grid"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -32,14 +33,44 @@ def main() -> None:
 
     run = {"bars": q.QUERIES["bars"], "batch_20_factors": twenty}
     run |= {n: q.QUERIES[n] for n in ("fn_ts_rank", "fn_correlation", "fn_rank", "bt_summary", "bt_daily_ic", "dx_classify", "rp_pareto", "stream_bars")}
-    took = {}
-    for name, f in run.items():
+
+    def seconds(f) -> float:
         began = time.time()
         f(spark, sf_dir).write.format("noop").mode("overwrite").save()
-        took[name] = round(time.time() - began, 3)
-    print(json.dumps({"metric": "total wall time", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+        return round(time.time() - began, 3)
+
+    took = {name: seconds(f) for name, f in run.items()}
+    # The queries share the panel that the first of them writes; cold ones write their own.
+    cold = {}
+    for name in ("fn_ts_rank", "fn_correlation", "fn_rank", "bt_summary"):
+        q.forget()
+        cold[name] = seconds(run[name])
+    said = {"metric": "total wall time", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "cold": cold}
+    if "--large" in sys.argv:
+        said["large"] = large(spark, batch)
+    print(json.dumps(said))
     spark.stop()
 
 
+def large(spark: SparkSession, batch: dict[str, str]) -> dict[str, float]:
+    """Seconds over a generated panel of 2,000 dates and 1,000 symbols: the batch together, its factors one by one (no sharing of parts, no common windows), and one wide window."""
+    from alphaloom.operators import backtest
+    from alphaloom.plans.compile import evaluate
+    from alphaloom.plans.stored import stored
+    from alphaloom.sources import bars
+
+    grid = stored(bars.grid(bars.synthetic(spark, 2000, 1000)))
+
+    def seconds(df) -> float:
+        began = time.time()
+        df().write.format("noop").mode("overwrite").save()
+        return round(time.time() - began, 1)
+
+    out = {"evaluate_20": seconds(lambda: evaluate(grid, batch)), "backtest_20": seconds(lambda: backtest.summary(backtest.scored(grid, batch)))}
+    out["evaluate_20_one_by_one"] = round(sum(seconds(lambda n=n, e=e: evaluate(grid, {n: e})) for n, e in batch.items()), 1)
+    out["ts_rank_252"] = seconds(lambda: evaluate(grid, {"x": "ts_rank(close, 252)"}))
+    return out
+
+
 if __name__ == "__main__":
     main()
