@@ -25,13 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back. A lost executor costs no recomputation of it; the folder is deleted when the driver ends."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession) -> str:
+    """A new folder in the shared one, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/alphaloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: cuts the lineage, and a lost executor costs no recomputation of it."""
+    path = new_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop(spark: SparkSession, path: str) -> None:
