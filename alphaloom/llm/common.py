@@ -2,57 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alphaloom.plans.stored import new_path, stored
+
+#: Intermediate tables, in the folder that all executors share.
+scratch, scratch_path = stored, new_path
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in local mode, where it is unset, one of our own."""
-    if at := spark.conf.get("spark.checkpoint.dir", None):
-        return at
-    given = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if given.isDefined():
-        return given.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    at = tempfile.mkdtemp(prefix="alphaloom-")
-    spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def scratch_path(spark: SparkSession) -> str:
-    """A new folder in the shared one, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/alphaloom/{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def scratch(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: cuts the lineage, and a lost executor costs no recomputation of it."""
-    path = scratch_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the session is gone; the folder's owner cleans it
-            return
 
 
 def free_name(df: DataFrame, name: str) -> str:

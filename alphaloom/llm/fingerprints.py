@@ -13,6 +13,8 @@ from these the inner product of two multisets is estimated, and so their likenes
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,40 +119,51 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Rows of one doc_id follow by their text's hash; a null doc_id comes last. Rows are dealt to shards of adjoining
     ids, cut at approximate quantiles, and put in order in each; the first row of a shard is also the last of the shard
-    before it, so that no row need be joined. A single row is its own next. A null text counts as empty.
+    before it, so that no row need be joined. An id that is repeated over several quantiles, or null as often, is cut
+    further by its texts' hashes; only repeats of an id with the same text stay together. A single row is its own next.
+    A null text counts as empty.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    keys = docs.select(key.alias("key"))
-    n, coarse = keys.agg(F.count("*"), F.percentile_approx("key", [i / 64 for i in range(1, 64)], 10_000)).first()
+    place = F.struct(key.alias("key"), F.xxhash64(text_of()).alias("hash"))
+    keys = docs.select(place.alias("at"))
+    n, coarse = keys.agg(F.count("*"), F.percentile_approx("at.key", [i / 64 for i in range(1, 64)], 10_000)).first()
     shards = max(1, min(SHARDS, n // SHARD_ROWS))
     if shards > 64:
-        coarse = keys.agg(F.percentile_approx("key", [i / shards for i in range(1, shards)], 10 * shards)).first()[0]
+        coarse = keys.agg(F.percentile_approx("at.key", [i / shards for i in range(1, shards)], 10 * shards)).first()[0]
     elif coarse:
         coarse = [coarse[(i * 64) // shards - 1] for i in range(1, shards)]
-    cuts = sorted(set(coarse or []))  # SHARDS numbers at most
-    # The first row of each shard, and the shard that comes before it in falling order: SHARDS rows at most.
-    heads = {r["shard"]: r["key"] for r in keys.groupBy(_shard(F.col("key"), cuts).alias("shard")).agg(F.max("key").alias("key")).collect()}
+    cuts = Counter(coarse or [])  # SHARDS numbers at most; one that occurs twice is a shard's rows or more by itself
+    # The first row of each shard, and the shard that comes before it in falling order: 2 * SHARDS rows at most.
+    heads = {r["shard"]: r["at"] for r in keys.groupBy(_shard(F.col("at"), cuts).alias("shard")).agg(F.max("at").alias("at")).collect()}
     falling = sorted(heads, reverse=True)
-    before = [(heads[s], falling[i - 1]) for i, s in enumerate(falling)]
-    rows = docs.select("doc_id", key.alias("key"), text_of().alias("text"))
-    follow = rows.join(F.broadcast(docs.sparkSession.createDataFrame(before, "key long, shard int")), "key")
-    follow = follow.groupBy("shard").agg(F.max_by("text", F.xxhash64("text")).alias("text")).select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("long").alias("key"), "text", "shard", F.lit(True).alias("follows"))
-    rows = rows.select("doc_id", "key", "text", _shard(F.col("key"), cuts).alias("shard"), F.lit(False).alias("follows"))
+    before = [(tuple(heads[s]), falling[i - 1]) for i, s in enumerate(falling)]
+    rows = docs.select("doc_id", place.alias("at"), text_of().alias("text"))
+    follow = rows.join(F.broadcast(docs.sparkSession.createDataFrame(before, "at struct<key:long,hash:long>, shard long")), "at")
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    follow = follow.groupBy("shard").agg(F.max("text").alias("text")).select(none("doc_id", docs.schema["doc_id"].dataType), none("at", "struct<key:long,hash:long>"), "text", "shard", F.lit(True).alias("follows"))
+    rows = rows.select("doc_id", "at", "text", _shard(F.col("at"), cuts).alias("shard"), F.lit(False).alias("follows"))
     both = rows.unionByName(follow).withColumn("print", fingerprint(F.col("text")))
-    window = Window.partitionBy("shard").orderBy("follows", F.desc("key"), F.desc(F.xxhash64("text")))
+    window = Window.partitionBy("shard").orderBy("follows", F.desc("at"))
     both = both.withColumn("next_text", F.lead("text").over(window)).withColumn("next_print", F.lead("print").over(window))
     return both.where(~F.col("follows")).select("doc_id", "text", "print", "next_text", "next_print")
 
 
-def _shard(key: Column, cuts: list[int]) -> Column:
-    """How many of the sorted cuts are at most the key: first among every step-th of them, then among the step that follow."""
-    if not cuts:
-        return F.lit(0)
-    step = max(1, int(len(cuts) ** 0.5))
-    numbers = lambda x: F.split(F.lit(",".join(map(str, x))), ",").cast("array<long>")  # noqa: E731  folds to one literal
+def _shard(at: Column, cuts: Counter) -> Column:
+    """The shard of a place (key, hash), rising with it. Cuts part the keys: their number at most the key is found among every step-th of them, then among the step that follow. A key that is a cut more than once has as many shards by its hash, before that of the greater keys."""
+    key, numbers = at["key"], sorted(cuts)
+    if not numbers:
+        return F.lit(0).cast("long")
+    step = max(1, int(len(numbers) ** 0.5))
+    literal = lambda x: F.split(F.lit(",".join(map(str, x))), ",").cast("array<long>")  # noqa: E731  folds to one literal
     at_most = lambda a: F.size(F.filter(a, lambda c: c <= key))
-    first = F.greatest(at_most(numbers(cuts[::step])) - 1, F.lit(0)) * step
-    return first + at_most(F.slice(numbers(cuts), first + 1, F.lit(step)))
+    first = F.greatest(at_most(literal(numbers[::step])) - 1, F.lit(0)) * step
+    shard = (first + at_most(F.slice(literal(numbers), first + 1, F.lit(step)))).cast("long") * (SHARDS + 1)
+    hot = {k: n for k, n in sorted(cuts.items()) if n > 1}
+    if not hot:
+        return shard
+    parts = F.get(literal(list(hot.values())), (F.array_position(literal(list(hot)), key) - 1).cast("int"))
+    part = F.floor((F.shiftright(at["hash"], 32) + F.lit(1 << 31)) * parts / F.lit(1 << 32))
+    return shard + F.coalesce(part, F.lit(SHARDS)).cast("long")
 
 
 def compare_with_edit(docs: DataFrame) -> DataFrame:

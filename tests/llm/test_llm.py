@@ -120,6 +120,18 @@ def test_fingerprints_are_equal_where_the_multisets_are_and_as_alike(spark):
     assert [one.h0 & (2**62 - 1), one.h1 & (2**62 - 1)] == one.p[:2]
 
 
+def test_fingerprints_of_an_id_that_a_third_of_the_rows_share(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "SHARD_ROWS", 8)
+    ids = [None] * 80 + [7] * 80 + list(range(-20, 60))
+    rows = [(i, f"text {k}") for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (-(1 << 63) if r[0] is None else r[0], hashes[r[1]]), reverse=True)
+    want = {order[k]: order[(k + 1) % len(order)][1] for k in range(len(order))}
+    got = fingerprints.with_next(df).select("doc_id", "text", "next_text", F.spark_partition_id().alias("p")).collect()
+    assert {(r.doc_id, r.text): r.next_text for r in got} == want and len(got) == len(rows)
+
+
 def test_fingerprints_of_odd_tables(spark):
     assert fingerprints.compare_with_edit(docs_of(spark, [])).count() == 0
     rows = [(None, "a. b."), (None, "c"), (1, "a. b."), (1, "a. b."), (1, None), (-5, "x" * 300_000)]
