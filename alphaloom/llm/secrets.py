@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alphaloom.llm.common import blocks, free_name, on_executors, scratch_path, text_of
+from alphaloom.llm.common import blocks, free_name, on_executors, scratch_path, spread_join, text_of
 
 #: The rules with their versions, in order. The first three are the base; their letters are ASCII.
 RULES = {
@@ -36,8 +36,6 @@ _PEM_BODY = re.compile(r"(?:(?:\s|\\[nr])*+(?:(?:Proc-Type|DEK-Info):[^\r\n\\]*+
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
 _SPANS = "array<struct<kind:string,start:long,end:long>>"
 _LEDGER = f"blob binary, rule string, spans {_SPANS}"
-#: Into how many parts the rows of a blob are dealt where findings are joined back to them.
-SALTS = 16
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -131,23 +129,10 @@ def _found(ledger: DataFrame, rules: dict[str, str]) -> DataFrame:
     return found.select("blob", F.transform(keyed, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
 
 
-def _joined_back(rows: DataFrame, found: DataFrame, key: str, spans: str) -> DataFrame:
-    """rows, which have a column `key` of blobs, with the blobs' spans, null where nothing was found.
-
-    A blob's rows are dealt to SALTS parts, so that one with a third of them all isn't one task's; found, which has
-    a row for each blob with secrets, is repeated as often.
-    """
-    salt = free_name(rows, "salt")
-    parts = found.select(F.col("blob").alias(key), F.col("spans").alias(spans), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
-    # Dealt by content: rand() would deal a recomputed row to another part.
-    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*(F.col(c) for c in rows.columns if c == "doc_id"), F.lit(3)), F.lit(SALTS)).cast("int"))
-    return dealt.join(parts, [key, salt], "left").drop(salt)
-
-
 def findings(docs: DataFrame, ledger: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
     """docs' doc_id and blob with spans, those of all rules by start and then by the rules' order; an empty list where there are none."""
     paths = docs.select("doc_id", blob_of(text_of()).alias("blob"))
-    both = _joined_back(paths, _found(ledger, RULES if rules is None else rules), "blob", "spans")
+    both = spread_join(paths, _found(ledger, RULES if rules is None else rules), "blob")
     return both.select("doc_id", "blob", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
 
 
@@ -194,5 +179,6 @@ def mask(docs: DataFrame, mark: str = "[secret]", ledger_path: str | None = None
     on_executors(docs.sparkSession)
     found = _found(update(docs, ledger_path or scratch_path(docs.sparkSession)), RULES)
     key, spans = free_name(docs, "blob"), free_name(docs, "found_spans")
-    rows = _joined_back(docs.withColumn(key, blob_of(text_of())), found, key, spans).select(*docs.columns, spans)
+    found = found.select(F.col("blob").alias(key), F.col("spans").alias(spans))
+    rows = spread_join(docs.withColumn(key, blob_of(text_of())), found, key).select(*docs.columns, spans)
     return rows.mapInArrow(_mask(spans, mark), docs.schema)
