@@ -28,15 +28,15 @@ def free_name(df: DataFrame, name: str) -> str:
 SALTS = 16
 
 
-def spread_join(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+def spread_join(rows: DataFrame, known: DataFrame, key: str, by: str = "doc_id") -> DataFrame:
     """rows with the columns of known, which has few rows, one a key at most, or null.
 
-    A key's rows are dealt to SALTS parts by their doc_id, so that one with a third of them all isn't one task's; known is
+    A key's rows are dealt to SALTS parts by the column by, so that one with a third of them all isn't one task's; known is
     repeated as often. They are dealt by content: rand() would deal a recomputed row to another part.
     """
     salt = free_name(rows, "salt")
     parts = known.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(F.lit(3), *(F.col(c) for c in rows.columns if c == "doc_id")), F.lit(SALTS)).cast("int"))
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(F.lit(3), *(F.col(c) for c in rows.columns if c == by)), F.lit(SALTS)).cast("int"))
     return dealt.join(parts, [key, salt], "left").drop(salt)
 
 
