@@ -1,6 +1,6 @@
-"""The functions as columns over a dense panel (date, t: number of the date, symbol, fields), null being the missing value.
+"""The functions of a row and of a date's symbols as columns over a dense panel (date, t: number of the date, symbol, fields), null being the missing value.
 
-Rolling values need max(1, n // 2) values in the window. Division by zero and other results that aren't finite are null.
+Division by zero and other results that aren't finite are null. Functions over a symbol's dates are in rolling.py.
 """
 
 from __future__ import annotations
@@ -10,10 +10,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-def by_symbol():
-    return Window.partitionBy("symbol").orderBy("t")
-
-
 def by_date():
     return Window.partitionBy("date")
 
@@ -21,10 +17,6 @@ def by_date():
 TINY = 1e-8
 
 
-def rolling(n: int):
-    return by_symbol().rowsBetween(-(n - 1), 0)
-
-
 def finite(x: Column) -> Column:
     """Null for NaN and infinities."""
     return F.when(F.abs(x) < float("inf"), x)  # NaN is larger than any number
@@ -36,15 +28,6 @@ def rounded(x: Column, places: int = 6) -> Column:
     return (F.when(x >= 0, F.floor(x * unit + 0.5)).otherwise(-F.floor(-x * unit + 0.5)) / unit).cast("double")
 
 
-def enough(x: Column, n: int, value: Column) -> Column:
-    return F.when(F.count(x).over(rolling(n)) >= max(1, n // 2), value)
-
-
-def padded(x: Column) -> Column:
-    """The symbol's last value so far."""
-    return F.last(x, ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
-
-
 def rank(x: Column) -> Column:
     """Average rank from low to high among the date's values, as a share of their number."""
     order = by_date().orderBy(x.asc_nulls_last())
@@ -62,94 +45,6 @@ def scale(x: Column, a: float) -> Column:
     return x / F.when(total == 0, TINY).otherwise(total) * a
 
 
-def ts_mean(x: Column, n: int) -> Column:
-    return enough(x, n, F.avg(x).over(rolling(n)))
-
-
-def ts_std(x: Column, n: int) -> Column:
-    return enough(x, n, F.stddev_samp(x).over(rolling(n)))
-
-
-def ts_max(x: Column, n: int) -> Column:
-    return enough(x, n, F.max(x).over(rolling(n)))
-
-
-def ts_min(x: Column, n: int) -> Column:
-    return enough(x, n, F.min(x).over(rolling(n)))
-
-
-def ts_sum(x: Column, n: int) -> Column:
-    return enough(x, n, F.sum(x).over(rolling(n)))
-
-
-def ts_zscore(x: Column, n: int) -> Column:
-    sd = ts_std(x, n)
-    return (x - ts_mean(x, n)) / F.when(sd == 0, TINY).otherwise(sd)
-
-
-def ts_rank(x: Column, n: int) -> Column:
-    """Average rank of the newest value among the window's, as a share of their number."""
-    seen = F.collect_list(x).over(rolling(n))
-    below = F.size(F.filter(seen, lambda v: v < x))
-    equal = F.size(F.filter(seen, lambda v: v == x))
-    return enough(x, n, F.when(x.isNotNull(), (below + (equal + 1) / 2) / F.count(x).over(rolling(n))))
-
-
-def ts_argmax(x: Column, n: int) -> Column:
-    """Periods since the window's largest value, the oldest of equal ones."""
-    return _since(x, n, F.max)
-
-
-def ts_argmin(x: Column, n: int) -> Column:
-    return _since(x, n, F.min)
-
-
-def _since(x: Column, n: int, pick: Callable) -> Column:
-    # The extreme of (value, -or+ t): equal values are decided for the older row.
-    older = -F.col("t") if pick is F.max else F.col("t")
-    best = pick(F.when(x.isNotNull(), F.struct(x.alias("v"), older.alias("o")))).over(rolling(n))
-    return enough(x, n, (F.col("t") - F.abs(best["o"])).cast("double"))
-
-
-def _pairs(x: Column, y: Column) -> tuple[Column, Column]:
-    both = x.isNotNull() & y.isNotNull()
-    return F.when(both, x), F.when(both, y)
-
-
-def correlation(x: Column, y: Column, n: int) -> Column:
-    x, y = _pairs(x, y)
-    w = rolling(n)
-    spread = F.stddev_samp(x).over(w) * F.stddev_samp(y).over(w)
-    return enough(x, n, F.try_divide(F.covar_samp(x, y).over(w), spread))
-
-
-def covariance(x: Column, y: Column, n: int) -> Column:
-    x, y = _pairs(x, y)
-    return enough(x, n, F.covar_samp(x, y).over(rolling(n)))
-
-
-def decay_linear(x: Column, n: int) -> Column:
-    """Mean with weights 1 to L, the newest heaviest, over a window of L rows; a missing value in it makes it missing."""
-    length = F.least(F.lit(n), F.col("t"))
-    w = rolling(n)
-    weighted = F.sum(x * F.col("t")).over(w) - (F.col("t") - length) * F.sum(x).over(w)
-    whole = (F.count(x).over(w) == length) & (length >= max(1, n // 2))
-    return F.when(whole, weighted / (length * (length + 1) / 2))
-
-
-def delay(x: Column, n: int) -> Column:
-    return F.lag(x, n).over(by_symbol())
-
-
-def delta(x: Column, n: int) -> Column:
-    return x - delay(x, n)
-
-
-def change(filled: Column, n: int) -> Column:
-    """Relative change of an already padded column."""
-    return F.try_divide(filled, F.lag(filled, n).over(by_symbol())) - 1
-
-
 def _both(x: Column, y: Column, value: Column) -> Column:
     return F.when(x.isNotNull() & y.isNotNull(), value)
 
@@ -171,20 +66,3 @@ ROW: dict[str, Callable[..., Column]] = {
     "**": lambda x, y: finite(F.pow(x, y)),
 }
 CROSS_SECTION: dict[str, Callable[..., Column]] = {"rank": rank, "zscore": zscore, "scale": scale}
-TIME_SERIES: dict[str, Callable[..., Column]] = {
-    "ts_mean": ts_mean,
-    "ts_std": ts_std,
-    "ts_max": ts_max,
-    "ts_min": ts_min,
-    "ts_sum": ts_sum,
-    "ts_zscore": ts_zscore,
-    "ts_rank": ts_rank,
-    "ts_argmax": ts_argmax,
-    "ts_argmin": ts_argmin,
-    "correlation": correlation,
-    "covariance": covariance,
-    "decay_linear": decay_linear,
-    "delay": delay,
-    "delta": delta,
-    "returns": change,
-}

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alphaloom.config import Backtest
-from alphaloom.functions.panel import by_symbol, padded
+from alphaloom.plans import slices
 from alphaloom.plans.compile import evaluate, long_form
 from alphaloom.plans.expr import ExpressionError, parse
 from alphaloom.plans.stored import stored
@@ -24,8 +24,7 @@ MIN_PAIRS = 10
 
 def forward_returns(grid: DataFrame, days: int) -> DataFrame:
     """grid with fwd: the relative change of the padded close over the next `days` dates."""
-    filled = grid.withColumn("_c", padded(F.col("close")))
-    return filled.withColumn("fwd", F.try_divide(F.lead("_c", days).over(by_symbol()), F.col("_c")) - 1).drop("_c")
+    return slices.add(grid, {"fwd": slices.Rolling("ahead", ("close",), days)})
 
 
 def scored(grid: DataFrame, factors: dict[str, str], config: Backtest = Backtest()) -> DataFrame:

@@ -1,8 +1,9 @@
 """Formulas to columns: all factors together, one column for each distinct window, as few shuffles as their nesting needs.
 
 Every part of a formula is a node; equal parts of different factors are one node and are computed once. Windows over a
-symbol's past that are ready are added together, then those over a date, and so on in turn: the number of shuffles is
-that of changes between the two kinds on the deepest path, whatever the number of factors.
+symbol's past that are ready are added together, by slices of the history; then those over a date, and so on in turn.
+What no later step reads isn't carried on. The number of shuffles is that of windows nested in one another on the
+deepest path, whatever the number of factors.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alphaloom.functions import panel
+from alphaloom.plans import slices
 from alphaloom.plans.expr import FUNCTIONS, Node, parse
 
 KEYS = ("date", "t", "symbol")
@@ -56,12 +58,21 @@ class _Plan:
         numbers = node.kind == "call"
         return panel.ROW[node.name](*(a.value if numbers and k == "s" else self.column(a) for a, k in zip(node.args, FUNCTIONS[node.name][0] if numbers else "xx", strict=False)))
 
-    def window(self, node: Node, x: list[Column]) -> Column:
-        rest = [int(a.value) if k == "n" else a.value for a, k in zip(node.args, FUNCTIONS[node.name][0], strict=True) if k != "x"]
-        if node.name == "adv":
-            return panel.ts_mean(F.col("volume"), *rest)
-        of = panel.TIME_SERIES | panel.CROSS_SECTION
-        return of[node.name](*x, *rest)
+    def read_by(self, nodes) -> set[str]:
+        """The columns there are that nodes will read."""
+        found: set[str] = set()
+        for node in nodes:
+            if node in self.names:
+                found.add(self.names[node])
+            elif node.kind == "field":
+                found.add(node.name)
+            else:
+                found |= self.read_by(node.args) | ({"volume"} if node.name == "adv" else set())
+        return found
+
+
+def _numbers(node: Node) -> list:
+    return [int(a.value) if k == "n" else a.value for a, k in zip(node.args, FUNCTIONS[node.name][0], strict=True) if k != "x"]
 
 
 def evaluate(grid: DataFrame, factors: dict[str, str | Node], carry: tuple[str, ...] = ()) -> DataFrame:
@@ -72,21 +83,21 @@ def evaluate(grid: DataFrame, factors: dict[str, str | Node], carry: tuple[str,
     while pending:
         for kind in ("ts", "cs"):
             while batch := [n for n in pending if FUNCTIONS[n.name][2] == kind and all(plan.ready(a) for a in n.args)]:
-                df = _add(df, plan, batch)
                 pending = [n for n in pending if n not in set(batch)]
+                df = _add(df, plan, kind, batch, carry, pending)
     roots = [plan.column(node).cast("double").alias(name) for name, node in plan.roots.items()]
     return df.select(*KEYS, *carry, *roots)
 
 
-def _add(df: DataFrame, plan: _Plan, batch: list[Node]) -> DataFrame:
-    """One column for each window of the batch. What a window reads is made a column first, so that it is computed once."""
+def _add(df: DataFrame, plan: _Plan, kind: str, batch: list[Node], carry: tuple[str, ...], pending: list[Node]) -> DataFrame:
+    """One column for each window of the batch, besides what pending ones and the factors read. What a window reads is made a column first, so that it is computed once."""
     inputs: dict[str, Column] = {}
     of: dict[Node, list[str]] = {}
     names: dict[Node, str] = {}
     for node in batch:
-        own = []
-        for arg, kind in zip(node.args, FUNCTIONS[node.name][0], strict=True):
-            if kind != "x":
+        own = ["volume"] if node.name == "adv" else []
+        for arg, what in zip(node.args, FUNCTIONS[node.name][0], strict=True):
+            if what != "x":
                 continue
             if arg in plan.names or arg.kind == "field":
                 own.append(plan.names.get(arg, arg.name))
@@ -97,17 +108,20 @@ def _add(df: DataFrame, plan: _Plan, batch: list[Node]) -> DataFrame:
             own.append(names[arg])
         of[node] = own
     df = df.withColumns(inputs) if inputs else df
-    filled: dict[str, Column] = {}
-    for node in batch:
-        if node.name == "returns":
-            filled[f"_p{of[node][0]}"] = panel.padded(F.col(of[node][0]))
-            of[node] = [f"_p{of[node][0]}"]
-    df = df.withColumns(filled) if filled else df
     made = {}
     for node in batch:
-        plan.names[node] = name = f"_w{len(plan.names)}"
-        made[name] = plan.window(node, [F.col(c) for c in of[node]])
-    return df.withColumns(made)
+        plan.names[node] = f"_w{len(plan.names)}"
+        if kind == "cs":
+            made[plan.names[node]] = panel.CROSS_SECTION[node.name](*map(F.col, of[node]), *_numbers(node))
+        else:
+            made[plan.names[node]] = slices.Rolling("ts_mean" if node.name == "adv" else node.name, tuple(of[node]), *_numbers(node))
+    if kind == "cs":
+        return df.withColumns(made)
+    later = plan.read_by([*pending, *plan.roots.values()]) - set(made)
+    wanted = {*KEYS, *carry, *later, *(c for own in of.values() for c in own)}
+    read = {c for own in of.values() for c in own}
+    df = df.select(*(F.col(c).cast("double").alias(c) if c in read else c for c in df.columns if c in wanted))
+    return slices.add(df, made)
 
 
 def long_form(wide: DataFrame, factors: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
