@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alphaloom.llm.common import blocks, free_name, on_executors, scratch, text_of
+from alphaloom.llm.common import blocks, free_name, on_executors, scratch, spread_join, text_of
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -404,7 +404,7 @@ def classes(docs: DataFrame) -> DataFrame:
     linked = linked.join(least, "root").select("node", "class_id")
     known = scratch(nodes.join(linked, "node", "left").select("node", F.coalesce("class_id", "first_doc").alias("class_id")))
     rows = docs.select(F.col("doc_id").cast("long"), node_of(text_of()).alias("node"))
-    return rows.join(known, "node").select("doc_id", "class_id")
+    return spread_join(rows, known, "node").select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -3,10 +3,19 @@
 The base kinds are found by their patterns. They are the seeds, and what stands around a seed gives lexical patterns of
 three kinds: the two words before it; the word before it and its shape; its shape and the word after it. A shape is a
 text with runs of letters as `a` and runs of up to four digits as `9`, longer ones as so many; it is only taken of what
-has a digit or an `@`. A pattern's instances are the seeds and tokens that it fits anywhere in the corpus. On the graph
-of patterns and instances a pattern's confidence is the mean confidence of its instances, and an instance that is no
-seed has that of its best pattern; this is repeated. What patterns of high confidence fit are new identifiers, of kind
-`context`.
+has a digit or an `@`. A pattern's instances are the seeds and tokens that it fits anywhere in the corpus.
+
+On the graph of patterns and instances a pattern's share s is the sum of its instances' confidence over their number and
+one, that of a seed being 1 and that of any other instance 0 at first. Its confidence is 1 - (1 - s) ** VOUCHED: the
+pattern vouches for what it fits, and this for the pattern, so many times. A pattern of SEEDS distinct seeds or more
+whose confidence reaches CONFIDENT is accepted; what it fits becomes known, with its confidence, and raises the share of
+other patterns. This goes on until no pattern is accepted any more. What accepted patterns fit are new identifiers, of
+kind `context`. Nothing else decides: no count or size of what else the corpus holds.
+
+Most patterns fit far more than they have seeds, and their edges are never made: the instances found in a part of the
+texts are a lower bound of their number, and all that is or could be known of a pattern is an upper bound of the sum. A
+pattern is only left out while these bounds prove that it can't be accepted; where what becomes known raises them, it
+is counted after all.
 """
 
 from __future__ import annotations
@@ -27,15 +36,18 @@ _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _FIRST = r"^[^\p{L}\p{N}+]+"
 _BLOCK = 128  # words; a text is cut so that its places are found without the whole of it
 _CHUNK = 256
-_AROUND = 160  # characters in which the words around a seed are looked for
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 _FOUND = "array<struct<start:long,end:long,match:string,left:string,right:string>>"
 _SEEN = "array<struct<kind:string,start:long,end:long,match:string,left:string,right:string>>"
-ROUNDS = 3
 CONFIDENT = 0.5
+VOUCHED = 4
 SEEDS = 3
-SUPPORT = 1 / 2000
-SHARE = 0.1
+#: The share at which a pattern is accepted.
+_LEAST = 1 - (1 - CONFIDENT) ** (1 / VOUCHED)
+#: Parts of the texts, by their hashes, in which instances are counted first: one in so many.
+PARTS = (64, 8)
+#: Patterns or instances up to which they are broadcast, some 100 bytes each.
+BROADCAST_ROWS = 200_000
 
 
 def _let(value: Column, body) -> Column:
@@ -59,7 +71,7 @@ def running(lengths: Column) -> Column:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, match, left, right) of the leftmost non-overlapping matches, in code points; left and right: up to _AROUND characters, no further than two matches away, left with a line's end where the text begins.
+    """Array of (start, end, match, left, right) of the leftmost non-overlapping matches, in code points; left and right: what stands there, no further than two matches away, left with a line's end where the text begins.
 
     Spark has no positions of all matches; they follow from the lengths of the matches and of what lies between them.
     """
@@ -74,7 +86,7 @@ def matches(text: Column, pattern: str) -> Column:
             before = lambda k: F.when(i >= k, F.concat(between(i - k), match(i - k))).otherwise(F.lit(""))
             left = F.concat(F.when(i <= 2, F.lit("\n")).otherwise(F.lit("")), before(2), before(1), between(i))
             right = F.concat(between(i + 1), match(i + 1), between(i + 2))
-            return F.struct((skip + F.length(m)).alias("step"), skip.alias("skip"), m.alias("match"), F.right(left, F.lit(_AROUND)).alias("left"), F.left(right, F.lit(_AROUND)).alias("right"))
+            return F.struct((skip + F.length(m)).alias("step"), skip.alias("skip"), m.alias("match"), left.alias("left"), right.alias("right"))
 
         def spans(found: Column) -> Column:
             span = lambda before, x: F.struct((before + x["skip"]).alias("start"), (before + x["step"]).alias("end"), x["match"].alias("match"), x["left"].alias("left"), x["right"].alias("right"))
@@ -157,7 +169,7 @@ def _seeds(seen: Column) -> Column:
 
 
 def _tokens(source: DataFrame) -> DataFrame:
-    """blob, from, block, pattern, i, word: a row for each token and pattern around it in source (blob, text), the token being the i-th of its block, which begins at `from`."""
+    """blob, from, block, i, word and keys of the tokens in source (blob, text): a row for each, the i-th of its block, which begins at `from`; keys: the patterns around it."""
     body = F.regexp_replace("text", r"^\s+", "")
     source = source.select("blob", (F.length("text") - F.length(body)).cast("long").alias("lead"), F.regexp_extract_all(body, F.lit(rf"(?:\S++\s*+){{1,{_BLOCK}}}"), F.lit(0)).alias("blocks"))
     # Each block is given the first three words of the next: two are its own tokens then, which have the words before them, and the third is the word after.
@@ -181,32 +193,61 @@ def _tokens(source: DataFrame) -> DataFrame:
     rows = each.select("*", F.posexplode("words").alias("i", "word")).where((F.col("i") < F.col("own") + 2) & (F.col("head") | (F.col("i") >= 2)))
     word = lambda n: F.get("words", F.col("i") + n)  # noqa: E731  null outside of the block
     shape = F.when(F.col("word").rlike("[0-9@]"), _shape(_core(F.col("word"))))
-    keys = _keys(word(-2), word(-1), shape, word(1))
-    return rows.select("blob", "from", "block", "i", "word", F.explode(keys).alias("pattern")).where("pattern is not null")
+    return rows.select("blob", "from", "block", "i", "word", _keys(word(-2), word(-1), shape, word(1)).alias("keys"))
+
+
+def _fitted(tokens: DataFrame, *columns: str) -> DataFrame:
+    """columns, word and pattern: a row for each token and pattern around it."""
+    return tokens.select(*columns, "word", F.explode("keys").alias("pattern")).where("pattern is not null")
+
+
+def _among(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in known, a stored table, which is broadcast if it is small."""
+    return rows.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, key, "left_semi")
 
 
 def _placed(tokens: DataFrame) -> DataFrame:
-    """blob, pattern, instance, start, end of tokens (as of _tokens)."""
+    """blob, pattern, instance, start, end of tokens (as of _fitted)."""
     found = tokens.withColumn("pieces", F.regexp_extract_all("block", F.lit(r"\S++\s*+"), F.lit(0)))
     token = F.regexp_extract(F.get("pieces", F.col("i")), r"^\S+", 0)
     start = F.col("from") + F.length(F.array_join(F.slice("pieces", F.lit(1), F.col("i")), "")) + F.length(token) - F.length(F.regexp_replace(token, _FIRST, ""))
-    return found.select("blob", "pattern", F.lower(_core(token)).alias("instance"), start.alias("start"), (start + F.length(_core(token))).alias("end")).distinct()
+    return found.select("blob", "pattern", _core(F.col("word")).alias("instance"), start.alias("start"), (start + F.length(_core(token))).alias("end")).distinct()
+
 
+def accepted_patterns(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pattern) of those that are accepted and (instance) of what is known by them beyond seeds; edges: distinct (pattern, instance, seed), of patterns of SEEDS seeds or more.
 
-def confident_patterns(edges: DataFrame) -> DataFrame:
-    """pattern of those with a confidence of CONFIDENT or more and SEEDS seeds or more; edges: distinct (pattern, instance, seed)."""
-    size = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.col("seed").cast("long")).alias("seeds"))
-    size = scratch(size.where(F.col("seeds") >= SEEDS))  # a pattern of fewer seeds is never accepted and lends no confidence
-    edges = scratch(edges.join(size, "pattern"))
-    score = edges.select("*", F.col("seed").cast("double").alias("s"))
-    for _ in range(ROUNDS):
-        # One is added to a pattern's size, so that few instances count less.
-        patterns = score.groupBy("pattern").agg((F.sum("s") / (F.max("n") + 1)).alias("p"))
-        best = edges.where(~F.col("seed")).join(patterns, "pattern").groupBy("instance").agg(F.max("p").alias("best"))
-        score = edges.join(best, "instance", "left").select("pattern", "instance", "seed", "n", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("s"))
-        score = scratch(score)
-    final = score.groupBy("pattern").agg((F.sum("s") / (F.max("n") + 1)).alias("p"))
-    return final.where(F.col("p") >= CONFIDENT).select("pattern")
+    A pattern's share only grows, and an instance keeps the one with which it becomes known; so the rounds end, and
+    their result hangs on no order. Each round joins only what the one before has made known.
+    """
+    others = edges.where(~F.col("seed")).select("pattern", "instance")
+    state = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.col("seed").cast("double")).alias("total")).withColumn("round", F.lit(None).cast("int"))
+    share = F.col("total") / (F.col("n") + 1)  # one is added, so that few instances count less
+    confidence = 1 - F.pow(1 - share, F.lit(VOUCHED))
+    known, done = others.where("false").select("instance"), 0
+    while True:
+        fresh = F.col("round").isNull() & (share >= _LEAST)
+        state = scratch(state.withColumn("round", F.when(fresh, done).otherwise(F.col("round"))))
+        new = state.where(F.col("round") == done)
+        if not new.limit(1).count():
+            return state.where("round is not null").select("pattern"), known
+        found = others.join(new.select("pattern", confidence.alias("p")), "pattern").groupBy("instance").agg(F.max("p").alias("p"))
+        found = scratch(found.join(known, "instance", "left_anti") if done else found)
+        known = known.unionByName(found.select("instance"))
+        gained = others.join(found, "instance").groupBy("pattern").agg(F.sum("p").alias("gained"))
+        state = state.join(gained, "pattern", "left").select("pattern", "n", (F.col("total") + F.coalesce("gained", F.lit(0.0))).alias("total"), "round")
+        done += 1
+
+
+def _possible(source: DataFrame, able: DataFrame) -> DataFrame:
+    """Of able (pattern, most) those that could be accepted if `most` of their instances were known: in no part of the texts there are too many others."""
+    able = scratch(able)
+    for part in PARTS:
+        texts = source.where(F.pmod(F.xxhash64(F.lit(11), "blob"), F.lit(part)) == 0)
+        fitted = _among(_fitted(_tokens(texts)), able, "pattern")
+        counted = fitted.groupBy("pattern").agg(F.countDistinct(_core(F.col("word"))).alias("n"))
+        able = scratch(able.join(counted, "pattern", "left").where(F.col("most") >= _LEAST * (F.greatest(F.coalesce("n", F.lit(0)), "most") + 1)).select("pattern", "most"))
+    return able.select("pattern")
 
 
 def _bases(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -219,24 +260,34 @@ def _bases(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _discovered(source: DataFrame, seeds: DataFrame) -> DataFrame:
-    """blob, instance, start and end of what confident patterns fit in source; seeds: distinct (pattern, instance)."""
-    seeds = scratch(seeds)
-    able = seeds.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= max(SEEDS, SUPPORT * seeds.count()))
-    able = scratch(able)  # 1 / SUPPORT rows at most: broadcast below
-    tokens = _tokens(source.select("blob", "text"))
-    sizes = tokens.select("pattern", "word").join(F.broadcast(able.select("pattern")), "pattern").groupBy("pattern").agg(F.approx_count_distinct("word").alias("size"))
-    able = scratch(able.join(sizes, "pattern").where(F.col("n") >= SHARE * F.col("size")).select("pattern"))
-    tokens = scratch(_placed(tokens.join(F.broadcast(able), "pattern")))
-    seeds = seeds.join(able, "pattern", "left_semi")
-    edges = seeds.withColumn("seed", F.lit(True)).unionByName(tokens.select("pattern", "instance", F.lit(False).alias("seed")))
-    accepted = confident_patterns(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    return tokens.join(accepted, "pattern").select("blob", "instance", "start", "end").distinct()
+    """blob, instance, start and end of what accepted patterns fit in source (blob, text); seeds: distinct (pattern, instance)."""
+    source, seeds = source.select("blob", "text"), scratch(seeds)
+    able = scratch(seeds.groupBy("pattern").agg(F.count("*").alias("most")).where(F.col("most") >= SEEDS))
+    fresh = scratch(_possible(source, able))
+    counted, tokens = fresh, None  # the patterns whose edges have been made
+    while True:
+        made = scratch(_placed(_among(_fitted(_tokens(source), "blob", "from", "block", "i"), fresh, "pattern")))
+        tokens = made if tokens is None else tokens.unionByName(made)
+        edges = _among(seeds, scratch(counted), "pattern").withColumn("seed", F.lit(True)).unionByName(tokens.select("pattern", "instance", F.lit(False).alias("seed")))
+        accepted, known = accepted_patterns(scratch(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))))
+        known = scratch(known)
+        rest = scratch(able.join(counted, "pattern", "left_anti"))
+        if not known.limit(1).count() or not rest.limit(1).count():
+            break
+        # What is known now may make patterns possible that weren't before.
+        raised = _among(_tokens(source).select(_core(F.col("word")).alias("instance"), "keys", F.lit("").alias("word")), known, "instance")
+        raised = _among(_fitted(raised, "instance"), rest.select("pattern"), "pattern").groupBy("pattern").agg(F.countDistinct("instance").alias("gained"))
+        fresh = scratch(_possible(source, rest.join(raised, "pattern").select("pattern", (F.col("most") + F.col("gained")).alias("most"))))
+        if not fresh.limit(1).count():
+            break
+        counted = counted.unionByName(fresh)
+    return tokens.join(scratch(accepted), "pattern", "left_semi").select("blob", "instance", "start", "end").distinct()
 
 
 def _new_spans(found: DataFrame, spans: DataFrame) -> DataFrame:
-    """Of found (blob, start, end, ...) those of four characters or more that overlap none of spans (blob, base)."""
+    """Of found (blob, start, end, ...) those that overlap none of spans (blob, base)."""
     overlaps = F.exists(F.coalesce("base", F.array().cast(SPANS)), lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    return found.where(F.col("end") - F.col("start") >= 4).join(spans, "blob", "left").where(~overlaps).drop("base")
+    return found.join(spans, "blob", "left").where(~overlaps).drop("base")
 
 
 def _once(rows: DataFrame) -> DataFrame:
@@ -246,8 +297,10 @@ def _once(rows: DataFrame) -> DataFrame:
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans of every row of docs (doc_id, text): base spans, and those with the `context` spans after them.
 
-    A null text counts as empty and has none. Repeated rows are answered each; in the graph an edge counts once however
-    often it occurs, so a group of copies weighs no more than one text. Other columns are ignored.
+    A `context` span is a token without what stands around its letters and digits; it overlaps no base span. A word that is
+    glued to more than two base matches counts from the second on. A null text counts as empty and has none. Repeated rows
+    are answered each; in the graph an edge counts once however often it occurs, so a group of copies weighs no more than
+    one text. Other columns are ignored.
     """
     source, rows = _bases(docs)
     found = _discovered(source, rows.select(F.explode("seeds").alias("s")).select("s.*").distinct())

@@ -391,6 +391,73 @@ def test_pii_learns_patterns_of_three_kinds(spark):
     assert got[n - 5] == ["nodigits"] and got[n - 4] == ["999.1.1.1"] and got[n - 3] == ["4111111111111112"] and got[n - 2] == got[n - 1] == []
 
 
+def contexts_by_hand(texts):
+    """doc -> spans of kind context: every pattern with all of its edges, round by round."""
+    texts = [t or "" for t in texts]
+    core = lambda t: re.sub(r"[\W_]+$", "", re.sub(r"^(?:(?!\+)[\W_])+", "", t))
+    letters = lambda x: re.sub(r"[^\W\d_]+", "a", x)
+    shape = lambda x: re.sub(r"(?<!9)9{1,4}(?!9)", "9", re.sub("[0-9]", "9", letters(x))) if re.search("[0-9@]", x) else None
+    keys = lambda a, b, s, z: [k for k in (("two", a, b), ("left", b, s), ("right", s, z)) if None not in k]
+    edges, seeds, places = {}, {}, []
+    for d, t in enumerate(texts):
+        words = [(m[0], m.start()) for m in re.finditer(r"\S+", t)]
+        at = lambda i: words[i][0].lower() if 0 <= i < len(words) else None  # noqa: B023, E731
+        for i, (w, start) in enumerate(words):
+            instance = core(w.lower())
+            begin = start + len(w) - len(re.sub(r"^(?:(?!\+)[\W_])+", "", w))
+            for k in keys(at(i - 2), at(i - 1), shape(instance) if re.search("[0-9@]", w) else None, at(i + 1)):
+                edges.setdefault(k, set()).add(instance)
+                places.append((k, instance, d, begin, begin + len(core(w))))
+        for _, begin, end in base_by_hand(t):
+            first = max((i for i, (_, s) in enumerate(words) if s <= begin), default=0)
+            last = max(i for i, (_, s) in enumerate(words) if s < end)
+            instance = t[begin:end].lower()
+            for k in keys(at(first - 2), at(first - 1), shape(instance), at(last + 1)):
+                edges.setdefault(k, set()).add(instance)
+                seeds.setdefault(k, set()).add(instance)
+    able = [k for k in seeds if len(seeds[k]) >= 3]
+    known, accepted = {}, set()
+    while True:
+        score = lambda k: 1 - (1 - (len(seeds[k]) + sum(known.get(i, 0) for i in edges[k] - seeds[k])) / (len(edges[k]) + 1)) ** 4  # noqa: B023, E731
+        new = {k: score(k) for k in able if k not in accepted and score(k) >= 0.5}
+        if not new:
+            break
+        accepted |= set(new)
+        found = {}
+        for k, p in new.items():
+            for i in edges[k] - seeds[k]:
+                if i not in known:
+                    found[i] = max(found.get(i, 0), p)
+        known |= found
+    out = {d: set() for d in range(len(texts))}
+    for k, _, d, begin, end in places:
+        if k in accepted and not any(b < end and begin < e for _, b, e in base_by_hand(texts[d])):
+            out[d].add((begin, end))
+    return {d: sorted(x) for d, x in out.items()}
+
+
+def test_pii_contexts_are_those_of_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(pii, "PARTS", (3, 2))
+    r = random.Random(11)
+    words = "mail to call from id user the of card note see pay row".split()
+    seed = lambda: r.choice([f"u{r.randrange(40)}@ex{r.randrange(3)}.org", f"10.0.{r.randrange(9)}.{r.randrange(9)}", f"+49 30 {r.randrange(10**6, 10**7)}", "4111 1111 1111 1111"])
+    other = lambda: r.choice([f"(k{r.randrange(30)}x),", f"{r.randrange(10**5)}", "zed", "plain.", f"u{r.randrange(40)}@local"])
+    texts = [" ".join(r.choices([r.choice(words), seed(), other()], [6, 2, 1])[0] for _ in range(r.randrange(1, 60))) for _ in range(120)]
+    texts += [f"my account {seed()} ok" for _ in range(9)] + ["my account q7 ok", "our reference q7 is", *(f"our reference {seed()} is" for _ in range(3)), "our reference r8 is", "our reference s9 is"]
+    texts += [*EDGE, "a" * 300 + " to u1@ex1.org " + "b" * 300, texts[0], texts[0]]
+    got = {x.doc_id: sorted((s.start, s.end) for s in x.spans if s.kind == "context") for x in pii.find(docs_of(spark, texts)).collect()}
+    want = contexts_by_hand(texts)
+    assert got == want and sum(map(len, want.values())) > 20
+
+
+def test_pii_contexts_do_not_hang_on_the_rest_of_the_corpus(spark):
+    texts = [f"customer account a{i}@b.org" for i in range(4)] + ["customer account zebra77", "customer account lion88", "customer account 7"]
+    for others in ([], [f"{prose(i, 8)} p{i}@q.org 10.1.{i % 250}.{i // 250} {prose(i + 9000, 3)}" for i in range(2000)]):
+        rows = pii.find(docs_of(spark, [*texts, *others])).where("doc_id < 7").collect()
+        got = {x.doc_id: [tuple(s) for s in x.spans if s.kind == "context"] for x in rows}
+        assert got == {**{i: [] for i in range(4)}, 4: [("context", 17, 24)], 5: [("context", 17, 23)], 6: [("context", 17, 18)]}
+
+
 def test_pii_finds_hidden_seeds_again(spark):
     texts = [f"{prose(i, 4)} contact person user{i}x@mail{i}.org {prose(i, 3)}" for i in range(60)] + [f"{prose(i, 9)} w{i}q@other.net {prose(200 + i, 3)}" for i in range(20)]
     got = pii.rediscovery(docs_of(spark, texts)).first()
