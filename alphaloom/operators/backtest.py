@@ -49,24 +49,20 @@ def universe(scores: DataFrame, config: Backtest = Backtest()) -> DataFrame:
     return n.select("factor", "n_symbols", leg(config.long_pct).alias("n_long"), leg(config.short_pct).alias("n_short"))
 
 
-def legs(scores: DataFrame, config: Backtest = Backtest()) -> DataFrame:
-    """factor, date, t, side (long or short), place, symbol, score, fwd: the best and the worst scores of each rebalancing date, ties to the lower symbol. Dates with fewer scores than both legs need are left out."""
+def legs(scores: DataFrame, config: Backtest = Backtest(), sizes: DataFrame | None = None) -> DataFrame:
+    """factor, date, t, side (long or short), place, symbol, score, fwd: the best and the worst scores of each rebalancing date, ties to the lower symbol. Dates with fewer scores than both legs need are left out. sizes: universe(), if it is known."""
+    sizes = stored(universe(scores, config)) if sizes is None else sizes
+    most = sizes.agg(F.max("n_long"), F.max("n_short")).first()
     days = calendar(scores, config).select("t")
-    at = scores.join(F.broadcast(days), "t", "left_semi").where(F.col("score").isNotNull())
-    at = at.join(F.broadcast(universe(scores, config)), "factor")
-    by = Window.partitionBy("factor", "date")
-    ranked = at.select(
-        "*",
-        F.count("*").over(by).alias("n"),
-        F.row_number().over(by.orderBy(F.desc("score"), "symbol")).alias("high"),
-        F.row_number().over(by.orderBy("score", "symbol")).alias("low"),
-    ).where(F.col("n") >= F.col("n_long") + F.col("n_short"))
-    side = F.array(
-        F.struct(F.lit("long").alias("side"), F.col("high").alias("place"), (F.col("high") <= F.col("n_long")).alias("holds")),
-        F.struct(F.lit("short").alias("side"), F.col("low").alias("place"), (F.col("low") <= F.col("n_short")).alias("holds")),
-    )
-    taken = ranked.select("factor", "date", "t", "symbol", "score", "fwd", F.explode(side).alias("x")).where("x.holds")
-    return taken.select("factor", "date", "t", "x.side", "x.place", "symbol", "score", "fwd")
+    at = scores.join(F.broadcast(days), "t", "left_semi").where(F.col("score").isNotNull()).select("factor", "date", "t", "symbol", "score", "fwd")
+    enough = at.groupBy("factor", "date").agg(F.count("*").alias("n")).join(F.broadcast(sizes), "factor").where(F.col("n") >= F.col("n_long") + F.col("n_short"))
+    # Each leg is limited by a number before its rows are shuffled, and then by its factor's own size.
+    sides = []
+    for side, order, size, limit in (("long", F.desc("score"), "n_long", most[0]), ("short", F.asc("score"), "n_short", most[1])):
+        place = F.row_number().over(Window.partitionBy("factor", "date").orderBy(order, "symbol"))
+        first = at.withColumn("place", place).where(F.col("place") <= (limit or 0))
+        sides.append(first.join(enough.select("factor", "date", size), ["factor", "date"]).where(F.col("place") <= F.col(size)).select("factor", "date", "t", F.lit(side).alias("side"), "place", "symbol", "score", "fwd"))
+    return sides[0].unionByName(sides[1])
 
 
 def period_returns(positions: DataFrame, config: Backtest = Backtest()) -> DataFrame:
@@ -111,9 +107,10 @@ def ic_summary(ics: DataFrame) -> DataFrame:
     return out.select("factor", "ic_mean", "ic_std", F.when(F.col("ic_std") > 0, F.col("ic_mean") / F.col("ic_std")).otherwise(0.0).alias("icir"), "n_dates")
 
 
-def summary(scores: DataFrame, config: Backtest = Backtest()) -> DataFrame:
-    """A row for each factor: its metrics, rounded as reports show them, or an error and no metrics."""
-    periods = stored(period_returns(legs(scores, config), config))
+def summary(scores: DataFrame, config: Backtest = Backtest(), ics: DataFrame | None = None) -> DataFrame:
+    """A row for each factor: its metrics, rounded as reports show them, or an error and no metrics. ics: daily_ic(), if it is known."""
+    sizes = stored(universe(scores, config))
+    periods = stored(period_returns(legs(scores, config, sizes), config))
     h = config.holding_days
     returns = periods.groupBy("factor").agg(
         F.count("*").alias("n_periods"),
@@ -126,8 +123,8 @@ def summary(scores: DataFrame, config: Backtest = Backtest()) -> DataFrame:
     changed = turnover(periods).groupBy("factor").agg(F.avg("turnover").alias("turnover"))
     fallen = drawdown(periods).groupBy("factor").agg(F.min("drawdown").alias("max_drawdown"))
     dates = scores.groupBy("factor").agg(F.max("t").alias("n_dates"))
-    all_ = dates.join(universe(scores, config), "factor", "left")
-    for part in (returns, changed, fallen, ic_summary(daily_ic(scores)).drop("n_dates")):
+    all_ = dates.join(sizes, "factor", "left")
+    for part in (returns, changed, fallen, ic_summary(daily_ic(scores) if ics is None else ics).drop("n_dates")):
         all_ = all_.join(part, "factor", "left")
     n = F.coalesce("n_symbols", F.lit(0))
     rebalances = F.ceil(F.col("n_dates") / h)

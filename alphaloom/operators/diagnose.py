@@ -2,37 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alphaloom.config import Classification
-from alphaloom.plans.stored import stored
+from alphaloom.operators.ordinal import spearman_pairs
 
+__all__ = ["advise", "best", "classify", "counts", "latest", "spearman_pairs", "structural_pairs"]
 CLASSES = ("invalid", "overfit", "unstable", "duplicate", "weak", "promising")
 
 
-def spearman_pairs(ics: DataFrame, least: int = 5) -> DataFrame:
-    """a, b, corr of factors a < b: correlation of the ranks of their ICs on the dates both have; ties (to nine places) are ranked by date, and a constant series has 0."""
-    ics = stored(ics.select("factor", "date", F.round("ic", 9).alias("ic")))
-    dates = ics.groupBy("factor").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("date").cast("string"))), ","), 256).alias("dates"))
-    # A factor's ranks over its dates are its ranks in every pair with a factor of the same dates: ranked once a factor,
-    # not once a pair, and a pair's rows are summed where they are made.
-    own = ics.select("factor", "date", F.row_number().over(Window.partitionBy("factor").orderBy("ic", "date")).cast("double").alias("rank")).join(dates, "factor")
-    a, b = (own.select(F.col("factor").alias(x), "date", F.col("dates").alias(f"dates_{x}"), F.col("rank").alias(f"rank_{x}")) for x in "ab")
-    alike = a.join(b, (a["date"] == b["date"]) & (a["dates_a"] == b["dates_b"]) & (F.col("a") < F.col("b")))
-    n = F.count("*").cast("double")
-    alike = alike.groupBy("a", "b").agg(n.alias("n"), (1 - 6 * F.sum(F.pow(F.col("rank_a") - F.col("rank_b"), 2)) / (n * n * n - n)).alias("corr")).where(F.col("n") >= least)
-    alike = alike.select("a", "b", F.round("corr", 4).alias("corr"))
-    # The others are ranked over the dates that the two have in common.
-    dated = ics.join(dates, "factor")
-    a, b = (dated.select(F.col("factor").alias(x), "date", F.col("dates").alias(f"dates_{x}"), F.col("ic").alias(f"ic_{x}")) for x in "ab")
-    both = a.join(b, "date").where("a < b and dates_a <> dates_b")
-    by = Window.partitionBy("a", "b")
-    ranks = both.select("a", "b", F.row_number().over(by.orderBy("ic_a", "date")).alias("x"), F.row_number().over(by.orderBy("ic_b", "date")).alias("y"))
-    out = ranks.groupBy("a", "b").agg(F.count("*").alias("n"), F.covar_samp("x", "y").alias("c"), (F.stddev_samp("x") * F.stddev_samp("y")).alias("s"))
-    return alike.unionByName(out.where(F.col("n") >= least).select("a", "b", F.round(F.coalesce(F.try_divide("c", "s"), F.lit(0.0)), 4).alias("corr")))
-
-
 def _jaccard(x: Column, y: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))), F.lit(0.0))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alphaloom.plans.expr import FIELDS
+from alphaloom.plans.stored import few, stored
 
 SUCCESS, HIGH_TURNOVER, HIGH_CORR = 0.2, 0.8, 0.8
 _BETWEEN = r"[()\s,/*+\-]+"
@@ -34,6 +35,31 @@ def token_jaccard(x: Column, y: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
+def similar(formulas: DataFrame, patterns: DataFrame, bound: float) -> DataFrame:
+    """expression, pattern, jaccard of formulas (expression) and patterns (pattern) whose sets of tokens are alike by more than bound, each distinct pair once.
+
+    Two sets that are that alike share one of the rarest tokens of each, so many as its size leaves; only these are
+    joined. Sizes are compared before tokens are, and then the sets are counted exactly. A formula without tokens is
+    like none.
+    """
+    one = formulas.select("expression").distinct().select("expression", tokens(F.col("expression")).alias("tokens"))
+    other = patterns.select("pattern").distinct().select("pattern", tokens(F.col("pattern")).alias("tokens"))
+    often = one.select("tokens").unionByName(other.select("tokens")).select(F.explode("tokens").alias("token")).groupBy("token").count()
+    often = stored(often)
+
+    def listed(sets: DataFrame, key: str, as_: str) -> DataFrame:
+        each = sets.select(key, F.explode("tokens").alias("token")).join(few(often), "token")
+        own = each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "token"))), lambda x: x["token"]).alias(as_))
+        # Of k tokens at least ceil(bound * k) are shared, so that one of the first k - that + 1 is.
+        first = F.size(as_) - F.ceil(F.size(as_) * bound).cast("int") + 1
+        return own.select(key, as_, F.explode(F.slice(as_, F.lit(1), first)).alias("token"))
+
+    both = listed(one, "expression", "x").join(listed(other, "pattern", "y"), "token")
+    both = both.where((F.size("x") >= F.size("y") * bound) & (F.size("y") >= F.size("x") * bound)).dropDuplicates(["expression", "pattern"])
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.select("expression", "pattern", (shared / (F.size("x") + F.size("y") - shared)).alias("jaccard")).where(F.col("jaccard") > bound)
+
+
 def successes(known: DataFrame | None, results: DataFrame) -> DataFrame:
     """pattern, avg_sharpe, times_seen of formulas with |Sharpe| over 0.2: those of earlier iterations with the new ones."""
     new = results.where(F.abs("sharpe") > SUCCESS).groupBy(F.col("expression").alias("pattern")).agg(F.sum("sharpe").alias("total"), F.count("*").alias("times_seen"))

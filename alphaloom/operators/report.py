@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alphaloom.config import Config, Stopping, Tags
+from alphaloom.operators import frontier
 from alphaloom.plans.stored import stored
 
 
@@ -34,29 +33,10 @@ def pareto(results: DataFrame) -> DataFrame:
     """
     value = lambda c: F.coalesce(c, F.lit(0.0))
     valid = stored(results.where("error is null").withColumns({"_s": value("sharpe"), "_t": value("turnover"), "_d": value("max_drawdown")}))
-    # Each partition's own frontier first: what is dominated there is dominated, and few points are left to compare.
-    points = stored(valid.select("_s", "_t", "_d").distinct().mapInPandas(_frontier, "_s double, _t double, _d double"))
-    other = points.select(F.col("_s").alias("s"), F.col("_t").alias("t"), F.col("_d").alias("d"))
-    as_good = (F.col("s") >= F.col("_s")) & (F.col("t") <= F.col("_t")) & (F.col("d") >= F.col("_d"))
-    better = (F.col("s") > F.col("_s")) | (F.col("t") < F.col("_t")) | (F.col("d") > F.col("_d"))
-    front = points.join(other, as_good & better, "left_anti")
+    front = frontier.undominated(valid, "_s", "_t", "_d")
     return valid.join(front, ["_s", "_t", "_d"], "left_semi").drop("_s", "_t", "_d")
 
 
-def _frontier(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The points of a partition that none of it dominates. By falling Sharpe a point is only dominated by earlier ones."""
-    kept = pd.DataFrame({"_s": [], "_t": [], "_d": []}, dtype=float)
-    for frame in frames:
-        both = pd.concat([kept, frame]).drop_duplicates().sort_values(["_s", "_t", "_d"], ascending=[False, True, False], ignore_index=True)
-        turnover, drawdown = both["_t"].to_numpy(), both["_d"].to_numpy()
-        front: list[int] = []
-        for i in range(len(both)):
-            if not ((turnover[front] <= turnover[i]) & (drawdown[front] >= drawdown[i])).any():
-                front.append(i)
-        kept = both.iloc[front]
-    yield kept
-
-
 def tags(results: DataFrame, config: Tags = Tags()) -> DataFrame:
     """results with tags, an array of what stands out."""
     when = lambda test, name: F.when(test, F.lit(name))

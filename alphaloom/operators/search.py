@@ -43,8 +43,9 @@ def evaluate_batch(grid: DataFrame, specs: list[dict], config: Config = Config()
         pairs = spark.createDataFrame([], "a string, b string, corr double")
     else:
         scores = backtest.scored(grid, good, config.backtest)
-        metrics = backtest.summary(scores, config.backtest).unionByName(bad, allowMissingColumns=True)
-        pairs = stored(diagnose.spearman_pairs(backtest.daily_ic(scores)))
+        ics = stored(backtest.daily_ic(scores))
+        metrics = backtest.summary(scores, config.backtest, ics).unionByName(bad, allowMissingColumns=True)
+        pairs = stored(diagnose.spearman_pairs(ics))
         if not pairs.limit(1).count():
             pairs = stored(diagnose.structural_pairs(table.select(F.col("name").alias("factor"), "expression")))
     named = metrics.join(table.select(F.col("name").alias("factor"), "expression", "parent", "transformation"), "factor")

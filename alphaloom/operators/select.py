@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alphaloom.config import Selection
-from alphaloom.operators.memory import token_jaccard
+from alphaloom.operators.memory import similar
 
 #: What a class adds to a parent's score.
 BONUS = {"promising": 0.08, "weak": 0.0, "unstable": -0.05, "duplicate": -0.08, "overfit": -0.12}
@@ -27,12 +27,12 @@ def parent_scores(classified: DataFrame) -> DataFrame:
 
 
 def memory_boost(classified: DataFrame, under_used: list[str], successful: DataFrame, failed: DataFrame) -> DataFrame:
-    """classified with boost: 0.05 for each under-used field in the formula, 0.03 if it is like a success, less 0.075 for each twice-failed pattern it is very like. A search has tens of formulas and patterns."""
-    like = classified.select("factor", "expression").join(successful.select("pattern"), token_jaccard(F.col("expression"), F.col("pattern")) > 0.6, "left_semi").select("factor", F.lit(0.03).alias("good"))
-    unlike = classified.select("factor", "expression").join(failed.where("times_failed >= 2").select("pattern"), token_jaccard(F.col("expression"), F.col("pattern")) > 0.7).groupBy("factor").agg((F.count("*") * 0.075).alias("bad"))
+    """classified with boost: 0.05 for each under-used field in the formula, 0.03 if it is like a success, less 0.075 for each twice-failed pattern it is very like. The memory may be of any size: patterns are found by their rare tokens."""
+    like = similar(classified, successful, 0.6).select("expression", F.lit(0.03).alias("good")).distinct()
+    unlike = similar(classified, failed.where("times_failed >= 2"), 0.7).groupBy("expression").agg((F.count("*") * 0.075).alias("bad"))
     fresh = sum((F.when(F.col("expression").contains(f), 0.05).otherwise(0.0) for f in under_used), F.lit(0.0))
-    joined = classified.join(like, "factor", "left").join(unlike, "factor", "left")
-    return joined.withColumn("boost", fresh + F.coalesce("good", F.lit(0.0)) - F.coalesce("bad", F.lit(0.0))).drop("good", "bad")
+    joined = classified.join(like, "expression", "left").join(unlike, "expression", "left")
+    return joined.select(*classified.columns, (fresh + F.coalesce("good", F.lit(0.0)) - F.coalesce("bad", F.lit(0.0))).alias("boost"))
 
 
 def pick_diverse(ranked: list[str], corr: dict[frozenset, float], config: Selection = Selection()) -> list[str]:

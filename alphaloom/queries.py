@@ -100,7 +100,8 @@ def factors(spark: SparkSession) -> DataFrame:
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = scores(spark, sf_dir)
-    return diagnose.classify(backtest.summary(of, CONFIG), diagnose.spearman_pairs(backtest.daily_ic(of)))
+    ics = stored(backtest.daily_ic(of))
+    return diagnose.classify(backtest.summary(of, CONFIG, ics), diagnose.spearman_pairs(ics))
 
 
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
