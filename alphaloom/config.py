@@ -13,6 +13,7 @@ class Backtest:
     long_pct: float = 0.2
     short_pct: float = 0.2
     lookback_min_days: int = 252
+    n_quantiles: int = 5  # shown in reports only
     universe: str = "000300"
     start_date: str = "20240101"
     end_date: str = "20251231"

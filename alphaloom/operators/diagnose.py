@@ -16,11 +16,14 @@ def _jaccard(x: Column, y: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))), F.lit(0.0))
 
 
-def structural_pairs(factors: DataFrame) -> DataFrame:
-    """a, b, corr: how many pieces between opening parentheses two formulas share."""
+def structural_pairs(factors: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """a, b, corr: how many pieces between opening parentheses two formulas share, of the pairs that aren't in known (a, b)."""
     pieces = factors.select("factor", F.array_distinct(F.split("expression", r"\(")).alias("p"))
     a, b = (pieces.select(F.col("factor").alias(x), F.col("p").alias(f"p{x}")) for x in "ab")
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(_jaccard(F.col("pa"), F.col("pb")), 4).alias("corr"))
+    pairs = a.join(b, F.col("a") < F.col("b"))
+    if known is not None:
+        pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+    return pairs.select("a", "b", F.round(_jaccard(F.col("pa"), F.col("pb")), 4).alias("corr"))
 
 
 def classify(metrics: DataFrame, pairs: DataFrame, config: Classification = Classification()) -> DataFrame:
@@ -44,7 +47,7 @@ def classify(metrics: DataFrame, pairs: DataFrame, config: Classification = Clas
 
 def advise(classified: DataFrame) -> DataFrame:
     """classified with notes and suggestions: arrays of text that follow from the class and the metrics."""
-    k, none = F.col("classification"), F.lit(None).cast("string")
+    k = F.col("classification")
     notes = F.array_compact(
         F.array(
             F.when(k == "invalid", F.concat(F.lit("no usable backtest: "), F.coalesce("error", F.lit("metrics missing")))),
@@ -59,14 +62,12 @@ def advise(classified: DataFrame) -> DataFrame:
     )
     advice = F.array_compact(
         F.array(
-            F.when(k == "invalid", F.lit("simplify the expression")),
-            F.when(k == "overfit", F.lit("simplify and lengthen the lookback")),
+            F.when((k == "promising") & (F.col("turnover") > 0.6), F.lit("reduce-turnover")),
+            F.when(k == "weak", F.lit("combine-factors with a promising one")),
+            F.when(k == "duplicate", F.lit("remove it or merge it with its twin")),
             F.when(k == "unstable", F.lit("adjust-smoothing")),
-            F.when(k == "duplicate", F.lit("adjust-normalization")),
-            F.when((k == "weak") & (F.col("sharpe") < -0.3), F.lit("flip-sign")),
-            F.when(k == "weak", F.lit("adjust-lookback")),
-            F.when(k == "promising", F.lit("adjust-clipping")),
-            F.when(F.col("turnover") > 0.8, F.lit("reduce-turnover")).otherwise(none),
+            F.when(k == "unstable", F.lit("adjust-lookback")),
+            F.when(k == "overfit", F.lit("simplify")),
         )
     )
     return classified.withColumn("notes", notes).withColumn("suggestions", advice)

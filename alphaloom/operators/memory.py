@@ -111,6 +111,29 @@ def concentration(counts: list[int]) -> float:
     return (max(counts) / total - even) / (1 - even)
 
 
+def best_so_far(memory: dict[str, DataFrame]) -> list[tuple[str, float]]:
+    """(factor, Sharpe) of each iteration's best, in order: a row an iteration."""
+    return [(r["factor"], r["sharpe"]) for r in memory["best_history"].orderBy("iteration").collect()]
+
+
+def told(memory: dict[str, DataFrame], n: int = 5) -> list[str]:
+    """What a memory has to say, as Markdown lines: how fields are used, what did well and what failed, the last errors and costly factors, how the best went, and signs of going in circles."""
+    fields = field_diversity(memory["field_usage"]).orderBy(F.desc("n"), "field").collect()
+    out = []
+    if sum(r["n"] for r in fields):
+        out += ["- fields: " + ", ".join(f"{r['field']} {r['share']:.0%}" for r in fields)]
+        out += [f"- {r['field']} is {r['state']}-used" for r in fields if r["state"] in ("over", "under")]
+    good, bad = summary(memory["successes"], memory["failures"], n)
+    out += [f"- did well: `{r['pattern']}`, Sharpe {r['avg_sharpe']:.3f}, seen {r['times_seen']} times" for r in good.collect()]
+    out += [f"- failed: `{r['pattern']}`, {r['times_failed']} times" for r in bad.collect()]
+    last = lambda name: memory[name].orderBy(F.desc("iteration"), "factor").limit(n).collect()
+    out += [f"- error: {r['factor']}: {r['error'] or 'metrics missing'}" for r in last("error_log")]
+    out += [f"- costly: {r['factor']}, turnover {r['turnover']:.2f}" for r in last("high_turnover_structures")]
+    best = best_so_far(memory)
+    out += [f"- best of iteration {i}: {f}, Sharpe {s:.3f}" for i, (f, s) in enumerate(best, 1)][-n:]
+    return out + [f"- beware: {w}" for w in convergence_warning(best, concentration([r["n"] for r in fields]))]
+
+
 TABLES = {
     "successes": "pattern string, avg_sharpe double, times_seen long",
     "failures": "pattern string, times_failed long",
@@ -128,8 +151,10 @@ def empty(spark: SparkSession) -> dict[str, DataFrame]:
     return {n: spark.createDataFrame([(f, 0) for f in FIELDS] if n == "field_usage" else [], s) for n, s in TABLES.items()}
 
 
-def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The memory of a folder; a table that isn't there is empty. The tables' newest version counts."""
+def load(spark: SparkSession, path: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The memory of a folder, of its newest whole version or the one that is named; without one, or with 0, it is empty."""
+    if version is not None:
+        return {n: spark.read.schema(s).parquet(f"{path}/v{version}/{n}") for n, s in TABLES.items()} if version else empty(spark)
     found = empty(spark)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -139,17 +164,17 @@ def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return found
 
 
-def save(memory: dict[str, DataFrame], path: str) -> int:
-    """The memory written to the folder as its next version, whose number is returned; what load() gave still reads the last one. A version counts once all of its tables are written."""
+def save(memory: dict[str, DataFrame], path: str, version: int | None = None) -> int:
+    """The memory written to the folder as its next version, or as the one that is named, in place of what a broken run has left of it; its number is returned. What load() gave still reads the last one. A version counts once all of its tables are written."""
     spark = next(iter(memory.values())).sparkSession
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(at)
-    version = max([0, *(int(n[1:]) for x in fs.listStatus(at) if (n := str(x.getPath().getName()))[:1] == "v" and n[1:].isdigit())]) + 1
+    version = version or max([0, *(int(n[1:]) for x in fs.listStatus(at) if (n := str(x.getPath().getName()))[:1] == "v" and n[1:].isdigit())]) + 1
     for name in TABLES:
-        memory[name].write.parquet(f"{path}/v{version}/{name}")
-    fs.create(jvm.org.apache.hadoop.fs.Path(f"{path}/v{version}/_COMPLETE")).close()
+        memory[name].write.mode("overwrite").parquet(f"{path}/v{version}/{name}")
+    fs.create(jvm.org.apache.hadoop.fs.Path(f"{path}/v{version}/_COMPLETE"), True).close()
     return version
 
 

@@ -115,6 +115,12 @@ def mermaid(nodes: list[dict], edges: list[dict]) -> str:
     return "\n".join(lines) + "\n"
 
 
+def graph_of_bests(best: list[dict]) -> tuple[list[dict], list[dict]]:
+    """Nodes and edges of a search of which only each iteration's best (iteration, factor, sharpe) is known: a chain."""
+    nodes = [{"id": f"{b['iteration']}: {b['factor']}", "sharpe": b["sharpe"], "iteration": b["iteration"]} for b in best]
+    return nodes, [{"from": a["id"], "to": z["id"], "transformation": "next best"} for a, z in zip(nodes, nodes[1:], strict=False)]
+
+
 def _table(head: list[str], rows: list[list]) -> list[str]:
     line = lambda cells: "| " + " | ".join("" if c is None else f"{c:.4f}" if isinstance(c, float) else str(c) for c in cells) + " |"
     return [line(head), line(["-"] * len(head)), *(line(r) for r in rows), ""]
@@ -124,7 +130,7 @@ def document(nodes: list[dict], edges: list[dict], front: list[dict], config: Co
     """The report of a search as Markdown: its settings, the lineage graph, the Pareto frontier, the factors by Sharpe and what each transform has done. A node without metrics is shown without."""
     b = config.backtest
     out = ["# Factor search", "", *([f"Written {when}.", ""] if when else []), "## Settings", ""]
-    out += _table(["setting", "value"], [[k, getattr(b, k)] for k in ("universe", "start_date", "end_date", "holding_days", "cost_bps", "long_pct", "short_pct", "lookback_min_days", "exclude_st")])
+    out += _table(["setting", "value"], [[k, getattr(b, k)] for k in ("universe", "start_date", "end_date", "holding_days", "cost_bps", "n_quantiles", "long_pct", "short_pct", "lookback_min_days", "exclude_st")])
     out += ["## Lineage", "", "```mermaid", mermaid(nodes, edges).rstrip(), "```", "", "## Pareto frontier", "", "Factors that none betters in Sharpe, turnover and drawdown together.", ""]
     out += _table(["factor", "sharpe", "turnover", "max_drawdown"], [[x.get(c) for c in ("factor", "sharpe", "turnover", "max_drawdown")] for x in front])
     out += ["## Factors", ""]

@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from alphaloom.plans.expr import FIELDS
 
 NUMBERS = ("open", "high", "low", "close", "volume", "amount")
-SCHEMA = T.StructType([T.StructField("date", T.StringType()), T.StructField("symbol", T.StringType()), *(T.StructField(f, T.StringType()) for f in NUMBERS)])
 
 
 def from_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Bars of a CSV file with a header: date (yyyyMMdd), symbol, and numbers as text, which normalise() reads."""
-    return normalise(spark.read.option("header", True).schema(SCHEMA).option("enforceSchema", False).csv(path))
+    """Bars of a CSV file with a header, its columns in any order, all read as text: date (yyyyMMdd), symbol and numbers, which normalise() reads; is_st and universe if there are such columns."""
+    return normalise(spark.read.option("header", True).csv(path))
 
 
 def from_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -28,8 +26,8 @@ def normalise(raw: DataFrame) -> DataFrame:
         named = named.withColumn("amount", F.lit(None).cast("double"))
     date = F.coalesce(F.try_to_date(F.col("date").cast("string"), "yyyyMMdd"), F.try_to_date(F.col("date").cast("string"), "yyyy-MM-dd"))
     numbers = [F.col(f).try_cast("double").alias(f) for f in NUMBERS]
-    marks = ["is_st"] if "is_st" in named.columns else []
-    df = named.select(date.alias("date"), F.col("symbol").cast("string").alias("symbol"), *numbers, *(F.col(m).try_cast("boolean").alias(m) for m in marks))
+    marks = [m for m in ("is_st", "universe") if m in named.columns]
+    df = named.select(date.alias("date"), F.col("symbol").cast("string").alias("symbol"), *numbers, *(F.col(m).try_cast("boolean" if m == "is_st" else "string").alias(m) for m in marks))
     df = df.select("date", "symbol", *(F.when(~F.isnan(f), F.col(f)).alias(f) for f in NUMBERS), *marks)
     df = df.withColumn("amount", F.coalesce("amount", F.col("close") * F.col("volume")))
     return df.na.drop(subset=["date", "symbol", "open", "high", "low", "close"])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,14 +35,58 @@ def factor_table(spark: SparkSession, specs: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(None if s.get(n) is None else str(s[n]) for n in names) for s in reversed(distinct.values())], FACTOR)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _at(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _at(spark, path)
+    return fs.exists(at)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names of what is in a folder; none if it isn't there."""
+    at, fs = _at(spark, path)
+    return sorted(str(x.getPath().getName()) for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, whole or not at all: it is written beside its place and then moved there."""
+    at, fs = _at(spark, path)
+    beside, _ = _at(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    if not fs.rename(beside, at):  # where there is a file already
+        fs.delete(at, False)
+        if not fs.rename(beside, at):
+            raise OSError(f"{path} can't be written")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    at, fs = _at(spark, path)
+    stream = fs.open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").removeprefix("\ufeff")
+    finally:
+        stream.close()
+
+
+def commit(spark: SparkSession, path: str, state: dict, number: int) -> None:
+    """The state as number `number` of the folder: one file that names what belongs together, moved to its place when all of that is written."""
+    write_text(spark, f"{path.rstrip('/')}/{number:08d}.json", json.dumps(state, ensure_ascii=False))
+
+
+def committed(spark: SparkSession, path: str) -> dict | None:
+    """The last state of the folder, None before the first."""
+    found = [n for n in names(spark, path) if n.endswith(".json")]
+    return json.loads(read_text(spark, f"{path.rstrip('/')}/{found[-1]}")) if found else None
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame | None:
     """All iterations of the folder, or None before the first."""
-    return spark.read.option("mergeSchema", True).parquet(path) if _exists(spark, path) else None
+    return spark.read.option("mergeSchema", True).parquet(path) if exists(spark, path) else None
 
 
 def next_iteration(history: DataFrame | None) -> int:
@@ -83,9 +127,10 @@ def scan_runs(spark: SparkSession, path: str) -> DataFrame:
 
 def clean(path: str) -> list[str]:
     """Deletes the intermediate files of a run's folder, and tells which there were."""
-    there = [n for n in INTERMEDIATE if os.path.isfile(os.path.join(path, n))]
+    spark = SparkSession.active()
+    there = [n for n in INTERMEDIATE if n in names(spark, path)]
     for name in there:
-        os.unlink(os.path.join(path, name))
+        drop(spark, f"{path.rstrip('/')}/{name}")
     return there
 
 

@@ -175,3 +175,121 @@ def test_search_runs_to_its_end_and_commands_read_what_it_left(spark, grid, tmp_
     assert command("diagnose", *at[:2])["n_total"] > 0 and command("memory", *at[2:], "--ingest", str(tmp_path / "factors.json"))["fields"]
     assert isinstance(command("generate", *at), list) and "JSON array" in command("suggest", *at)["prompt"]
     assert command("library", "--runs", str(tmp_path / "runs"))["stats"]["n_runs"] == 1
+
+
+def test_a_search_that_is_cut_off_ends_as_if_nothing_had_happened(spark, grid, tmp_path, monkeypatch):
+    config = search.shorter(replace(Config(), transforms=replace(Config().transforms, max_candidates=2)), 2)
+    specs = SPECS[:2]
+
+    def left(folder):
+        rows = lambda df, *c: sorted(map(str, df.select(*c).collect()))
+        known = memory.load(spark, f"{folder}/memory")
+        history = records.read_history(spark, f"{folder}/history")
+        files = [(folder / n).read_text() for n in ("final_summary.json", "search.md")]
+        return files, rows(history, "iteration", "factor", "sharpe", "classification"), {n: rows(t, *sorted(t.columns)) for n, t in known.items()}, records.committed(spark, f"{folder}/state")
+
+    whole = tmp_path / "whole"
+    search.run(spark, grid, specs, str(whole), config)
+    want = left(whole)
+    assert want[3]["iteration"] == 2 and len(want[1]) > 2
+
+    class Killed(Exception):
+        pass
+
+    # After each write of the second iteration, and of the reports, the loop is killed once.
+    cut = tmp_path / "cut"
+    search.run(spark, grid, specs, str(cut), search.shorter(config, 1))
+    first = json.loads((whole / "state" / "00000001.json").read_text())
+    for where in ("append_iteration", "save", "commit", "write_text"):
+        records.commit(spark, f"{cut}/state", first, 1)
+        (cut / "state" / "00000002.json").unlink(missing_ok=True)
+        of = memory if where == "save" else records
+        made = getattr(of, where)
+        calls = []
+
+        def dies(*args, made=made, calls=calls, where=where, **kw):
+            made(*args, **kw)
+            calls.append(1)
+            if where != "write_text" or len(calls) == 2:  # of reports: the state's file first, then the summary
+                raise Killed
+
+        monkeypatch.setattr(of, where, dies)
+        with pytest.raises(Killed):
+            search.run(spark, grid, [{"name": "other", "expression": "close"}], str(cut), config)
+        monkeypatch.setattr(of, where, made)
+        search.run(spark, grid, [{"name": "other", "expression": "close"}], str(cut), config)
+        assert left(cut) == want, where
+    assert search.run(spark, grid, specs, str(cut), config) == json.loads(want[0][0])  # one that has ended stays as it is
+
+
+def test_commands_from_bars_to_summary(spark, tmp_path):
+    """A small sample from one command to the next, with every flag that changes what is computed."""
+    out = str(tmp_path / "out.json")
+
+    def command(*args):
+        commands.main([*map(str, args), "--output", out], spark)
+        return json.loads((tmp_path / "out.json").read_text())
+
+    data = bars.synthetic(spark, 300, 30).withColumn("date", F.date_format("date", "yyyyMMdd")).withColumn("universe", F.when(F.col("symbol") < "STK0020", "big").otherwise("small"))
+    data.coalesce(1).write.option("header", True).csv(str(tmp_path / "csv"))
+    next((tmp_path / "csv").glob("part-*.csv")).rename(tmp_path / "bars.csv")
+    factors = tmp_path / "factors.json"
+    factors.write_text(json.dumps([{"name": "test_mom", "expression": "returns(close,5)", "description": "Momentum", "rationale": "Test", "generation": "initial"}, {"name": "bad", "expression": "close +"}]))
+    wide = ("--start-date", "20200101", "--end-date", "20301231")
+    test = ("backtest", "--factors", factors, "--data", tmp_path / "bars.csv", *wide)
+    history = tmp_path / "history"
+    rows = {r["factor"]: r for r in command(*test, "--history", history, "--details", tmp_path / "details")}
+    assert rows["test_mom"]["error"] is None and rows["bad"]["error"] and spark.read.option("header", True).csv(str(tmp_path / "details" / "market_data")).count() == 9000
+
+    def symbols(*more):
+        command(*test, *more, "--details", tmp_path / "d")
+        return spark.read.option("header", True).csv(str(tmp_path / "d" / "market_data")).select("symbol").distinct().count()
+
+    (tmp_path / "members.csv").write_text("universe,symbol\n" + "".join(f"X,STK{i:04d}\n" for i in range(12)) + "Y,STK0029\n")
+    assert symbols("--universe", "big") == 20 and symbols("--universe", "X", "--members", tmp_path / "members.csv") == 12 and symbols("--members", tmp_path / "members.csv") == 13
+    with pytest.raises(ValueError, match="--members"):
+        data.drop("universe").write.parquet(str(tmp_path / "plain"))
+        command("backtest", "--factors", factors, "--data", tmp_path / "plain", *wide, "--universe", "big")
+    assert command(*test, "--start-date", "20230101")[1]["error"].startswith("dates: ")
+    shorter = command(*test, "--holding-days", 10, "--cost-bps", 0, "--long-pct", 0.1, "--short-pct", 0.3, "--lookback-min-days", 20, "--n-quantiles", 10, "--include-st")[1]
+    assert shorter["coverage"] == 0.4 and shorter["n_periods"] < rows["test_mom"]["n_periods"] / 1.9
+
+    known = tmp_path / "memory"
+    assert command("memory", "--memory", known, "--init")["iterations_completed"] == 0
+    learned = command("memory", "--memory", known, "--learn", history)
+    assert learned["iterations_completed"] == 1 and learned["best"][0]["factor"] == "test_mom" and learned["n_error_log"] == 1
+    at = ("--history", history, "--memory", known)
+    assert command("stall", *at)["reason"] == "continue" and command("stall", *at, "--max-iterations", 1) == {"should_stop": True, "reason": "exhausted", "iterations": 1}
+    assert len(command("generate", *at, "--min-transforms", 1, "--max-transforms", 1)) == 1 and len(command("generate", *at, "--max-candidates", 2)) == 2
+    assert command("generate", *at, "--max-parents", 1, "--min-parents", 1, "--no-active-memory")
+    asked = command("suggest", *at, "--query", "steady momentum")["prompt"]
+    assert all(x in asked for x in ("steady momentum", "returns(close, 5)" if "returns(close, 5)" in asked else "returns(close,5)", "max drawdown", "error: bad", "best of iteration 1: test_mom", "ts_argmax", "turnover"))
+    told = command("summary", "--folder", tmp_path)
+    assert told["best_factors"][0]["factor"] == "test_mom" and told["iterations"] == 1 and told["stopped"] is None
+
+
+def test_transforms_are_filled_up_in_their_order():
+    from alphaloom.config import Transforms
+    from alphaloom.operators.variants import Parent, choose
+
+    assert choose(Parent("p", "rank(close)", 0.5, 0.5)) == ["adjust-lookback", "adjust-normalization", "adjust-clipping", "asymmetric", "reduce-turnover"]
+    assert choose(Parent("p", "x", -0.5, 0.9)) == ["flip-sign", "reduce-turnover", "adjust-smoothing", "adjust-lookback", "adjust-normalization"]
+    assert choose(Parent("p", "x", 0.1, 0.5, 0.01, -0.02)) == ["adjust-lookback", "adjust-normalization", "adjust-clipping", "long-only", "short-only"]
+    assert choose(Parent("p", "x", 0.1, 0.5, suggestions=["Simplify it", "lengthen the lookback"]), Transforms(max_per_parent=9)) == ["adjust-lookback", "adjust-normalization", "adjust-clipping", "simplify", "adjust-smoothing", "asymmetric"]
+    # What the rules named but the bound cut off isn't padded with: reduce-turnover is the first that they didn't name.
+    assert choose(Parent("p", "x", 0.1, 0.1), Transforms(max_per_parent=2, min_per_parent=4)) == ["adjust-lookback", "adjust-normalization", "reduce-turnover", "adjust-smoothing"]
+    assert len(choose(Parent("p", "x"), Transforms(max_per_parent=12, min_per_parent=12))) == 10
+
+
+def test_advice_follows_the_class(spark):
+    rows = [(k, k, t) for k, t in (("promising", 0.5), ("promising", 0.61), ("weak", 0.9), ("duplicate", 0.9), ("unstable", 0.9), ("overfit", 0.9), ("invalid", None))]
+    df = spark.createDataFrame(rows, "factor string, classification string, turnover double").withColumns({"error": F.lit("no data"), "max_drawdown": F.lit(-0.1), "sharpe": F.lit(-0.9)})
+    got = [(r.classification, r.suggestions) for r in diagnose.advise(df).collect()]
+    assert got[0] == ("promising", []) and got[1] == ("promising", ["reduce-turnover"]) and got[6] == ("invalid", [])
+    assert got[2][1][0].startswith("combine-factors") and "merge" in got[3][1][0] and got[4][1] == ["adjust-smoothing", "adjust-lookback"] and got[5][1] == ["simplify"]
+
+
+def test_pairs_without_ics_are_told_by_their_formulas(spark):
+    found = spark.createDataFrame([("a", "b", 0.5)], "a string, b string, corr double")
+    factors = spark.createDataFrame([("a", "rank(close)"), ("b", "rank(open)"), ("c", "rank(close)")], "factor string, expression string")
+    assert sorted(tuple(r) for r in diagnose.structural_pairs(factors, found).collect()) == [("a", "c", 1.0), ("b", "c", round(1 / 3, 4))]
