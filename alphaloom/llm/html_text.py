@@ -13,8 +13,9 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -60,21 +61,22 @@ def lines_of(page: str) -> list[Line]:
     A tag ends at the first `>` outside of quotes. After a tag that never ends so, tags end at the first `>` of all, and
     after the last `>` there are none: what looks like their beginning is text. So no place is read more than twice.
     """
-    out: list[Line] = []
+    out: list[tuple[str, bool, bool, bool]] = []
     buffer: list[str] = []
     opened: list[str] = []  # the open elements, from the outermost
     count: defaultdict[str, int] = defaultdict(int)  # how often each is open
-    apart, main, raw = 0, 0, ""  # how many are open with the outermost that isn't the article; open articles; the raw element
+    # How many are open with the outermost that isn't the article, for pages that name their article and for those that don't; open articles; the raw element.
+    apart, alone, main, raw = 0, 0, 0, ""
 
     def close() -> None:
         text = " ".join(html.unescape("".join(buffer)).split())
         buffer.clear()
         if text:
-            out.append((text, bool(apart), main > 0))
+            out.append((text, bool(apart), bool(alone), main > 0))
 
     def end(names: frozenset[str], within: frozenset[str]) -> None:
         """The innermost of these elements ends, and all in it, unless it is outside of one of the others."""
-        nonlocal apart, main
+        nonlocal apart, alone, main
         if not any(count[n] for n in names):
             return
         at = next((i for i in range(len(opened) - 1, -1, -1) if opened[i] in names or opened[i] in within), -1)
@@ -83,7 +85,7 @@ def lines_of(page: str) -> list[Line]:
         for name in opened[at:]:
             count[name] -= 1
         del opened[at:]
-        apart = apart if apart <= at else 0
+        apart, alone = apart if apart <= at else 0, alone if alone <= at else 0
         main = count["article"] + count["main"]
 
     at, pattern, last_end = 0, _TOKEN, page.rfind(">")
@@ -126,31 +128,37 @@ def lines_of(page: str) -> list[Line]:
             end(*SIBLINGS[name])
         opened.append(name)
         count[name] += 1
-        if not apart and (name in APART and not (main and name == "header") or name not in HEADINGS and name != "main" and _called(said, main > 0 or name == "article")):
+        element, free = name in APART and not (main and name == "header"), name not in HEADINGS and name != "main"
+        if not apart and (element or free and _called(said, main > 0 or name == "article")):
             apart = len(opened)
+        if not alone and (element or free and _named(said)):
+            alone = len(opened)
         if name in ("article", "main"):
             main += 1
     close()
-    return out
+    # Where an article is named, what lies outside and is called by such a word isn't it; elsewhere the article may be called so in part.
+    named = any(x[3] for x in out)
+    return [(text, apart if named else alone, main) for text, apart, alone, main in out]
 
 
 def _called(tag: str, whole: bool) -> bool:
-    """Whether class, id or role have one of the words; whole: whether a class or role is one."""
+    """Whether class or role, or outside of articles id too, have one of the words; whole: whether a class or role is one."""
     if whole:
         return any(part.lower() in CALLED for m in _MARKED.finditer(tag) if m[0][:2].lower() != "id" for part in (m[1] or m[2] or m[3] or "").split())
     return any(part.lower() in CALLED for m in _MARKED.finditer(tag) for part in _PART.findall(m[1] or m[2] or m[3] or ""))
 
 
-#: Pairs of equal lines up to which the subsequence is found pair by pair, and bits of a table up to which it is traced back whole.
-_PAIRS, _TABLE_BITS = 200_000, 1 << 28
+def _named(tag: str) -> bool:
+    """Whether a class, id or role is one of the words or ends with one (`site-footer`, but not `related-work`)."""
+    return any((_PART.findall(part) or [""])[-1].lower() in CALLED for m in _MARKED.finditer(tag) for part in (m[1] or m[2] or m[3] or "").split())
 
 
 def common(one: list[str], other: list[str]) -> set[int]:
     """Places in `one` of a longest common subsequence with `other`.
 
-    Equal beginnings and ends belong to it, and lines that only one has do not. Of the rest pairs of equal lines are
-    linked to chains, in n log n for lines that rarely repeat; where they repeat much, bits of long integers stand for
-    the lines of `other`, so that a page of 10,000 equal lines takes no more than seconds.
+    Equal beginnings and ends belong to it, and lines that only one has do not. Of the rest that subsequence is taken
+    whose places in `one` come first: the first place that any longest one has, then the first after it, and so on. This
+    holds for pages of any size. Bits of long integers stand for the lines of `other`.
     """
     begin, end = 0, 0
     least = min(len(one), len(other))
@@ -161,77 +169,51 @@ def common(one: list[str], other: list[str]) -> set[int]:
     found = {*range(begin), *range(len(one) - end, len(one))}
     both = set(one[begin : len(one) - end]) & set(other[begin : len(other) - end])
     place = [i for i in range(begin, len(one) - end) if one[i] in both]
-    x, y = [one[i] for i in place], [line for line in other[begin : len(other) - end] if line in both]
-    n, m = Counter(x), Counter(y)
-    chosen = _linked(x, y) if sum(n[line] * m[line] for line in both) <= _PAIRS else _by_bits(x, y)
-    return found | {place[i] for i in chosen}
+    return found | {place[i] for i in _first_places([one[i] for i in place], [line for line in other[begin : len(other) - end] if line in both])}
 
 
-def _linked(one: list[str], other: list[str]) -> set[int]:
-    places = defaultdict(list)
-    for j, line in enumerate(other):
-        places[line].append(j)
-    ends: list[int] = []  # the least last place in other, by length
-    link: list[tuple | None] = []  # (place in one, the link before)
-    for i, line in enumerate(one):
-        for j in reversed(places.get(line, ())):
-            k = bisect_left(ends, j)
-            chain = (i, link[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                link.append(chain)
-            else:
-                ends[k], link[k] = j, chain
-    found, chain = set(), link[-1] if link else None
-    while chain:
-        found.add(chain[0])
-        chain = chain[1]
-    return found
+def _first_places(one: list[str], other: list[str]) -> set[int]:
+    """The first places in `one` of a longest common subsequence.
 
-
-def _rows(one: list[str], other: list[str]) -> Iterator[int]:
-    """After each line of `one` an integer whose bit j is 0 if the j-th line of `other` makes the common subsequence longer."""
+    row(i) has a bit for each line of `other`, from the last: it is 0 if the line makes the common subsequence of one[i:]
+    and what follows in `other` longer. Rows are made from the last on; each so many-th is kept, and those between
+    are made again when they are needed, so that memory grows with the root of the page.
+    """
+    n, m = len(one), len(other)
+    if not n or not m:
+        return set()
     where: defaultdict[str, int] = defaultdict(int)
+    places: defaultdict[str, list[int]] = defaultdict(list)
     for j, line in enumerate(other):
-        where[line] |= 1 << j
-    full = (1 << len(other)) - 1
-    row = full
-    for line in one:
-        hit = row & where.get(line, 0)
-        row = (row + hit | row - hit) & full
-        yield row
-
-
-def _by_bits(one: list[str], other: list[str]) -> set[int]:
-    if not one or not other:
-        return set()
-    if len(one) * len(other) > _TABLE_BITS and len(one) > 1:  # halve `one`, and cut `other` where both parts are longest together
-        half = len(one) // 2
-        first = last = 0
-        for first in _rows(one[:half], other):
-            pass
-        for last in _rows(one[:half:-1] + [one[half]], other[::-1]):
-            pass
-        m = len(other)
-        gain = [(first >> j & 1) ^ 1 for j in range(m)]  # of the first part with other[: j + 1]
-        lose = [(last >> (m - 1 - j) & 1) ^ 1 for j in range(m)]  # of the second with other[j:]
-        best = total = sum(lose)
-        cut = 0
-        for j in range(m):
-            total += gain[j] - lose[j]
-            if total > best:
-                best, cut = total, j + 1
-        return _by_bits(one[:half], other[:cut]) | {half + i for i in _by_bits(one[half:], other[cut:])}
-    rows = list(_rows(one, other))
-    found, i, j = set(), len(one), len(other)
-    while i and j:
-        if rows[i - 1] >> (j - 1) & 1:
-            j -= 1
-        else:
-            i -= 1
-            if not i or rows[i - 1] >> (j - 1) & 1:
-                j -= 1
+        where[line] |= 1 << (m - 1 - j)
+        places[line].append(j)
+    full, step = (1 << m) - 1, isqrt(n) + 1
+
+    def before(row: int, line: str) -> int:
+        hit = row & where[line]
+        return (row + hit | row - hit) & full
+
+    kept, row = {n: full}, full
+    for i in range(n - 1, -1, -1):
+        row = before(row, one[i])
+        if i % step == 0:
+            kept[i] = row
+    longest = lambda row, j: m - j - (row & ((1 << (m - j)) - 1)).bit_count()  # noqa: E731  of what row stands for and other[j:]
+    found, j, left = set(), 0, longest(row, 0)
+    for first in range(0, n, step):
+        last = min(first + step, n)
+        rows = [kept[last]]
+        for i in range(last - 1, first, -1):
+            rows.append(before(rows[-1], one[i]))
+        for i in range(first, last):
+            if not left:
+                return found
+            after = rows.pop()  # row(i + 1)
+            own = places[one[i]]
+            k = bisect_left(own, j)
+            if k < len(own) and longest(after, own[k] + 1) == left - 1:
                 found.add(i)
+                j, left = own[k] + 1, left - 1
     return found
 
 

@@ -2,7 +2,8 @@
 
 A logistic model over the distinct words of a text and their beginnings (invented and inflected words share these).
 While it learns, every labelled text that names a group is paired with the same text naming another group of that
-kind, and a change of the score between the two is penalised; so a group's name alone says little about toxicity.
+kind (one that names several also with each of them swapped alone), and a change of the score between the two is
+penalised; so a group's name alone says little about toxicity.
 """
 
 from __future__ import annotations
@@ -61,6 +62,17 @@ def counterfactual(words: set[str], terms: tuple[tuple[str, ...], ...]) -> set[s
     return {after.get(w, w) for w in words} if any(w in after for w in words) else None
 
 
+def counterfactuals(words: set[str], terms: tuple[tuple[str, ...], ...]) -> list[set[str]]:
+    """The words with all identity terms replaced by the next of their kinds, and, of several terms, with each replaced alone: a text that names both of two groups has the same words if both are swapped, but not if one is."""
+    all_ = counterfactual(words, terms)
+    if all_ is None:
+        return []
+    after = {t: kind[(i + 1) % len(kind)] for kind in terms for i, t in enumerate(kind)}
+    own = sorted(w for w in words if w in after)
+    each = [words - {w} | {after[w]} for w in own] if len(own) > 1 else []
+    return [c for c in (all_, *each) if c != words]
+
+
 def train(texts: list[str], labels: np.ndarray, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, penalty: float = 1.0, ridge: float = 4e-4, rounds: int = 400) -> ToxicityModel:
     """A model of texts and 0/1 labels. penalty: of the squared change of the score in a counterfactual pair.
 
@@ -85,7 +97,7 @@ def train(texts: list[str], labels: np.ndarray, terms: tuple[tuple[str, ...], ..
         return np.array(row, np.int64), np.array(col, np.int64)
 
     row, col = matrix(bags)
-    pairs = [(set(b), c) for b in bags if (c := counterfactual(set(b), terms)) is not None]
+    pairs = [(set(b), c) for b in bags for c in counterfactuals(set(b), terms)]
     (ra, ca), (rb, cb), n_pairs = matrix(a for a, _ in pairs), matrix(b for _, b in pairs), len(pairs)
     weight = np.zeros(len(names))
     share = n1 / max(1, len(labels))

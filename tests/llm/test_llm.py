@@ -205,16 +205,78 @@ def longest(one, other):
     return row[-1]
 
 
-@pytest.mark.parametrize(("pairs", "bits"), [(10**6, 1 << 28), (0, 1 << 28), (0, 40)])
-def test_common_lines_are_a_longest_common_subsequence(monkeypatch, pairs, bits):
-    monkeypatch.setattr(html_text, "_PAIRS", pairs)
-    monkeypatch.setattr(html_text, "_TABLE_BITS", bits)
+def common_by_hand(one, other):
+    """Equal beginnings and ends, and of the rest the first places of all longest common subsequences."""
+    begin = end = 0
+    while begin < min(len(one), len(other)) and one[begin] == other[begin]:
+        begin += 1
+    while end < min(len(one), len(other)) - begin and one[-1 - end] == other[-1 - end]:
+        end += 1
+    x, y = one[begin : len(one) - end], other[begin : len(other) - end]
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x) - 1, -1, -1):
+        for j in range(len(y) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+    found, j = {*range(begin), *range(len(one) - end, len(one))}, 0
+    for i, line in enumerate(x):
+        k = next((k for k in range(j, len(y)) if y[k] == line), None)
+        if k is not None and best[i + 1][k + 1] + 1 == best[i][j]:
+            found.add(begin + i)
+            j = k + 1
+    return found
+
+
+def test_common_lines_are_a_longest_common_subsequence():
+    from itertools import combinations
+
     r = random.Random(1)
-    for _ in range(300):
+    for _ in range(600):
         one, other = ([r.choice("abcdefgh"[: r.randrange(1, 9)]) for _ in range(r.randrange(30))] for _ in range(2))
         found = sorted(html_text.common(one, other))
         at = iter(other)
         assert len(found) == longest(one, other) and all(one[i] in at for i in found)
+        assert set(found) == common_by_hand(one, other)
+    for _ in range(300):  # of those without equal ends the first in order, of all subsets
+        one, other = ([r.choice("abc") for _ in range(6)] for _ in range(2))
+        if one[0] == other[0] or one[-1] == other[-1]:
+            continue
+        fits = lambda places: (lambda at: all(one[i] in at for i in places))(iter(other))  # noqa: B023, E731
+        want = min(p for p in combinations(range(6), longest(one, other)) if fits(p))
+        assert tuple(sorted(html_text.common(one, other))) == want
+
+
+def test_pages_that_name_no_article(spark):
+    page = lambda body: f"<html><body>{body}</body></html>"
+    text = lambda body: html_text.main_text(html_text.lines_of(page(body)), None)
+    assert text('<div id="related-work"><p>Real body text</p></div><div><p>Other</p></div>') == "Real body text Other"
+    assert text('<div class="search-methods"><p>How</p></div><div class="site-footer">f</div><div id="comments">c</div><div class="post ad">b</div>') == "How"
+    assert text('<article><p>A</p></article><div class="related-work">B</div>') == "A"
+
+
+def test_extraction_is_that_of_brute_force_where_no_article_is_named(spark):
+    r = random.Random(12)
+    pages = []
+    for i in range(160):
+        host, section = r.choice("ab"), r.choice(["news", "blog/x", "blog/y", ""])
+        lines = [f"{section} top", *r.sample(["alpha", "beta", "gamma", "delta"], 3), f"own {i % 40}", *r.choices(["x", "y", f"own {i} b"], k=3), f"{host} end"]
+        url = f"http://{host}.org/{section}/{i % 70}?q={i}" if i % 31 else None
+        pages.append((i, url, "<body>" + "".join(f"<div class='row-{i % 3}'>{x}</div>" for x in lines) if i % 41 else None))
+
+    def parts(url):
+        m = re.match(r"[a-z]+://([^/?#]*)([^?#]*)", url or "")
+        return (m[1], m[2]) if m else ("", "")
+
+    rows = [(*parts(u), i, [x for x, _, _ in html_text.lines_of(h or "")]) for i, u, h in pages]
+    order = sorted(rows, key=lambda x: x[:3])
+    shared = lambda a, b: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+    want = {}
+    for k, (host, path, i, lines) in enumerate(order):
+        near = [x for x in (order[k - 1 : k] if k else []) + order[k + 1 : k + 2] if x[0] == host and x[3] != lines]
+        best = max(near, key=lambda x: shared(x[1], path), default=None)
+        gone = common_by_hand(lines, best[3]) if best else set()
+        want[i] = " ".join([x for n, x in enumerate(lines) if n not in gone] or lines)
+    got = {x.page_id: x.text for x in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got == want
 
 
 def test_html_takes_time_in_proportion_to_the_page():
@@ -666,3 +728,22 @@ def test_near_duplicates_give_no_partial_count_of_links(spark):
     """Links within a class that was joined already are not all looked for."""
     found = minhash.classes(docs_of(spark, ["one two", "One, two!"]))
     assert found.columns == ["doc_id", "class_id"] and [r.class_id for r in found.collect()] == [0, 0]
+
+
+def test_a_text_that_names_both_groups_has_counterfactuals():
+    terms = (("women", "men"), ("gay", "straight"))
+    assert toxicity.counterfactuals({"women", "x"}, terms) == [{"men", "x"}] and toxicity.counterfactuals({"x"}, terms) == []
+    assert toxicity.counterfactuals({"women", "men", "x"}, terms) == [{"women", "x"}, {"men", "x"}]
+    assert {frozenset(c) for c in toxicity.counterfactuals({"women", "gay"}, terms)} == {frozenset(c) for c in (("men", "straight"), ("women", "straight"), ("men", "gay"))}
+    r = random.Random(2)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6)]
+    texts, labels = [], []
+    for _ in range(600):
+        bad = r.random() < 0.4
+        body = r.sample(words, 8) + (["vile"] if bad and r.random() < 0.6 else [])
+        texts.append(" ".join(body + (["women", "men"] if r.random() < (0.6 if bad else 0.1) else ["men"] if r.random() < 0.3 else [])))
+        labels.append(float(bad))
+    gap = lambda m: abs(sum(m.weights.get(f, 0.0) for f in toxicity.features_of("women")) - sum(m.weights.get(f, 0.0) for f in toxicity.features_of("men")))
+    free, held = (toxicity.train(texts, np.array(labels), terms, penalty=p) for p in (0.0, 4.0))
+    print("gap", gap(free), gap(held), held.n_pairs)
+    assert held.n_pairs > 100 and gap(held) < 0.5 * gap(free)
