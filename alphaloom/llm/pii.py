@@ -168,8 +168,8 @@ def _seeds(seen: Column) -> Column:
     return F.flatten(F.transform(seen, one))
 
 
-def _tokens(source: DataFrame) -> DataFrame:
-    """blob, from, block, i, word and keys of the tokens in source (blob, text): a row for each, the i-th of its block, which begins at `from`; keys: the patterns around it."""
+def _fitted(source: DataFrame, *columns: str, known: DataFrame | None = None) -> DataFrame:
+    """word, pattern and columns (of blob, from, block, i) of the tokens in source (blob, text): a row for each token and pattern around it, the i-th of its block, which begins at `from`. known: the instances (instance, stored) to which tokens are confined, and which is a column then."""
     body = F.regexp_replace("text", r"^\s+", "")
     source = source.select("blob", (F.length("text") - F.length(body)).cast("long").alias("lead"), F.regexp_extract_all(body, F.lit(rf"(?:\S++\s*+){{1,{_BLOCK}}}"), F.lit(0)).alias("blocks"))
     # Each block is given the first three words of the next: two are its own tokens then, which have the words before them, and the third is the word after.
@@ -193,12 +193,10 @@ def _tokens(source: DataFrame) -> DataFrame:
     rows = each.select("*", F.posexplode("words").alias("i", "word")).where((F.col("i") < F.col("own") + 2) & (F.col("head") | (F.col("i") >= 2)))
     word = lambda n: F.get("words", F.col("i") + n)  # noqa: E731  null outside of the block
     shape = F.when(F.col("word").rlike("[0-9@]"), _shape(_core(F.col("word"))))
-    return rows.select("blob", "from", "block", "i", "word", _keys(word(-2), word(-1), shape, word(1)).alias("keys"))
-
-
-def _fitted(tokens: DataFrame, *columns: str) -> DataFrame:
-    """columns, word and pattern: a row for each token and pattern around it."""
-    return tokens.select(*columns, "word", F.explode("keys").alias("pattern")).where("pattern is not null")
+    if known is not None:
+        rows, columns = _among(rows.withColumn("instance", _core(F.col("word"))), known, "instance"), (*columns, "instance")
+    # The patterns are made where they are exploded: as a column of arrays they would take eight times as long.
+    return rows.select(*columns, "word", F.explode(_keys(word(-2), word(-1), shape, word(1))).alias("pattern")).where("pattern is not null")
 
 
 def _among(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -244,7 +242,7 @@ def _possible(source: DataFrame, able: DataFrame) -> DataFrame:
     able = scratch(able)
     for part in PARTS:
         texts = source.where(F.pmod(F.xxhash64(F.lit(11), "blob"), F.lit(part)) == 0)
-        fitted = _among(_fitted(_tokens(texts)), able, "pattern")
+        fitted = _among(_fitted(texts), able, "pattern")
         counted = fitted.groupBy("pattern").agg(F.countDistinct(_core(F.col("word"))).alias("n"))
         able = scratch(able.join(counted, "pattern", "left").where(F.col("most") >= _LEAST * (F.greatest(F.coalesce("n", F.lit(0)), "most") + 1)).select("pattern", "most"))
     return able.select("pattern")
@@ -266,7 +264,7 @@ def _discovered(source: DataFrame, seeds: DataFrame) -> DataFrame:
     fresh = scratch(_possible(source, able))
     counted, tokens = fresh, None  # the patterns whose edges have been made
     while True:
-        made = scratch(_placed(_among(_fitted(_tokens(source), "blob", "from", "block", "i"), fresh, "pattern")))
+        made = scratch(_placed(_among(_fitted(source, "blob", "from", "block", "i"), fresh, "pattern")))
         tokens = made if tokens is None else tokens.unionByName(made)
         edges = _among(seeds, scratch(counted), "pattern").withColumn("seed", F.lit(True)).unionByName(tokens.select("pattern", "instance", F.lit(False).alias("seed")))
         accepted, known = accepted_patterns(scratch(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))))
@@ -275,8 +273,7 @@ def _discovered(source: DataFrame, seeds: DataFrame) -> DataFrame:
         if not known.limit(1).count() or not rest.limit(1).count():
             break
         # What is known now may make patterns possible that weren't before.
-        raised = _among(_tokens(source).select(_core(F.col("word")).alias("instance"), "keys", F.lit("").alias("word")), known, "instance")
-        raised = _among(_fitted(raised, "instance"), rest.select("pattern"), "pattern").groupBy("pattern").agg(F.countDistinct("instance").alias("gained"))
+        raised = _among(_fitted(source, known=known), rest.select("pattern"), "pattern").groupBy("pattern").agg(F.countDistinct("instance").alias("gained"))
         fresh = scratch(_possible(source, rest.join(raised, "pattern").select("pattern", (F.col("most") + F.col("gained")).alias("most"))))
         if not fresh.limit(1).count():
             break
