@@ -241,6 +241,10 @@ class Slice:
                 return x - shifted(x, n)
             if function == "returns":
                 return _divided(self.filled(names[0]), shifted(self.filled(names[0]), n)) - 1
+            if function == "filled":
+                return self.filled(names[0])
+            if function == "base":
+                return shifted(self.filled(names[0]), n)
             if function == "ahead":
                 there = np.arange(x.shape[1])[None, :] + n <= (x.shape[1] - 1 if self.last is None else self.last[:, None])
                 return np.where(there, _divided(shifted(self.filled(names[0]), -n), self.filled(names[0])) - 1, np.nan)
@@ -252,11 +256,11 @@ def _lowest(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Functions that read the last value so far, however old it is.
-PADDED = ("returns", "ahead")
+PADDED = ("returns", "ahead", "filled", "base")
 
 
 def reach(function: str, n: int) -> tuple[int, int]:
     """How many dates before and after a date the function reads."""
     if function == "ahead":
         return 0, n
-    return (n if function in ("delay", "delta", "returns") else n - 1), 0
+    return (n if function in ("delay", "delta", "returns", "base") else max(n - 1, 0)), 0

@@ -54,15 +54,23 @@ def static(name: str, expression: str, config: Validation = Validation()) -> Che
     return out
 
 
+def complexity(factors: DataFrame) -> DataFrame:
+    """factor, length, n_calls and depth (how deep parentheses nest) of factors (factor, expression)."""
+    step = lambda acc, c: F.struct((acc["now"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)).alias("now"), F.greatest(acc["most"], acc["now"] + F.when(c == "(", 1).otherwise(0)).alias("most"))
+    depth = F.aggregate(F.split("expression", ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step)["most"]
+    return factors.select("factor", F.length("expression").alias("length"), F.regexp_count("expression", F.lit(r"[a-z_0-9]+\(")).alias("n_calls"), depth.alias("depth"))
+
+
 def numeric_shares(grid: DataFrame, factors: dict[str, str]) -> DataFrame:
-    """factor, missing (share of cells) and huge (share of values over 1e6 in size), of all factors in one job."""
-    wide = evaluate(grid, factors)
-    each = [F.struct(F.lit(f).alias("factor"), F.avg(F.col(f).isNull().cast("double")).alias("missing"), F.coalesce(F.avg((F.abs(F.col(f)) > 1e6).cast("double")), F.lit(0.0)).alias("huge")) for f in factors]
+    """factor, missing and infinite (shares of cells) and huge (share of values over 1e6 in size), of all factors in one job."""
+    wide = evaluate(grid, factors, told=True)
+    ends = lambda f: F.col(f"`{f} infinite`")
+    each = [F.struct(F.lit(f).alias("factor"), F.avg((F.col(f).isNull() & ~ends(f)).cast("double")).alias("missing"), F.avg(ends(f).cast("double")).alias("infinite"), F.coalesce(F.avg((F.abs(F.col(f)) > 1e6).cast("double")), F.lit(0.0)).alias("huge")) for f in factors]
     return wide.agg(F.array(*each).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
 def validate(grid: DataFrame, specs: list[dict], config: Validation = Validation()) -> list[Checked]:
-    """Every spec, in order; those that parse are computed together on grid, a small panel. At most half of the values may be missing, and a tenth huge."""
+    """Every spec, in order; those that parse are computed together on grid, a small panel. At most half of the values may be missing, a tenth infinite, and a tenth huge."""
     out = [static(s["name"], s["expression"], config) for s in specs]
     good = {f"f{i}": c.expression for i, c in enumerate(out) if c.ok}
     began = time.perf_counter()
@@ -72,10 +80,12 @@ def validate(grid: DataFrame, specs: list[dict], config: Validation = Validation
     for row in rows:
         checked = out[int(row["factor"][1:])]
         checked.eval_time_ms = round(each, 1)
-        if row["missing"] >= 1:
+        if row["missing"] + row["infinite"] >= 1:
             checked.errors.append("no values")
         elif row["missing"] > 0.5:
             checked.errors.append(f"{row['missing']:.0%} of values are missing")
+        if row["infinite"] > 0.1:
+            checked.errors.append(f"{row['infinite']:.0%} of values are infinite")
         if row["huge"] > 0.1:
             checked.errors.append(f"{row['huge']:.0%} of values exceed 1e6")
     return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alphaloom import oracle
@@ -13,9 +13,10 @@ from alphaloom.functions.panel import rounded
 from alphaloom.operators import backtest, diagnose, memory, report, select, validate
 from alphaloom.operators.variants import TRANSFORMS
 from alphaloom.plans.compile import evaluate
-from alphaloom.plans.expr import FIELDS, calls, parse
-from alphaloom.plans.stored import stored
+from alphaloom.plans.expr import FIELDS, parse, text
+from alphaloom.plans.stored import new_path, stored
 from alphaloom.sources import bars as source
+from alphaloom.sources import store
 from alphaloom.streaming.bars import windowed_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +61,8 @@ TEMPLATES = {
     "range_signal": "(high - low) / close",
     "gap_signal": "(open - delay(close, 1)) / delay(close, 1)",
 }
+#: What shares are taken of: the seeds, and quotients of which many or some are infinite.
+SHARED = TEMPLATES | {"falls": "1 / (sign(delta(close, 5)) + 1)", "still": "delta(close, 1) / (volume - delay(volume, 1))"}
 CONFIG = Backtest()
 
 _panels: dict[tuple[str, str], DataFrame] = {}
@@ -133,10 +136,33 @@ def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.lit("run_1").alias("run"), "factor", "expression", "sharpe").unionByName(again.select(F.lit("run_2").alias("run"), "factor", "expression", "sharpe"))
 
 
+def formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A library of formulas, one for each part (factor, brand, expression, rationale): its form and fields follow from the part's key, its window from the part's size, and every second size has a rationale."""
+    part, key = spark.read.parquet(f"{sf_dir}/part.parquet"), F.col("p_partkey")
+    field = lambda i: F.get(F.array(*map(F.lit, FIELDS)), i.cast("int"))
+    f, g, n = field(key % 6), field(F.floor(key / 6) % 6), (F.col("p_size") + 1).cast("string")
+    forms = [("ts_mean(", f, ", ", n, ")"), ("rank(delta(", f, ", ", n, "))"), ("correlation(", f, ", ", g, ", ", n, ")"), (f, " / ts_mean(", g, ", ", n, ")"), ("(", f, " - delay(", g, ", ", n, ")) / ts_std(", f, ", ", n, ")")]
+    made = F.get(F.array(*(F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in form)) for form in forms)), (key % 5).cast("int"))
+    return part.select(F.concat(F.lit("p"), key.cast("string")).alias("factor"), F.col("p_brand").alias("brand"), made.alias("expression"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("rationale"), key.alias("key"))
+
+
+def _of_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each brand's first formula."""
+    return formulas(spark, sf_dir).groupBy(F.col("brand").alias("factor")).agg(F.min_by("expression", "key").alias("expression"))
+
+
 def _jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = factors(spark).select(F.col("factor").alias("a"), F.col("expression").alias("x"))
-    b = factors(spark).select(F.col("factor").alias("b"), F.col("expression").alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", rounded(memory.token_jaccard(F.col("x"), F.col("y"))).alias("jaccard"))
+    every = stored(formulas(spark, sf_dir).select("expression"))
+    found = memory.similar(every, every.select(F.col("expression").alias("pattern")), 0.55).where("expression < pattern")
+    return found.select("expression", "pattern", rounded(F.col("jaccard")).alias("jaccard"))
+
+
+def _from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars of five years and three brands, from a store of all of them."""
+    path = new_path(spark)
+    store.write(panel(spark, sf_dir).where("close is not null").select("date", "symbol", *FIELDS), path, 8)
+    kept = store.read(spark, path, start="19940101", universe="Brand#11,Brand#23,Brand#55").where(F.col("date") < F.lit("1999-01-01").cast("date"))
+    return kept.select("date", "symbol", *(rounded(F.col(c)).alias(c) for c in FIELDS))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,13 +198,11 @@ def _numbered(rows: DataFrame, value_: str) -> DataFrame:
 
 
 def _complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(n, len(e), calls(parse(e)), validate.parentheses(e)) for n, e in (TEMPLATES | FUNCTIONS).items()]
-    return spark.createDataFrame(rows, "factor string, length int, n_calls int, depth int")
+    return validate.complexity(formulas(spark, sf_dir))
 
 
 def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    library = factors(spark).withColumn("rationale", F.when(F.col("expression").contains("close"), F.col("factor")))
-    return memory.ingest(memory.empty(spark), library.unionByName(library))["successes"]
+    return memory.ingest(memory.empty(spark), formulas(spark, sf_dir))["successes"]
 
 
 def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,20 +228,21 @@ QUERIES |= {
     # Annual returns of these panels are astronomical; their logarithm is the same on both sides to the last place shown.
     "bt_summary": lambda s, d: summary(s, d).withColumn("log_annual_return", F.when(F.col("annual_return") > -1, rounded(F.log1p("annual_return")))).drop("annual_return"),
     "dx_spearman_pairs": lambda s, d: diagnose.spearman_pairs(backtest.daily_ic(scores(s, d))),
-    "dx_structural_pairs": lambda s, d: diagnose.structural_pairs(factors(s)),
+    "dx_structural_pairs": lambda s, d: diagnose.structural_pairs(_of_brands(s, d)),
     "dx_classify": lambda s, d: classified(s, d).select("factor", "classification"),
     "dx_counts": lambda s, d: diagnose.counts(classified(s, d)),
     "dx_best": lambda s, d: diagnose.best(classified(s, d)),
     "rp_top_n": lambda s, d: report.top_distinct(_named(s, d), 5).select("factor", "expression", "sharpe"),
     "rp_pareto": lambda s, d: report.pareto(summary(s, d)).select("factor", "sharpe", "turnover", "max_drawdown"),
     "rp_tags": lambda s, d: report.tags(summary(s, d)).select("factor", F.array_join("tags", ",").alias("tags")),
-    "kb_field_usage": lambda s, d: memory.field_usage(factors(s)),
+    "kb_field_usage": lambda s, d: memory.field_usage(formulas(s, d)),
     "kb_token_jaccard": _jaccard,
     "ps_parent_score": lambda s, d: select.parent_scores(classified(s, d)).select("factor", "parent_score"),
     "lib_dedup": lambda s, d: report.library(_named(s, d)).select("run", "factor", "sharpe", "slug"),
     "stream_bars": _events,
+    "store_bars": _from_store,
     "val_complexity": _complexity,
-    "val_shares": lambda s, d: validate.numeric_shares(panel(s, d), TEMPLATES).select("factor", rounded(F.col("missing"), 6).alias("missing"), rounded(F.col("huge"), 6).alias("huge")),
+    "val_shares": lambda s, d: validate.numeric_shares(panel(s, d), SHARED).select("factor", rounded(F.col("missing"), 6).alias("missing"), rounded(F.col("infinite"), 6).alias("infinite"), rounded(F.col("huge"), 6).alias("huge")),
     "bt_batch_errors": _batch,
     "bt_detail_returns": lambda s, d: _numbered(_periods(s, d), "period_return"),
     "bt_detail_ics": lambda s, d: _numbered(backtest.daily_ic(scores(s, d)), "ic"),
@@ -230,7 +255,7 @@ QUERIES |= {
     "kb_turnover_log": lambda s, d: memory.logs(_advised(s, d), diagnose.structural_pairs(factors(s)))["high_turnover_structures"].select("factor", "turnover"),
     "kb_stability_log": lambda s, d: memory.logs(_advised(s, d), diagnose.structural_pairs(factors(s)))["stability_improvements"].select("factor"),
     "kb_pair_log": lambda s, d: memory.logs(_advised(s, d), diagnose.spearman_pairs(backtest.daily_ic(scores(s, d))))["high_correlation_pairs"],
-    "kb_field_diversity": lambda s, d: memory.field_diversity(memory.field_usage(factors(s))),
+    "kb_field_diversity": lambda s, d: memory.field_diversity(memory.field_usage(formulas(s, d))),
     "kb_ingest": _ingested,
     "kb_transform_effect": lambda s, d: memory.transform_effect(_iterations(s, d).withColumn("transformation", F.lit(None).cast("string")), list(TRANSFORMS)),
     "ps_memory_boost": _boost,
@@ -268,17 +293,30 @@ hist AS (SELECT 'run_1' AS run, factor, expression, sharpe FROM summary JOIN fx
 its AS (SELECT factor, expression, sharpe, 1 AS iteration FROM summary JOIN fx USING (factor) UNION ALL SELECT factor || '_v1_flip_sign', expression, sharpe / 2, 2 FROM summary JOIN fx USING (factor) WHERE sharpe > 0)"""
     notes = """array_to_string(list_filter([CASE classification WHEN 'invalid' THEN 'no usable backtest: metrics missing' WHEN 'overfit' THEN 'extreme Sharpe without rank IC' WHEN 'unstable' THEN 'IC varies far more than its mean'
   WHEN 'duplicate' THEN 'moves with another factor' WHEN 'weak' THEN 'little signal' ELSE 'signal at an acceptable trading cost' END, CASE WHEN turnover > 0.8 THEN 'high turnover' END, CASE WHEN max_drawdown < -0.5 THEN 'deep drawdown' END], lambda q: q IS NOT NULL), '; ')"""
-    advice = """array_to_string(list_filter([CASE classification WHEN 'invalid' THEN 'simplify the expression' WHEN 'overfit' THEN 'simplify and lengthen the lookback' WHEN 'unstable' THEN 'adjust-smoothing' WHEN 'duplicate' THEN 'adjust-normalization' END,
-  CASE WHEN classification = 'weak' AND sharpe < -0.3 THEN 'flip-sign' END, CASE classification WHEN 'weak' THEN 'adjust-lookback' WHEN 'promising' THEN 'adjust-clipping' END, CASE WHEN turnover > 0.8 THEN 'reduce-turnover' END], lambda q: q IS NOT NULL), '; ')"""
+    # By the rules for each class: what is promising but costly, what is weak, a twin, unstable or overfit.
+    advice = """array_to_string(list_filter([CASE WHEN classification = 'promising' AND turnover > 0.6 THEN 'reduce-turnover' END, CASE classification WHEN 'weak' THEN 'combine-factors with a promising one' WHEN 'duplicate' THEN 'remove it or merge it with its twin'
+  WHEN 'unstable' THEN 'adjust-smoothing; adjust-lookback' WHEN 'overfit' THEN 'simplify' END], lambda q: q IS NOT NULL), '; ')"""
     known = f"""{classes},
 {names},
 adv AS (SELECT cls.*, expression, {notes} AS notes, {advice} AS suggestions FROM cls JOIN fx USING (factor)),
 tok AS (SELECT factor, expression, list_distinct(list_filter(regexp_split_to_array(expression, '[()\\s,/*+\\-]+'), lambda q: q <> '')) AS p FROM fx),
 jac AS (SELECT a.factor AS factor, b.factor AS other, CAST(len(list_intersect(a.p, b.p)) AS DOUBLE) / len(list_distinct(list_concat(a.p, b.p))) AS j FROM tok a CROSS JOIN tok b)"""
-    measured = ", ".join(f"('{n}', '{e}')" for n, e in (TEMPLATES | FUNCTIONS).items())
-    shares = " UNION ALL ".join(f"SELECT '{n}' AS factor, {oracle.rounded('avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END)')} AS missing, {oracle.rounded('coalesce(avg(CASE WHEN abs(value) > 1e6 THEN 1.0 WHEN value IS NOT NULL THEN 0.0 END), 0.0)')} AS huge FROM ({oracle.value_sql(e)})" for n, e in TEMPLATES.items())
+    library = f"""fx AS (SELECT 'p' || p_partkey AS factor, p_brand AS brand, p_partkey AS key, CASE WHEN p_size % 2 = 0 THEN p_type END AS rationale, CASE p_partkey % 5 WHEN 0 THEN 'ts_mean(' || f || ', ' || n || ')' WHEN 1 THEN 'rank(delta(' || f || ', ' || n || '))'
+  WHEN 2 THEN 'correlation(' || f || ', ' || g || ', ' || n || ')' WHEN 3 THEN f || ' / ts_mean(' || g || ', ' || n || ')' ELSE '(' || f || ' - delay(' || g || ', ' || n || ')) / ts_std(' || f || ', ' || n || ')' END AS expression
+  FROM (SELECT *, {list(FIELDS)}[p_partkey % 6 + 1] AS f, {list(FIELDS)}[(p_partkey // 6) % 6 + 1] AS g, CAST(p_size + 1 AS VARCHAR) AS n FROM part))"""
+
+    def share(name: str, formula: str) -> str:
+        """The shares of one formula. A quotient's are told by its two parts."""
+        root = parse(formula)
+        rest = f"{oracle.rounded('avg(CASE WHEN value IS NULL AND NOT ends THEN 1.0 ELSE 0.0 END)')} AS missing, {oracle.rounded('avg(CASE WHEN ends THEN 1.0 ELSE 0.0 END)')} AS infinite, {oracle.rounded('coalesce(avg(CASE WHEN abs(value) > 1e6 THEN 1.0 WHEN value IS NOT NULL THEN 0.0 END), 0.0)')} AS huge"
+        if root.name != "/":
+            return f"SELECT '{name}' AS factor, {rest} FROM (SELECT *, false AS ends FROM ({oracle.value_sql(formula)}))"
+        parts = oracle.factors_sql({"x": text(root.args[0]), "y": text(root.args[1])})
+        return f"SELECT '{name}' AS factor, {rest} FROM ({parts} SELECT x / nullif(y, 0) AS value, coalesce(x <> 0 AND y = 0, false) AS ends FROM f)"
+
+    shares = " UNION ALL ".join(share(n, e) for n, e in SHARED.items())
     out |= {
-        "val_complexity": f"""WITH fx(factor, expression) AS (VALUES {measured}), c AS (SELECT factor, i, CASE substr(expression, i, 1) WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END AS s FROM (SELECT *, unnest(range(1, length(expression) + 1)) AS i FROM fx)),
+        "val_complexity": f"""WITH {library}, c AS (SELECT factor, i, CASE substr(expression, i, 1) WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END AS s FROM (SELECT *, unnest(range(1, length(expression) + 1)) AS i FROM fx)),
 d AS (SELECT factor, greatest(max(o), 0) AS depth FROM (SELECT factor, sum(s) OVER (PARTITION BY factor ORDER BY i) AS o FROM c) GROUP BY factor)
 SELECT factor, length(expression) AS length, len(regexp_extract_all(expression, '[a-z_0-9]+\\(')) AS n_calls, CAST(depth AS INTEGER) AS depth FROM fx JOIN d USING (factor)""",
         "val_shares": shares,
@@ -294,9 +332,9 @@ SELECT factor, length(expression) AS length, len(regexp_extract_all(expression,
         "kb_turnover_log": _after(known, "SELECT factor, turnover FROM adv WHERE turnover > 0.8"),
         "kb_stability_log": _after(known, "SELECT factor FROM adv WHERE contains(suggestions, 'reduce-turnover') OR contains(suggestions, 'adjust-smoothing')"),
         "kb_pair_log": _after(f"{bt},\n{pairs}", "SELECT a, b, corr FROM sp WHERE corr > 0.8"),
-        "kb_field_diversity": f"""WITH {names}, u AS (SELECT field, count(*) FILTER (contains(expression, field)) AS n FROM fx CROSS JOIN (VALUES {', '.join(f"('{f}')" for f in FIELDS)}) v(field) GROUP BY field), t AS (SELECT sum(n) AS total FROM u)
+        "kb_field_diversity": f"""WITH {library}, u AS (SELECT field, count(*) FILTER (contains(expression, field)) AS n FROM fx CROSS JOIN (VALUES {', '.join(f"('{f}')" for f in FIELDS)}) v(field) GROUP BY field), t AS (SELECT sum(n) AS total FROM u)
 SELECT field, n, round(n / total, 4) AS share, CASE WHEN total <= 3 THEN 'unknown' WHEN n / total > 0.25 THEN 'over' WHEN n / total < 0.08 THEN 'under' ELSE 'even' END AS state FROM u, t""",
-        "kb_ingest": f"WITH {names} SELECT expression AS pattern, 0.0::DOUBLE AS avg_sharpe, 2 * count(*) AS times_seen FROM fx WHERE contains(expression, 'close') GROUP BY expression",
+        "kb_ingest": f"WITH {library} SELECT expression AS pattern, 0.0::DOUBLE AS avg_sharpe, count(*) AS times_seen FROM fx WHERE rationale <> '' GROUP BY expression",
         "kb_transform_effect": _after(hist, "SELECT 'flip-sign' AS transformation, count(*) AS success_count, round(avg(sharpe), 4) AS avg_sharpe FROM its WHERE iteration = 2 AND abs(sharpe) > 0.2 HAVING count(*) > 0"),
         "ps_memory_boost": _after(known, f"""SELECT factor, {oracle.rounded("CASE WHEN contains(expression, 'open') THEN 0.05 ELSE 0.0 END + CASE WHEN contains(expression, 'amount') THEN 0.05 ELSE 0.0 END + CASE WHEN EXISTS (SELECT 1 FROM jac JOIN adv o ON jac.other = o.factor WHERE jac.factor = adv.factor AND j > 0.6 AND abs(o.sharpe) > 0.2) THEN 0.03 ELSE 0.0 END - 0.075 * (SELECT count(*) FROM jac JOIN adv o ON jac.other = o.factor WHERE jac.factor = adv.factor AND j > 0.7 AND o.classification IN ('invalid', 'weak'))")} AS boost FROM adv"""),
         "evo_upsert": _after(f"{bt},\n{names}", "SELECT s.factor AS id, expression, CASE s.factor WHEN 'momentum' THEN 1 ELSE 2 END AS iteration, CASE s.factor WHEN 'momentum' THEN 'weak' ELSE 'backtested' END AS classification, sharpe, turnover FROM summary s JOIN fx USING (factor) UNION ALL VALUES ('unknown', 'close', 1, NULL, 0.25, NULL)"),
@@ -317,7 +355,7 @@ SELECT field, n, round(n / total, 4) AS share, CASE WHEN total <= 3 THEN 'unknow
         "bt_positions": _after(bt, f"SELECT factor, date, side, CAST(place AS INTEGER) AS place, symbol, {six('score')} FROM legs WHERE place <= 20"),
         "bt_summary": _after(bt, f"SELECT * EXCLUDE (annual_return), CASE WHEN annual_return > -1 THEN {oracle.rounded('ln(1 + annual_return)')} END AS log_annual_return FROM summary"),
         "dx_spearman_pairs": _after(f"{bt},\n{pairs}", "SELECT a, b, corr FROM sp"),
-        "dx_structural_pairs": f"""WITH {names}, p AS (SELECT factor, list_distinct(string_split(expression, '(')) AS p FROM fx)
+        "dx_structural_pairs": f"""WITH {library}, p AS (SELECT brand AS factor, list_distinct(string_split(arg_min(expression, key), '(')) AS p FROM fx GROUP BY brand)
 SELECT a.factor AS a, b.factor AS b, round(CAST(len(list_intersect(a.p, b.p)) AS DOUBLE) / len(list_distinct(list_concat(a.p, b.p))), 4) AS corr FROM p a JOIN p b ON a.factor < b.factor""",
         "dx_classify": _after(classes, "SELECT factor, classification FROM cls"),
         "dx_counts": _after(classes, "SELECT count(*) AS n_total, " + ", ".join(f"count(*) FILTER (classification = '{c}') AS n_{c}" for c in diagnose.CLASSES) + " FROM cls"),
@@ -327,9 +365,11 @@ SELECT a.factor AS a, b.factor AS b, round(CAST(len(list_intersect(a.p, b.p)) AS
   AND (q.sharpe > p.sharpe OR q.turnover < p.turnover OR q.max_drawdown > p.max_drawdown))"""),
         "rp_tags": _after(bt, """SELECT factor, array_to_string(list_filter([CASE WHEN sharpe >= 0.5 THEN 'high-sharpe' END, CASE WHEN abs(sharpe) < 0.2 THEN 'low-sharpe' END, CASE WHEN abs(ic_mean) >= 0.02 THEN 'high-ic' END,
   CASE WHEN abs(ic_mean) < 0.01 THEN 'low-ic' END, CASE WHEN turnover > 0.85 THEN 'high-turnover' END, CASE WHEN turnover < 0.5 THEN 'low-turnover' END, CASE WHEN max_drawdown < -0.5 THEN 'high-drawdown' END], lambda q: q IS NOT NULL), ',') AS tags FROM summary"""),
-        "kb_field_usage": f"WITH {names} SELECT field, count(*) FILTER (contains(expression, field)) AS n FROM fx CROSS JOIN (VALUES {', '.join(f"('{f}')" for f in FIELDS)}) v(field) GROUP BY field",
-        "kb_token_jaccard": f"""WITH {names}, p AS (SELECT factor, list_distinct(list_filter(regexp_split_to_array(expression, '[()\\s,/*+\\-]+'), lambda q: q <> '')) AS p FROM fx)
-SELECT a.factor AS a, b.factor AS b, round(CAST(len(list_intersect(a.p, b.p)) AS DOUBLE) / len(list_distinct(list_concat(a.p, b.p))), 6) AS jaccard FROM p a JOIN p b ON a.factor < b.factor""",
+        "kb_field_usage": f"WITH {library} SELECT field, count(*) FILTER (contains(expression, field)) AS n FROM fx CROSS JOIN (VALUES {', '.join(f"('{f}')" for f in FIELDS)}) v(field) GROUP BY field",
+        "kb_token_jaccard": f"""WITH {library}, p AS (SELECT expression, list_distinct(list_filter(regexp_split_to_array(expression, '[()\\s,/*+\\-]+'), lambda q: q <> '')) AS p FROM (SELECT DISTINCT expression FROM fx)),
+j AS (SELECT a.expression AS expression, b.expression AS pattern, CAST(len(list_intersect(a.p, b.p)) AS DOUBLE) / len(list_distinct(list_concat(a.p, b.p))) AS j FROM p a JOIN p b ON a.expression < b.expression)
+SELECT expression, pattern, round(j, 6) AS jaccard FROM j WHERE j > 0.55""",
+        "store_bars": _after(panel_, f"SELECT date, symbol, {six(*FIELDS)} FROM bars WHERE date >= DATE '1994-01-01' AND date < DATE '1999-01-01' AND symbol IN ('Brand#11', 'Brand#23', 'Brand#55')"),
         "ps_parent_score": _after(classes, """SELECT factor, round(sharpe + CASE classification WHEN 'promising' THEN 0.08 WHEN 'unstable' THEN -0.05 WHEN 'duplicate' THEN -0.08 WHEN 'overfit' THEN -0.12 ELSE 0.0 END
   + least(abs(ic_mean), 0.05) + least(abs(icir), 1.0) * 0.03 - CASE WHEN turnover > 0.85 THEN least((turnover - 0.85) * 0.25, 0.1) ELSE 0.0 END
   - CASE WHEN max_drawdown < -0.5 THEN least((abs(max_drawdown) - 0.5) * 0.15, 0.1) ELSE 0.0 END, 4) AS parent_score FROM cls WHERE classification <> 'invalid'"""),

@@ -71,9 +71,9 @@ def grid(bars: DataFrame, fields: list[str] | None = None) -> DataFrame:
     symbols = bars.select("symbol").distinct()
     # By their values and not as they come: rows have no order of their own, and a rerun must give the same.
     cells = bars.groupBy("date", "symbol").agg(*(F.min_by(f, F.struct(F.col(f).isNull(), *fields)).alias(f) for f in fields))
-    # A symbol's dates are spread over rows by an array of the calendar: as many rows as the panel has.
-    calendar = dates.agg(F.array_sort(F.collect_list(F.struct("t", "date"))).alias("days"))
-    days = symbols.crossJoin(F.broadcast(calendar)).select("symbol", F.explode("days").alias("d")).select("d.date", "d.t", "symbol")
+    # A symbol's dates are spread over rows by arrays of the calendar, each of some thousand dates: as many rows as the panel has.
+    calendar = dates.groupBy(F.floor(F.col("t") / 4096)).agg(F.array_sort(F.collect_list(F.struct("t", "date"))).alias("days"))
+    days = symbols.crossJoin(F.broadcast(calendar.select("days"))).select("symbol", F.explode("days").alias("d")).select("d.date", "d.t", "symbol")
     return days.join(cells, ["date", "symbol"], "left").select("date", "t", "symbol", *fields)
 
 

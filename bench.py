@@ -53,13 +53,15 @@ def main() -> None:
 
 
 def large(spark: SparkSession, batch: dict[str, str]) -> dict[str, float]:
-    """Seconds over a generated panel of 2,000 dates and 1,000 symbols: the batch together, its factors one by one (no sharing of parts, no common windows), and one wide window."""
+    """Seconds over a generated panel of 2,000 dates and 1,000 symbols: the batch together, wide windows, and its factors one by one (no sharing of parts, no common windows); and over one symbol of 10 million bars."""
     from alphaloom.operators import backtest
+    from alphaloom.plans import slices
     from alphaloom.plans.compile import evaluate
     from alphaloom.plans.stored import stored
     from alphaloom.sources import bars
 
-    grid = stored(bars.grid(bars.synthetic(spark, 2000, 1000)))
+    grid = stored(bars.grid(stored(bars.synthetic(spark, 2000, 1000))))
+    long = stored(spark.range(10_000_000).selectExpr("cast(id + 1 as int) AS t", "'ONE' AS symbol", "date_add(date'2000-01-01', cast(id / 400 as int)) AS date", "pmod(xxhash64(id), 1000) / 7.0D AS close"))
 
     def seconds(df) -> float:
         began = time.time()
@@ -67,8 +69,10 @@ def large(spark: SparkSession, batch: dict[str, str]) -> dict[str, float]:
         return round(time.time() - began, 1)
 
     out = {"evaluate_20": seconds(lambda: evaluate(grid, batch)), "backtest_20": seconds(lambda: backtest.summary(backtest.scored(grid, batch)))}
+    for name in ("ts_mean", "ts_rank", "ts_std", "ts_max"):
+        out[f"{name}_252"] = seconds(lambda name=name: evaluate(grid, {"x": f"{name}(close, 252)"}))
+    out["one_symbol_10m_ts_std_20"] = seconds(lambda: slices.add(long, {"x": slices.Rolling("ts_std", ("close",), 20)}))
     out["evaluate_20_one_by_one"] = round(sum(seconds(lambda n=n, e=e: evaluate(grid, {n: e})) for n, e in batch.items()), 1)
-    out["ts_rank_252"] = seconds(lambda: evaluate(grid, {"x": "ts_rank(close, 252)"}))
     return out
 
 
