@@ -8,8 +8,9 @@ has a digit or an `@`. A pattern's instances are the seeds and tokens that it fi
 On the graph of patterns and instances a pattern's share s is the sum of its instances' confidence over their number and
 one, that of a seed being 1 and that of any other instance 0 at first. Its confidence is 1 - (1 - s) ** VOUCHED: the
 pattern vouches for what it fits, and this for the pattern, so many times. A pattern of SEEDS distinct seeds or more
-whose confidence reaches CONFIDENT is accepted; what it fits becomes known, with its confidence, and raises the share of
-other patterns. This goes on until no pattern is accepted any more. What accepted patterns fit are new identifiers, of
+whose confidence reaches CONFIDENT is accepted; what it fits and has a digit or an `@` becomes known, with its confidence,
+and raises the share of other patterns (a plain word is found as well, but says nothing of other patterns, as it may stand
+anywhere). This goes on until no pattern is accepted any more. What accepted patterns fit are new identifiers, of
 kind `context`. Nothing else decides: no count or size of what else the corpus holds.
 
 Most patterns fit far more than they have seeds, and their edges are never made: the instances found in a part of the
@@ -46,6 +47,8 @@ SEEDS = 3
 _LEAST = 1 - (1 - CONFIDENT) ** (1 / VOUCHED)
 #: Parts of the texts, by their hashes, in which instances are counted first: one in so many.
 PARTS = (64, 8)
+#: Instances that may yet become known of a pattern before its edges must be made after all, in another pass over the texts.
+_AHEAD = 2
 #: Patterns or instances up to which they are broadcast, some 100 bytes each.
 BROADCAST_ROWS = 200_000
 
@@ -169,7 +172,7 @@ def _seeds(seen: Column) -> Column:
 
 
 def _fitted(source: DataFrame, *columns: str, known: DataFrame | None = None) -> DataFrame:
-    """word, pattern and columns (of blob, from, block, i) of the tokens in source (blob, text): a row for each token and pattern around it, the i-th of its block, which begins at `from`. known: the instances (instance, stored) to which tokens are confined, and which is a column then."""
+    """word, pattern and columns (of blob, from, block, i) of the tokens in source (blob, text): a row for each token and pattern around it, the i-th of its block, which begins at `from`. known: the instances (instance, stored, each with a digit or an `@`) to which tokens are confined, and which is a column then."""
     body = F.regexp_replace("text", r"^\s+", "")
     source = source.select("blob", (F.length("text") - F.length(body)).cast("long").alias("lead"), F.regexp_extract_all(body, F.lit(rf"(?:\S++\s*+){{1,{_BLOCK}}}"), F.lit(0)).alias("blocks"))
     # Each block is given the first three words of the next: two are its own tokens then, which have the words before them, and the third is the word after.
@@ -194,7 +197,8 @@ def _fitted(source: DataFrame, *columns: str, known: DataFrame | None = None) ->
     word = lambda n: F.get("words", F.col("i") + n)  # noqa: E731  null outside of the block
     shape = F.when(F.col("word").rlike("[0-9@]"), _shape(_core(F.col("word"))))
     if known is not None:
-        rows, columns = _among(rows.withColumn("instance", _core(F.col("word"))), known, "instance"), (*columns, "instance")
+        rows = rows.where(F.col("word").rlike("[0-9@]")).withColumn("instance", _core(F.col("word")))
+        rows, columns = _among(rows, known, "instance"), (*columns, "instance")
     # The patterns are made where they are exploded: as a column of arrays they would take eight times as long.
     return rows.select(*columns, "word", F.explode(_keys(word(-2), word(-1), shape, word(1))).alias("pattern")).where("pattern is not null")
 
@@ -218,7 +222,7 @@ def accepted_patterns(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     A pattern's share only grows, and an instance keeps the one with which it becomes known; so the rounds end, and
     their result hangs on no order. Each round joins only what the one before has made known.
     """
-    others = edges.where(~F.col("seed")).select("pattern", "instance")
+    others = edges.where(~F.col("seed") & F.col("instance").rlike("[0-9@]")).select("pattern", "instance")
     state = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.col("seed").cast("double")).alias("total")).withColumn("round", F.lit(None).cast("int"))
     share = F.col("total") / (F.col("n") + 1)  # one is added, so that few instances count less
     confidence = 1 - F.pow(1 - share, F.lit(VOUCHED))
@@ -261,7 +265,7 @@ def _discovered(source: DataFrame, seeds: DataFrame) -> DataFrame:
     """blob, instance, start and end of what accepted patterns fit in source (blob, text); seeds: distinct (pattern, instance)."""
     source, seeds = source.select("blob", "text"), scratch(seeds)
     able = scratch(seeds.groupBy("pattern").agg(F.count("*").alias("most")).where(F.col("most") >= SEEDS))
-    fresh = scratch(_possible(source, able))
+    fresh = scratch(_possible(source, able.select("pattern", (F.col("most") + _AHEAD).alias("most"))))
     counted, tokens = fresh, None  # the patterns whose edges have been made
     while True:
         made = scratch(_placed(_among(_fitted(source, "blob", "from", "block", "i"), fresh, "pattern")))

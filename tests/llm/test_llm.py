@@ -488,7 +488,7 @@ def contexts_by_hand(texts):
         found = {}
         for k, p in new.items():
             for i in edges[k] - seeds[k]:
-                if i not in known:
+                if i not in known and re.search("[0-9@]", i):  # a plain word says nothing of other patterns
                     found[i] = max(found.get(i, 0), p)
         known |= found
     out = {d: set() for d in range(len(texts))}
