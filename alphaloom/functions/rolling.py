@@ -80,14 +80,14 @@ def moments(x: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
 
 
 def co_moments(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
-    """Count, both sums of squares and the sum of products about the means, of each window's pairs."""
+    """Count, both sums of squares and the sum of products about the means, of each window's pairs; added up in extended precision where the machine has it, as products of large values round early."""
     both = ~(np.isnan(x) | np.isnan(y))
     x, y = np.where(both, x, np.nan), np.where(both, y, np.nan)
     other = _steps(y, n)
 
     def running(steps: np.ndarray, reverse: bool) -> tuple[np.ndarray, ...]:
-        out = np.zeros((6, *steps.shape))
-        count, mx, my, xx, yy, xy = np.zeros((6, *steps.shape[1:]))
+        out = np.zeros((6, *steps.shape), np.longdouble)
+        count, mx, my, xx, yy, xy = np.zeros((6, *steps.shape[1:]), np.longdouble)
         for i, (v, w) in enumerate(zip(steps, other[::-1] if reverse else other, strict=True)):
             there = ~np.isnan(v)
             count = count + there
@@ -105,7 +105,7 @@ def co_moments(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
         dx, dy = np.where(some, b[1] - a[1], 0.0), np.where(some, b[2] - a[2], 0.0)
         return count, a[3] + b[3] + dx * dx * weight, a[4] + b[4] + dy * dy * weight, a[5] + b[5] + dx * dy * weight
 
-    return _merged(x, n, running, merge, (0.0,) * 6)
+    return tuple(v.astype(np.float64) for v in _merged(x, n, running, merge, (0.0,) * 6))
 
 
 def highest(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
