@@ -99,7 +99,7 @@ def _learned(spark: SparkSession, history: str) -> search.Iteration:
     if every is None:
         raise ValueError(f"{history}: no history there")
     last = diagnose.latest(every)
-    return search.Iteration(last, diagnose.structural_pairs(last.select("factor", "expression")))
+    return search.Iteration(last, stored(diagnose.structural_pairs(last.select("factor", "expression"))))
 
 
 def _memory(spark, args, config):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from alphaloom.config import Config
 from alphaloom.operators import backtest, diagnose, memory, report, select, validate, variants
 from alphaloom.plans.expr import ExpressionError, parse
-from alphaloom.plans.stored import stored
+from alphaloom.plans.stored import passing, stored
 from alphaloom.sources import bars, records
 
 
@@ -55,15 +55,16 @@ def evaluate_batch(grid: DataFrame, specs: list[dict], config: Config = Config()
 
 
 def parents_of(done: Iteration, known: dict[str, DataFrame], config: Config = Config(), remember: bool = True) -> tuple[list[variants.Parent], dict[frozenset, float]]:
-    """Parents for the next formulas, and how factors go together; remember: whether the memory has a say. What is collected is a row a factor or pair of one iteration."""
+    """Parents for the next formulas, and how these go together with others; remember: whether the memory has a say. What is collected is a row a factor of one iteration, and the pairs of those that are taken on the way."""
     boosted = done.results
     if remember:
         usage = memory.field_diversity(known["field_usage"])
         under = [r["field"] for r in usage.where("state = 'under'").collect()]  # six rows at most
         boosted = select.memory_boost(done.results, under, known["successes"], known["failures"])
     ranked = select.parent_scores(boosted).orderBy(F.desc("parent_score"), "factor").collect()
-    corr = {frozenset((r["a"], r["b"])): r["corr"] for r in done.pairs.collect()}
-    chosen = select.pick_diverse([r["factor"] for r in ranked], corr, config.selection)
+    corr: dict[frozenset, float] = {}
+    of = lambda name: {frozenset((r["a"], r["b"])): r["corr"] for r in done.pairs.where((F.col("a") == name) | (F.col("b") == name)).collect()}
+    chosen = select.pick_diverse([r["factor"] for r in ranked], corr, config.selection, of)
     by = {r["factor"]: r for r in ranked}
     more = ("ic_mean", "icir", "annual_return", "max_drawdown", "classification")
     made = [variants.Parent(n, by[n]["expression"], by[n]["sharpe"], by[n]["turnover"] or 0.0, by[n]["long_return"], by[n]["short_return"], list(by[n]["suggestions"]), {m: by[n][m] for m in more}, list(by[n]["notes"])) for n in chosen]
@@ -76,14 +77,16 @@ def run(spark: SparkSession, grid: DataFrame, specs: list[dict], folder: str, co
     An iteration counts once its state is committed, which names the version of the memory, the history's last
     iteration, the lineage, the best so far and the next formulas. A search that was cut off goes on from there, whatever
     specs it is given: what it had begun is written anew, so that it ends as if nothing had happened. One that has ended
-    only writes its reports again.
+    only writes its reports again. Tables that an iteration writes for itself are deleted at its end.
     """
     state = records.committed(spark, f"{folder}/state") or {"iteration": 0, "memory": 0, "tree": None, "best": [], "specs": specs, "stopped": None}
     trial = bars.grid(bars.toy(spark))
     while not state["stopped"]:
-        state = _iterated(spark, grid, trial, state, folder, config)
+        with passing():
+            state = _iterated(spark, grid, trial, state, folder, config)
         records.commit(spark, f"{folder}/state", state, state["iteration"])
-    return _finish(spark, folder, state, config, when)
+    with passing():
+        return _finish(spark, folder, state, config, when)
 
 
 def _iterated(spark: SparkSession, grid: DataFrame, trial: DataFrame, state: dict, folder: str, config: Config) -> dict:

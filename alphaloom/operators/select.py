@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,14 +37,22 @@ def memory_boost(classified: DataFrame, under_used: list[str], successful: DataF
     return joined.select(*classified.columns, (fresh + F.coalesce("good", F.lit(0.0)) - F.coalesce("bad", F.lit(0.0))).alias("boost"))
 
 
-def pick_diverse(ranked: list[str], corr: dict[frozenset, float], config: Selection = Selection()) -> list[str]:
-    """Parents from names by falling score: each is taken unless it goes with one that has been; the bound is relaxed, and then dropped, while there are too few."""
+def pick_diverse(ranked: list[str], corr: dict[frozenset, float], config: Selection = Selection(), ask: Callable[[str], dict[frozenset, float]] | None = None) -> list[str]:
+    """Parents from names by falling score: each is taken unless it goes with one that has been; the bound is relaxed, and then dropped, while there are too few.
+
+    corr: how factors go together. ask: gives the pairs of a factor, for which it is asked once, when the factor is taken
+    first; they are added to corr, so that the pairs of the few that are taken are all that is ever held.
+    """
+    asked: set[str] = set()
 
     def take(bound: float) -> list[str]:
         taken: list[str] = []
         for name in ranked:
             if len(taken) < config.max_parents and all(abs(corr.get(frozenset((name, t)), 0.0)) <= bound for t in taken):
                 taken.append(name)
+                if ask and name not in asked:
+                    asked.add(name)
+                    corr.update(ask(name))
         return taken
 
     for bound in (config.max_corr, *config.relaxed):

@@ -6,12 +6,16 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _written: list[tuple[SparkSession, str]] = []
+_passing: ContextVar[list[tuple[SparkSession, str]]] = ContextVar("_passing", default=_written)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,9 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession) -> str:
-    """A new folder in the shared one, deleted when the driver ends."""
+    """A new folder in the shared one, deleted at the end of the passing() around it, or else when the driver ends."""
     path = f"{shared_dir(spark)}/alphaloom/{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _passing.get().append((spark, path))
     return path
 
 
@@ -61,6 +65,19 @@ def drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def passing() -> Iterator[None]:
+    """Tables that this thread stores within are deleted at its end, also if that is an error: nothing that is read later may stem from them. Those stored before stay."""
+    own: list[tuple[SparkSession, str]] = []
+    before = _passing.set(own)
+    try:
+        yield
+    finally:
+        _passing.reset(before)
+        for spark, path in own:
+            drop(spark, path)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:

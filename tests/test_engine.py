@@ -111,6 +111,10 @@ def test_classes_and_parents(spark):
     assert select.parent_scores(done).count() == 5
     assert {r.factor for r in report.pareto(metrics).collect()} == {"b"}
     assert select.pick_diverse(["x", "y", "z"], {frozenset("xy"): 0.9}) == ["x", "z"]
+    # Pairs that are asked for give the same choice, and only those of factors that were taken are.
+    asked, known = [], {frozenset("xy"): 0.9, frozenset("yz"): 0.2, frozenset("xz"): 0.1}
+    ask = lambda n: asked.append(n) or {p: v for p, v in known.items() if n in p}
+    assert select.pick_diverse(["x", "y", "z"], {}, ask=ask) == ["x", "z"] and asked == ["x", "z"]
     assert memory.concentration([4, 0]) == 1
 
 

@@ -1,6 +1,7 @@
 import json
 import random
 from dataclasses import replace
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from alphaloom import commands
 from alphaloom.config import Backtest, Config
 from alphaloom.operators import backtest, diagnose, memory, report, search, validate
+from alphaloom.plans import stored
 from alphaloom.sources import bars, records
 
 SPECS = [
@@ -157,7 +159,10 @@ def test_special_treatment_is_left_out(spark):
 def test_search_runs_to_its_end_and_commands_read_what_it_left(spark, grid, tmp_path, capsys):
     config = search.shorter(replace(Config(), transforms=replace(Config().transforms, max_candidates=3)), 2)
     folder = str(tmp_path / "runs" / "run_1")
+    left = lambda: set(Path(stored.shared_dir(spark).removeprefix("file:"), "alphaloom").glob("*"))
+    before = left()
     told = search.run(spark, grid, SPECS, folder, config)
+    assert left() == before  # what iterations store for themselves is gone
     assert told["stopped"] in ("exhausted", "small-gain", "stalled", "no-candidate") and told["best_factors"]
     assert json.loads((tmp_path / "runs" / "run_1" / "final_summary.json").read_text())["stopped"] == told["stopped"]
     page = (tmp_path / "runs" / "run_1" / "search.md").read_text()
@@ -281,6 +286,20 @@ def test_transforms_are_filled_up_in_their_order():
     assert len(choose(Parent("p", "x"), Transforms(max_per_parent=12, min_per_parent=12))) == 10
 
 
+def test_passing_tables_end_with_their_block(spark):
+    there = lambda df: [Path(f.removeprefix("file:")).exists() for f in df.inputFiles()]
+    table = spark.range(9)
+    kept = stored.stored(table)
+    with pytest.raises(ZeroDivisionError), stored.passing():
+        outer = stored.stored(table)
+        with stored.passing():
+            inner = stored.stored(outer)
+            assert inner.count() == 9
+        assert all(there(outer)) and not any(there(inner))
+        raise ZeroDivisionError
+    assert all(there(kept)) and not any(there(outer)) and stored.stored(kept).count() == 9
+
+
 def test_advice_follows_the_class(spark):
     rows = [(k, k, t) for k, t in (("promising", 0.5), ("promising", 0.61), ("weak", 0.9), ("duplicate", 0.9), ("unstable", 0.9), ("overfit", 0.9), ("invalid", None))]
     df = spark.createDataFrame(rows, "factor string, classification string, turnover double").withColumns({"error": F.lit("no data"), "max_drawdown": F.lit(-0.1), "sharpe": F.lit(-0.9)})
