@@ -13,10 +13,11 @@ and raises the share of other patterns (a plain word is found as well, but says
 anywhere). This goes on until no pattern is accepted any more. What accepted patterns fit are new identifiers, of
 kind `context`. Nothing else decides: no count or size of what else the corpus holds.
 
-Most patterns fit far more than they have seeds, and their edges are never made: the instances found in a part of the
-texts are a lower bound of their number, and all that is or could be known of a pattern is an upper bound of the sum. A
-pattern is only left out while these bounds prove that it can't be accepted; where what becomes known raises them, it
-is counted after all.
+Tokens with a digit or an `@` are all that is or could ever be known, and all that patterns with a shape fit. They are taken
+first; so what could be known of a pattern is counted before any round. Many patterns of two words fit far more plain words
+than that, and those edges are never made: the plain words found in a part of the texts are a lower bound of their number,
+and a pattern is only left out where it couldn't be accepted if all that could be known of it were. As no round raises
+that bound, the texts are read equally often whatever becomes known.
 """
 
 from __future__ import annotations
@@ -45,10 +46,10 @@ VOUCHED = 4
 SEEDS = 3
 #: The share at which a pattern is accepted.
 _LEAST = 1 - (1 - CONFIDENT) ** (1 / VOUCHED)
-#: Parts of the texts, by their hashes, in which instances are counted first: one in so many.
+#: What only instances that may become known have.
+_SIGN = "[0-9@]"
+#: Parts of the texts, by their hashes, in which plain words are counted first: one in so many.
 PARTS = (64, 8)
-#: Instances that may yet become known of a pattern before its edges must be made after all, in another pass over the texts.
-_AHEAD = 2
 #: Patterns or instances up to which they are broadcast, some 100 bytes each.
 BROADCAST_ROWS = 200_000
 
@@ -143,7 +144,7 @@ def base_spans(text: Column) -> Column:
 def _shape(x: Column) -> Column:
     """The shape of a text in lower case; null without a digit or an `@`."""
     digits = F.regexp_replace(F.regexp_replace(x, r"\p{L}++", "a"), "[0-9]", "9")
-    return F.when(x.rlike("[0-9@]"), F.regexp_replace(digits, r"(?<!9)9{1,4}+(?!9)", "9"))
+    return F.when(x.rlike(_SIGN), F.regexp_replace(digits, r"(?<!9)9{1,4}+(?!9)", "9"))
 
 
 def _core(token: Column) -> Column:
@@ -151,56 +152,56 @@ def _core(token: Column) -> Column:
     return F.regexp_replace(token, _FIRST + r"|[^\p{L}\p{N}]+$", "")
 
 
-def _keys(first: Column, second: Column, shape: Column, after: Column) -> Column:
-    """The three patterns of a token: of the two words before it, of the second and its shape, of its shape and the word after. Each is null if a part is."""
-    both = lambda kind, x, y: F.when(x.isNotNull() & y.isNotNull(), F.xxhash64(F.lit(kind), x, y))
-    return F.array(both("two", first, second), both("left", second, shape), both("right", shape, after))
+def _key(kind: str, x: Column, y: Column) -> Column:
+    """The pattern of two parts; null if one is."""
+    return F.when(x.isNotNull() & y.isNotNull(), F.xxhash64(F.lit(kind), x, y))
+
+
+def _keys(m: Column, instance: Column) -> Column:
+    """The patterns of a match (of left, right): of the two words before its token, of the second and the instance's shape, of this and the word after. Each is null if a part is."""
+    some = lambda x: F.when(x != "", F.lower(x))
+    before = lambda between: some(F.regexp_extract(m["left"], rf"\s(\S++)\s++{between}\S*+\z", 1))  # noqa: E731  \z: $ is also before a line's end
+    second, shape = before(""), _shape(instance)
+    after = some(F.regexp_extract(m["right"], r"^\S*+\s++(\S++)", 1))
+    return F.array(_key("two", before(r"\S++\s++"), second), _key("left", second, shape), _key("right", shape, after))
 
 
 def _seeds(seen: Column) -> Column:
     """The patterns around base matches: (pattern, instance); a match may begin or end within a token."""
-    some = lambda x: F.when(x != "", F.lower(x))
 
     def one(m: Column) -> Column:
-        first = some(F.regexp_extract(m["left"], r"\s(\S++)\s++\S++\s++\S*+$", 1))
-        second = some(F.regexp_extract(m["left"], r"\s(\S++)\s++\S*+$", 1))
-        after = some(F.regexp_extract(m["right"], r"^\S*+\s++(\S++)", 1))
         instance = F.lower(m["match"])
-        return F.transform(F.array_compact(_keys(first, second, _shape(instance), after)), lambda k: F.struct(k.alias("pattern"), instance.alias("instance")))
+        return F.transform(F.array_compact(_keys(m, instance)), lambda k: F.struct(k.alias("pattern"), instance.alias("instance")))
 
     return F.flatten(F.transform(seen, one))
 
 
-def _fitted(source: DataFrame, *columns: str, known: DataFrame | None = None) -> DataFrame:
-    """word, pattern and columns (of blob, from, block, i) of the tokens in source (blob, text): a row for each token and pattern around it, the i-th of its block, which begins at `from`. known: the instances (instance, stored, each with a digit or an `@`) to which tokens are confined, and which is a column then."""
+def _signed(source: DataFrame, able: DataFrame) -> DataFrame:
+    """blob, pattern, instance, start, end of the tokens in source (blob, text) that have a digit or an `@`, for the patterns around them that are in able."""
+    found = source.where(F.col("text").rlike(_SIGN)).select("blob", F.explode(matches(F.col("text"), _SIGN + r"\S*+")).alias("m"))
+    found = found.withColumn("head", F.regexp_extract("m.left", r"(?<!\S)\S*+\z", 0)).withColumn("token", F.concat("head", "m.match"))
+    found = found.withColumn("instance", _core(F.lower("token"))).withColumn("begin", F.col("m.start") - F.length("head"))
+    rows = found.select("blob", "instance", "token", "begin", F.explode(_keys(F.col("m"), F.col("instance"))).alias("pattern")).where("pattern is not null")
+    return _among(rows, able, "pattern").select("blob", "pattern", "instance", *_place(F.col("begin"), F.col("token"))).distinct()
+
+
+def _plain(source: DataFrame, able: DataFrame, *columns: str) -> DataFrame:
+    """word, pattern and columns (of blob, from, block, i) of the other tokens in source (blob, text) that patterns of two words in able fit: the i-th of its block, which begins at `from`."""
     body = F.regexp_replace("text", r"^\s+", "")
     source = source.select("blob", (F.length("text") - F.length(body)).cast("long").alias("lead"), F.regexp_extract_all(body, F.lit(rf"(?:\S++\s*+){{1,{_BLOCK}}}"), F.lit(0)).alias("blocks"))
-    # Each block is given the first three words of the next: two are its own tokens then, which have the words before them, and the third is the word after.
+    # Each block is given the first two words of the next, which are its own tokens then: they have the words before them.
     starts = F.transform(running(F.transform("blocks", lambda b: F.length(b).cast("long"))), lambda x: x + F.col("lead"))
 
     def cut(v: Column) -> Column:
-        ahead = lambda i: F.regexp_extract(F.concat(F.coalesce(F.get(v["blocks"], i + 1), F.lit("")), F.coalesce(F.get(v["blocks"], i + 2), F.lit(""))), r"^(?:\S++\s*+){1,3}", 0)
-        return F.transform(
-            v["blocks"],
-            lambda b, i: F.struct(
-                F.get(v["starts"], i).alias("from"),
-                F.concat(b, ahead(i)).alias("block"),
-                F.size(F.split(F.rtrim(F.regexp_replace(b, r"\s+", " ")), " ")).alias("own"),
-                (i == 0).alias("head"),
-            ),
-        )
+        ahead = lambda i: F.regexp_extract(F.coalesce(F.get(v["blocks"], i + 1), F.lit("")), r"^(?:\S++\s*+){1,2}", 0)
+        return F.transform(v["blocks"], lambda b, i: F.struct(F.get(v["starts"], i).alias("from"), F.concat(b, ahead(i)).alias("block")))
 
     each = source.where(F.size("blocks") > 0).select("blob", F.explode(_let(F.struct(F.col("blocks").alias("blocks"), starts.alias("starts")), cut)).alias("b")).select("blob", "b.*")
     each = each.withColumn("words", F.split(F.lower(F.rtrim(F.regexp_replace("block", r"\s+", " "))), " "))
     # One row a token, its words around taken from the array by place: functions of arrays would be far slower here.
-    rows = each.select("*", F.posexplode("words").alias("i", "word")).where((F.col("i") < F.col("own") + 2) & (F.col("head") | (F.col("i") >= 2)))
-    word = lambda n: F.get("words", F.col("i") + n)  # noqa: E731  null outside of the block
-    shape = F.when(F.col("word").rlike("[0-9@]"), _shape(_core(F.col("word"))))
-    if known is not None:
-        rows = rows.where(F.col("word").rlike("[0-9@]")).withColumn("instance", _core(F.col("word")))
-        rows, columns = _among(rows, known, "instance"), (*columns, "instance")
-    # The patterns are made where they are exploded: as a column of arrays they would take eight times as long.
-    return rows.select(*columns, "word", F.explode(_keys(word(-2), word(-1), shape, word(1))).alias("pattern")).where("pattern is not null")
+    rows = each.select("*", F.posexplode("words").alias("i", "word")).where((F.col("i") >= 2) & ~F.col("word").rlike(_SIGN))
+    word = lambda n: F.get("words", F.col("i") + n)
+    return _among(rows.select(*columns, "word", _key("two", word(-2), word(-1)).alias("pattern")), able, "pattern")
 
 
 def _among(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -208,12 +209,18 @@ def _among(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, key, "left_semi")
 
 
+def _place(begin: Column, token: Column) -> tuple[Column, Column]:
+    """Where the core of a token that begins there starts and ends."""
+    start = begin + F.length(token) - F.length(F.regexp_replace(token, _FIRST, ""))
+    return start.alias("start"), (start + F.length(_core(token))).alias("end")
+
+
 def _placed(tokens: DataFrame) -> DataFrame:
-    """blob, pattern, instance, start, end of tokens (as of _fitted)."""
+    """blob, pattern, instance, start, end of tokens (as of _plain)."""
     found = tokens.withColumn("pieces", F.regexp_extract_all("block", F.lit(r"\S++\s*+"), F.lit(0)))
+    begin = F.col("from") + F.length(F.array_join(F.slice("pieces", F.lit(1), F.col("i")), ""))
     token = F.regexp_extract(F.get("pieces", F.col("i")), r"^\S+", 0)
-    start = F.col("from") + F.length(F.array_join(F.slice("pieces", F.lit(1), F.col("i")), "")) + F.length(token) - F.length(F.regexp_replace(token, _FIRST, ""))
-    return found.select("blob", "pattern", _core(F.col("word")).alias("instance"), start.alias("start"), (start + F.length(_core(token))).alias("end")).distinct()
+    return found.select("blob", "pattern", _core(F.col("word")).alias("instance"), *_place(begin, token)).distinct()
 
 
 def accepted_patterns(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -222,7 +229,7 @@ def accepted_patterns(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     A pattern's share only grows, and an instance keeps the one with which it becomes known; so the rounds end, and
     their result hangs on no order. Each round joins only what the one before has made known.
     """
-    others = edges.where(~F.col("seed") & F.col("instance").rlike("[0-9@]")).select("pattern", "instance")
+    others = edges.where(~F.col("seed") & F.col("instance").rlike(_SIGN)).select("pattern", "instance")
     state = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.col("seed").cast("double")).alias("total")).withColumn("round", F.lit(None).cast("int"))
     share = F.col("total") / (F.col("n") + 1)  # one is added, so that few instances count less
     confidence = 1 - F.pow(1 - share, F.lit(VOUCHED))
@@ -242,13 +249,12 @@ def accepted_patterns(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _possible(source: DataFrame, able: DataFrame) -> DataFrame:
-    """Of able (pattern, most) those that could be accepted if `most` of their instances were known: in no part of the texts there are too many others."""
+    """Of able (pattern, most) those that could be accepted if `most` of their instances were known: in no part of the texts there are too many plain words beside these."""
     able = scratch(able)
     for part in PARTS:
         texts = source.where(F.pmod(F.xxhash64(F.lit(11), "blob"), F.lit(part)) == 0)
-        fitted = _among(_fitted(texts), able, "pattern")
-        counted = fitted.groupBy("pattern").agg(F.countDistinct(_core(F.col("word"))).alias("n"))
-        able = scratch(able.join(counted, "pattern", "left").where(F.col("most") >= _LEAST * (F.greatest(F.coalesce("n", F.lit(0)), "most") + 1)).select("pattern", "most"))
+        counted = _plain(texts, able).groupBy("pattern").agg(F.countDistinct(_core(F.col("word"))).alias("n"))
+        able = scratch(able.join(counted, "pattern", "left").where(F.col("most") >= _LEAST * (F.col("most") + F.coalesce("n", F.lit(0)) + 1)).select("pattern", "most"))
     return able.select("pattern")
 
 
@@ -264,24 +270,16 @@ def _bases(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _discovered(source: DataFrame, seeds: DataFrame) -> DataFrame:
     """blob, instance, start and end of what accepted patterns fit in source (blob, text); seeds: distinct (pattern, instance)."""
     source, seeds = source.select("blob", "text"), scratch(seeds)
-    able = scratch(seeds.groupBy("pattern").agg(F.count("*").alias("most")).where(F.col("most") >= SEEDS))
-    fresh = scratch(_possible(source, able.select("pattern", (F.col("most") + _AHEAD).alias("most"))))
-    counted, tokens = fresh, None  # the patterns whose edges have been made
-    while True:
-        made = scratch(_placed(_among(_fitted(source, "blob", "from", "block", "i"), fresh, "pattern")))
-        tokens = made if tokens is None else tokens.unionByName(made)
-        edges = _among(seeds, scratch(counted), "pattern").withColumn("seed", F.lit(True)).unionByName(tokens.select("pattern", "instance", F.lit(False).alias("seed")))
-        accepted, known = accepted_patterns(scratch(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))))
-        known = scratch(known)
-        rest = scratch(able.join(counted, "pattern", "left_anti"))
-        if not known.limit(1).count() or not rest.limit(1).count():
-            break
-        # What is known now may make patterns possible that weren't before.
-        raised = _among(_fitted(source, known=known), rest.select("pattern"), "pattern").groupBy("pattern").agg(F.countDistinct("instance").alias("gained"))
-        fresh = scratch(_possible(source, rest.join(raised, "pattern").select("pattern", (F.col("most") + F.col("gained")).alias("most"))))
-        if not fresh.limit(1).count():
-            break
-        counted = counted.unionByName(fresh)
+    able = scratch(seeds.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SEEDS).select("pattern"))
+    signed = scratch(_signed(source, able))
+    edge = lambda rows, seed: rows.select("pattern", "instance", F.lit(seed).alias("seed"))
+    edges = edge(_among(seeds, able, "pattern"), True).unionByName(edge(signed, False))
+    most = edges.where(F.col("instance").rlike(_SIGN)).groupBy("pattern").agg(F.countDistinct("instance").alias("most"))
+    possible = scratch(_possible(source, most))
+    plain = scratch(_placed(_plain(source, possible, "blob", "from", "block", "i")))
+    edges = _among(edges, possible, "pattern").unionByName(edge(plain, False)).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    accepted, _ = accepted_patterns(scratch(edges))
+    tokens = signed.unionByName(plain)
     return tokens.join(scratch(accepted), "pattern", "left_semi").select("blob", "instance", "start", "end").distinct()
 
 

@@ -512,6 +512,28 @@ def test_pii_contexts_are_those_of_brute_force(spark, monkeypatch):
     assert got == want and sum(map(len, want.values())) > 20
 
 
+def test_pii_reads_the_texts_equally_often_whatever_becomes_known(spark, monkeypatch):
+    monkeypatch.setattr(pii, "PARTS", (1,))
+    passes, posexplode = [], F.posexplode
+    monkeypatch.setattr(F, "posexplode", lambda *a: passes.append(a) or posexplode(*a))
+    frequent = [f"go to the s{i}@b.org" for i in range(3)] + [f"go to the {x}{y}" for x in "abcde" for y in "klmnopqr"]
+    teaching = [f"in my account a{i}@b.org" for i in range(5)] + [f"{x} q{i}z" for i in range(10) for x in ("in my account", "go to the")]
+    spans, times = [], []
+    for texts in (frequent, frequent + teaching):
+        passes.clear()
+        got = {x.doc_id: sorted((s.start, s.end) for s in x.spans if s.kind == "context") for x in pii.find(docs_of(spark, texts)).collect()}
+        assert got == contexts_by_hand(texts)
+        spans.append(sum(map(len, got.values())))
+        times.append(len(passes))
+    assert spans == [0, 60] and times == [2, 2]  # ten new identifiers, in two places each, make the frequent pattern one of theirs
+
+
+def test_pii_takes_words_before_a_line_end(spark):
+    texts = [f"see my account{end}a{i}@b.org{end}" for i, end in enumerate(["\n", "\r\n", " \n", "\n\n"])] + ["see my account zebra77", "see my account\nlion88\n", "row\n"]
+    got = {x.doc_id: sorted((s.start, s.end) for s in x.spans if s.kind == "context") for x in pii.find(docs_of(spark, texts)).collect()}
+    assert got == contexts_by_hand(texts) and got[4] == [(15, 22)] and got[5] == [(15, 21)]
+
+
 def test_pii_contexts_do_not_hang_on_the_rest_of_the_corpus(spark):
     texts = [f"customer account a{i}@b.org" for i in range(4)] + ["customer account zebra77", "customer account lion88", "customer account 7"]
     for others in ([], [f"{prose(i, 8)} p{i}@q.org 10.1.{i % 250}.{i // 250} {prose(i + 9000, 3)}" for i in range(2000)]):
